@@ -40,7 +40,7 @@ class Counter:
         # The split is sound only under (1), and if the model neither rewrites text nor joins marks.
         self.splits = not any(MARK in p.lstrip(MARK) for p in normal) and not any("\n" in p for p in normal) and self._plain()
         words = [p[1:] for p in normal if p.startswith(MARK) and len(p) > 1 and MARK not in p[1:]]
-        self.whole = {MARK + w for w, t in zip(words, self.lib.encode(words), strict=True) if len(t) == 1} if self.splits else set()
+        self.whole = {MARK + w for w, t in zip(words, self.lib.encode(words, num_threads=1), strict=True) if len(t) == 1} if self.splits else set()
         self.seen: dict[str, int] = {}
 
     def _plain(self) -> bool:
@@ -52,24 +52,31 @@ class Counter:
 
     def rest(self, pre: list[str]) -> None:
         """Token counts of pre-tokens that are not proved whole. A line feed never merges, so it fences off the mark put in front."""
-        if len(self.seen) + len(pre) > CACHE:
-            self.seen.clear()
         fence = len(self.lib.encode("\n"))
-        for p, t in zip(pre, self.lib.encode(["\n" + p.replace(MARK, " ") for p in pre]), strict=True):
+        for p, t in zip(pre, self.lib.encode(["\n" + p.replace(MARK, " ") for p in pre], num_threads=1), strict=True):
             self.seen[p] = len(t) - fence
 
-    def count(self, text: str) -> int:
-        if not text:
-            return 0
-        if not self.splits or "\0" in text or MARK in text:
-            return len(self.lib.encode(text))
-        pre = SPLIT.findall(MARK + text.replace(" ", MARK))
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each text; new pre-tokens of all texts go to the library together."""
+        if len(self.seen) > CACHE:
+            self.seen.clear()
         whole, seen = self.whole, self.seen
-        missing = {p for p in pre if p not in whole and p not in seen}
+        split: list[list[str] | int] = []
+        for t in texts:
+            if not t:
+                split.append(0)
+            elif not self.splits or "\0" in t or MARK in t:
+                split.append(len(self.lib.encode(t)))
+            else:
+                split.append(SPLIT.findall(MARK + t.replace(" ", MARK)))
+        rest = [x if isinstance(x, int) else [p for p in x if p not in whole] for x in split]
+        missing = {p for x in rest if not isinstance(x, int) for p in x if p not in seen}
         if missing:
             self.rest(list(missing))
-            seen = self.seen
-        return sum([1 if p in whole else seen[p] for p in pre])
+        return [x if isinstance(x, int) else len(x) - len(r) + sum(map(seen.__getitem__, r)) for x, r in zip(split, rest, strict=True)]
+
+    def count(self, text: str) -> int:
+        return self.counts([text])[0]
 
 
 #: A run of marks with the word after it; line feeds stand alone.
@@ -94,7 +101,7 @@ def token_counts(df: DataFrame, path: str | None = None, limit: int = 4096, key:
         c = counter(path)
         for b in batches:
             texts = b.column(1).to_pylist()
-            tokens = [c.count(t or "") for t in texts]
+            tokens = [n for i in range(0, len(texts), 200) for n in c.counts(texts[i : i + 200])]
             size = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], [key, "n_bytes", "n_tokens", "over_limit"])
 
