@@ -1,4 +1,462 @@
 """Queries over the driver's tables and their DuckDB equivalents, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from engramix.functions import text as T
+from engramix.operators import chunking, consolidation, extraction, graph, retrieval
+from engramix.sources import fixtures as fx
+from engramix.streaming import sessions
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+AS_OF = "2000-01-01 00:00:00"
+TERMS = ["the", "retitioning", "with"]
+R6 = lambda c: F.round(c, 6)
+DAY = lambda c: F.date_format(c, "yyyy-MM-dd")
+
+# ------------------------------------------------------------------ shared SQL
+EV = """ev AS (
+  SELECT lower(regexp_replace(s_name, '[^A-Za-z0-9]+', '_', 'g')) AS s,
+    CASE p_type WHEN 'ECONOMY' THEN 'uses' WHEN 'SMALL' THEN 'prefers' WHEN 'STANDARD' THEN 'rejects' WHEN 'MEDIUM' THEN 'avoids' WHEN 'LARGE' THEN 'runs_on' WHEN 'PROMO' THEN 'depends_on' END AS p,
+    replace(p_name, ' ', '_') AS o, l_orderkey AS chunk_id, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS polarity, l_shipdate AS ts
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
+KG = (
+    EV
+    + """, kg AS (
+  SELECT s, p, o, count(*) FILTER (polarity = 1) AS pos, count(*) FILTER (polarity = -1) AS neg, min(ts) AS first_seen, max(ts) AS last_seen, max(ts) FILTER (polarity = 1) AS last_reinforced,
+    (count(*) FILTER (polarity = 1) + 1)::DOUBLE / (count(*) + 2) AS conf
+  FROM ev GROUP BY s, p, o)"""
+)
+MSG = """msg AS (SELECT conv_id::VARCHAR AS session_id, conv_id * 1000 + turn AS id, role, coalesce(text, '') AS content FROM conversations)"""
+SAL = (
+    MSG
+    + """, said AS (
+  SELECT *, last_value(CASE WHEN role = 'assistant' THEN id END IGNORE NULLS) OVER w AS aid, last_value(CASE WHEN role = 'assistant' THEN content END IGNORE NULLS) OVER w AS atext
+  FROM msg WINDOW w AS (PARTITION BY session_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), sal AS (
+  SELECT 'chk_' || sha1(session_id || ':' || coalesce(aid, id) || ':' || id) AS chunk_id, session_id, coalesce(aid, id) AS start_message_id, id AS end_message_id, 'long_user_turn' AS salience_reason,
+    CASE WHEN aid IS NULL THEN '' ELSE 'assistant: ' || atext || chr(10) END || 'user: ' || content AS text
+  FROM said WHERE role = 'user' AND length(content) >= 30)"""
+)
+WINDOW_SQL = """win AS (SELECT o_orderkey AS chunk_id FROM orders WHERE o_orderdate <= TIMESTAMP '2000-01-01' AND o_orderdate >= TIMESTAMP '2000-01-01' - INTERVAL 30 DAY)"""
+#: The graph as it stood: evidence of orders placed by as_of, timed by the order.
+OLD = (
+    EV
+    + """, od AS (SELECT s, p, o, ev.chunk_id, polarity, o_orderdate AS ts FROM ev JOIN orders ON ev.chunk_id = o_orderkey WHERE o_orderdate <= TIMESTAMP '2000-01-01'),
+kg AS (SELECT s, p, o, count(*) FILTER (polarity = 1) AS pos, count(*) FILTER (polarity = -1) AS neg, max(ts) AS last_seen, max(ts) FILTER (polarity = 1) AS last_reinforced FROM od GROUP BY s, p, o),
+"""
+    + WINDOW_SQL
+    + """, m AS (SELECT DISTINCT chunk_id, entity FROM (SELECT chunk_id, s AS entity FROM od UNION ALL SELECT chunk_id, o FROM od) WHERE chunk_id IN (SELECT chunk_id FROM win))"""
+)
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def _old(spark: SparkSession, d: str):
+    """Evidence, edges, mentions and chunks as of AS_OF, times taken from the orders."""
+    chunks = fx.chunks(spark, d)
+    past = chunks.filter(F.col("created_at") <= F.expr(f"timestamp_ntz'{AS_OF}'"))
+    ev = fx.evidence(spark, d).drop("ts").join(past.withColumnRenamed("created_at", "ts"), "chunk_id").select("s", "p", "o", "chunk_id", "polarity", "ts")
+    return ev, fx.edges_of(ev), fx.mentions(ev), chunks
+
+
+# ------------------------------------------------------------------ graph
+@query("kg_upsert", f"WITH {KG} SELECT s, p, o, pos, neg, strftime(last_seen, '%Y-%m-%d') AS last_seen, strftime(coalesce(last_reinforced, first_seen), '%Y-%m-%d') AS last_reinforced FROM kg")
+def kg_upsert(spark, d):
+    ev = fx.evidence(spark, d)
+    none = fx.edges_of(ev.limit(0))
+    return graph.upsert(none, ev).select("s", "p", "o", "pos", "neg", DAY("last_seen").alias("last_seen"), DAY("last_reinforced").alias("last_reinforced"))
+
+
+@query("kg_evidence", f"WITH {EV} SELECT s, p, o, count(*) AS n FROM (SELECT DISTINCT s, p, o, chunk_id, polarity FROM ev) GROUP BY s, p, o")
+def kg_evidence(spark, d):
+    return graph.evidence_rows(fx.evidence(spark, d)).groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("kg_confidence", f"WITH {KG} SELECT s, p, o, round(conf, 6) AS conf FROM kg")
+def kg_confidence(spark, d):
+    return fx.graph(spark, d).select("s", "p", "o", R6(T.confidence(F.col("pos"), F.col("neg"))).alias("conf"))
+
+
+COMPETING = "SELECT 'competing_object' AS kind, a.s, a.p AS p1, a.o AS o1, b.p AS p2, b.o AS o2, round(a.conf, 6) AS conf1, round(b.conf, 6) AS conf2 FROM kg a JOIN kg b ON a.s = b.s AND a.p = b.p AND a.o < b.o WHERE a.p IN ('runs_on', 'requires_version', 'deploys_to')"
+OPPOSED = "SELECT 'opposing_predicate' AS kind, a.s, a.p AS p1, a.o AS o1, b.p AS p2, b.o AS o2, round(a.conf, 6) AS conf1, round(b.conf, 6) AS conf2 FROM kg a JOIN kg b ON a.s = b.s AND a.o = b.o AND (a.p, b.p) IN (('prefers', 'rejects'), ('avoids', 'prefers'), ('rejects', 'uses'), ('avoids', 'uses'), ('conflicts_with', 'depends_on'))"
+
+
+def _rounded(df):
+    return df.withColumn("conf1", R6("conf1")).withColumn("conf2", R6("conf2"))
+
+
+@query("conflict_competing", f"WITH {KG} {COMPETING}")
+def conflict_competing(spark, d):
+    return _rounded(graph.competing_objects(fx.graph(spark, d)))
+
+
+@query("conflict_opposing", f"WITH {KG} {OPPOSED}")
+def conflict_opposing(spark, d):
+    return _rounded(graph.opposing_predicates(fx.graph(spark, d)))
+
+
+@query("list_conflicts", f"WITH {KG}, c AS ({COMPETING} UNION ALL {OPPOSED}) SELECT kind, count(*) AS n, round(sum(conf1), 3) AS conf FROM c GROUP BY kind")
+def list_conflicts(spark, d):
+    return graph.conflicts(fx.graph(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(R6("conf1")), 3).alias("conf"))
+
+
+HUBS = "hubs AS (SELECT o, string_agg(s, ', ' ORDER BY s) AS subjects, count(*) AS n FROM kg WHERE p = 'depends_on' AND conf > 0.6 GROUP BY o HAVING count(*) >= 2)"
+PREFS = "prefs AS (SELECT *, row_number() OVER (ORDER BY pos DESC, last_reinforced DESC NULLS LAST, s, p, o) AS rank FROM kg WHERE p IN ('prefers', 'rejects', 'avoids') AND conf > 0.7 QUALIFY rank <= 12)"
+CONTRA = "contra AS (SELECT *, row_number() OVER (ORDER BY pos + neg DESC, s, p, o) AS rank FROM kg WHERE pos >= 1 AND neg >= 1 QUALIFY rank <= 5)"
+
+
+@query("dependency_hubs", f"WITH {KG}, {HUBS} SELECT * FROM hubs")
+def dependency_hubs(spark, d):
+    return consolidation.dependency_hubs(fx.graph(spark, d), limit=None)
+
+
+@query("strong_preferences", f"WITH {KG}, {PREFS} SELECT s, p, o, pos, neg FROM prefs")
+def strong_preferences(spark, d):
+    return consolidation.strong_preferences(fx.graph(spark, d)).select("s", "p", "o", "pos", "neg")
+
+
+@query("contradictions", f"WITH {KG}, {CONTRA} SELECT s, p, o, pos, neg FROM contra")
+def contradictions(spark, d):
+    return consolidation.contradictions(fx.graph(spark, d)).select("s", "p", "o", "pos", "neg")
+
+
+@query("insights_list", f"""WITH {KG}, {HUBS}, {PREFS}, {CONTRA}, a AS (
+  SELECT 1 AS section, row_number() OVER (ORDER BY n DESC, o) AS rank, o || ' <- ' || subjects AS line FROM hubs QUALIFY rank <= 12
+  UNION ALL SELECT 2, rank, s || ' ' || p || ' ' || o || ' (evidence ' || pos || '/' || (pos + neg) || ')' FROM prefs
+  UNION ALL SELECT 3, rank, s || ' ' || p || ' ' || o || ' (+' || pos || ' / -' || neg || ')' FROM contra)
+SELECT section::INTEGER AS section, rank::INTEGER AS rank, line FROM a ORDER BY a.section, a.rank LIMIT 12""")
+def insights_list(spark, d):
+    return consolidation.insights(fx.graph(spark, d))
+
+
+@query("canonical_drift", f"WITH {KG} SELECT place, count(*) AS n FROM (SELECT DISTINCT 'subject' AS place, upper(s[1]) || s[2:] AS v FROM kg UNION SELECT DISTINCT 'object', upper(o[1]) || o[2:] FROM kg) GROUP BY place")
+def canonical_drift(spark, d):
+    up = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.expr(f"substring({c}, 2)"))
+    edges = fx.graph(spark, d).withColumn("s", up("s")).withColumn("o", up("o"))
+    empty = spark.createDataFrame([], "alias string, canonical string"), spark.createDataFrame([], "entity string, type string")
+    return graph.canonical_drift(edges, *empty).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("canonical_merge", f"WITH {KG}, r AS (SELECT s, p, CASE WHEN o = 'small_ring' THEN 'red_widget' ELSE o END AS o, pos, neg, last_seen FROM kg) SELECT s, p, o, sum(pos)::BIGINT AS pos, sum(neg)::BIGINT AS neg, strftime(max(last_seen), '%Y-%m-%d') AS last_seen FROM r GROUP BY s, p, o")
+def canonical_merge(spark, d):
+    return graph.merge_canonical(fx.graph(spark, d), "red_widget", "small_ring").select("s", "p", "o", "pos", "neg", DAY("last_seen").alias("last_seen"))
+
+
+@query("drift_repair", f"WITH {KG} SELECT s, p, o, pos, neg FROM kg")
+def drift_repair(spark, d):
+    e = fx.graph(spark, d).withColumn("o", F.initcap(F.regexp_replace("o", "_", " ")))
+    return graph.repair_drift(e).select("s", "p", "o", "pos", "neg")
+
+
+@query("known_canonicals", f"WITH {KG} SELECT s AS canonical FROM kg UNION SELECT o FROM kg")
+def known_canonicals(spark, d):
+    return graph.known_canonicals(fx.graph(spark, d))
+
+
+@query("entity_mentions", f"WITH {EV} SELECT entity, count(*) AS n FROM (SELECT DISTINCT chunk_id, unnest([s, o]) AS entity FROM ev) GROUP BY entity")
+def entity_mentions(spark, d):
+    return fx.mentions(fx.evidence(spark, d)).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("reinforce_edges", f"""WITH {OLD}, un AS (SELECT DISTINCT kg.s, kg.p, kg.o, a.chunk_id FROM kg JOIN m a ON a.entity = kg.s JOIN m b ON b.entity = kg.o AND a.chunk_id = b.chunk_id),
+hit AS (SELECT DISTINCT un.s, un.p, un.o FROM un ANTI JOIN od ON un.s = od.s AND un.p = od.p AND un.o = od.o AND un.chunk_id = od.chunk_id)
+SELECT s, p, o, pos + ((s, p, o) IN (SELECT (s, p, o) FROM hit))::INT AS pos, neg FROM kg""")
+def reinforce_edges(spark, d):
+    ev, edges, m, c = _old(spark, d)
+    return graph.reinforce(edges, m, c, ev, AS_OF).select("s", "p", "o", "pos", "neg")
+
+
+# two equi-joins instead of an OR keep DuckDB from a nested loop
+DECAYED = """un AS (SELECT k.s, k.p, k.o, m.chunk_id FROM kg k JOIN m ON m.entity = k.s WHERE last_reinforced IS NULL OR last_reinforced < TIMESTAMP '2000-01-01' - INTERVAL 30 DAY
+  UNION SELECT k.s, k.p, k.o, m.chunk_id FROM kg k JOIN m ON m.entity = k.o WHERE last_reinforced IS NULL OR last_reinforced < TIMESTAMP '2000-01-01' - INTERVAL 30 DAY),
+hit AS (SELECT DISTINCT un.s, un.p, un.o FROM un ANTI JOIN od ON un.s = od.s AND un.p = od.p AND un.o = od.o AND un.chunk_id = od.chunk_id),
+dec AS (SELECT s, p, o, pos, neg + ((s, p, o) IN (SELECT (s, p, o) FROM hit))::INT AS neg FROM kg)"""
+
+
+@query("decay_edges", f"WITH {OLD}, {DECAYED} SELECT * FROM dec")
+def decay_edges(spark, d):
+    ev, edges, m, c = _old(spark, d)
+    return graph.decay(edges, m, c, ev, AS_OF).select("s", "p", "o", "pos", "neg")
+
+
+SPENT = "((pos + 1)::DOUBLE / (pos + neg + 2) < 0.15 OR neg >= 2 * pos + 2)"
+
+
+@query("auto_retract", f"WITH {OLD}, {DECAYED} SELECT s, p, o, pos, neg, CASE WHEN {SPENT} THEN 'retracted' ELSE 'active' END AS status FROM dec")
+def auto_retract(spark, d):
+    ev, edges, m, c = _old(spark, d)
+    return graph.auto_retract(graph.decay(edges, m, c, ev, AS_OF)).select("s", "p", "o", "pos", "neg", "status")
+
+
+@query("retraction_feedback", f"WITH {KG} SELECT s, p, o, chunk_id, polarity FROM (SELECT ev.*, row_number() OVER (PARTITION BY s, p, o ORDER BY polarity DESC, ts DESC, chunk_id) AS n FROM ev WHERE (s, p, o) IN (SELECT (s, p, o) FROM kg WHERE {SPENT})) WHERE n = 1")
+def retraction_feedback(spark, d):
+    ev = fx.evidence(spark, d)
+    return graph.retraction_feedback(fx.edges_of(ev), ev)
+
+
+@query("manual_retract", f"WITH {KG} SELECT s, p, o, pos, neg + (s = 'supplier_000000001' AND p = 'uses' AND o = 'small_ring')::INT AS neg, CASE WHEN s = 'supplier_000000001' AND p = 'uses' AND o = 'small_ring' THEN 'retracted' ELSE 'active' END AS status FROM kg")
+def manual_retract(spark, d):
+    return graph.manual_retract(fx.graph(spark, d), "supplier_000000001", "uses", "small_ring", AS_OF).select("s", "p", "o", "pos", "neg", "status")
+
+
+@query("transitive_depends_on", """WITH RECURSIVE e AS (
+  SELECT c_mktsegment AS s, n_name AS o, (count(*) + 1)::DOUBLE / (count(*) + 2) AS conf FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2
+  UNION ALL SELECT n_name, r_name, 2.0 / 3 FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT r_name, 'world', 2.0 / 3 FROM region
+), c AS (SELECT s, o, conf::DOUBLE AS conf FROM e UNION ALL SELECT c.s, e.o, c.conf * e.conf FROM c JOIN e ON c.o = e.s WHERE c.conf * e.conf >= 0.15)
+SELECT s, o, round(max(conf), 6) AS conf FROM c GROUP BY s, o""")
+def transitive_depends_on(spark, d):
+    return graph.transitive(fx.hierarchy(spark, d)).select("s", "o", R6("conf").alias("conf"))
+
+
+# ------------------------------------------------------------------ text and chunks
+@query("normalize_entities", "SELECT p_partkey, trim(regexp_replace(lower(regexp_replace(p_name || ' ' || p_brand, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+', '_', 'g'), '_') AS canonical FROM part")
+def normalize_entities(spark, d):
+    return fx.read(spark, d, "part").select("p_partkey", T.normalize(F.concat_ws(" ", "p_name", "p_brand")).alias("canonical"))
+
+
+@query("salient_chunks", f"WITH {SAL} SELECT session_id, start_message_id, end_message_id, salience_reason, text FROM sal")
+def salient_chunks(spark, d):
+    return chunking.salient_chunks(fx.messages(spark, d)).select("session_id", "start_message_id", "end_message_id", "salience_reason", "text")
+
+
+@query("chunk_ids", f"WITH {SAL} SELECT chunk_id, end_message_id FROM sal")
+def chunk_ids(spark, d):
+    return chunking.salient_chunks(fx.messages(spark, d)).select("chunk_id", "end_message_id")
+
+
+def _processed(chunks):
+    return chunks.filter("end_message_id % 3 = 0").select("chunk_id", F.lit("v6").alias("prompt_version"))
+
+
+@query("baseline_chunks", f"WITH {SAL} SELECT chunk_id, session_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY end_message_id DESC) AS n FROM sal WHERE end_message_id % 3 <> 0) WHERE n <= 2")
+def baseline_chunks(spark, d):
+    c = chunking.salient_chunks(fx.messages(spark, d))
+    return chunking.baseline_chunks(c, _processed(c), "v6", 2).select("chunk_id", "session_id")
+
+
+@query("budgeted_chunks", f"WITH {SAL} SELECT chunk_id FROM sal WHERE end_message_id % 3 <> 0 ORDER BY session_id::BIGINT, end_message_id LIMIT 50")
+def budgeted_chunks(spark, d):
+    m = fx.messages(spark, d)
+    c = chunking.salient_chunks(m)
+    s = m.groupBy("session_id").agg(F.min("created_at").alias("started_at"))
+    return chunking.budgeted_chunks(c, _processed(c), s, "v6").select("chunk_id")
+
+
+@query("message_page", f"WITH {MSG} SELECT id, role, content FROM msg WHERE session_id = '5' ORDER BY id LIMIT 2 OFFSET 2")
+def message_page(spark, d):
+    return chunking.page(fx.messages(spark, d), "5", 2, 2).select("id", "role", "content")
+
+
+@query("recent_context", f"WITH {MSG} SELECT id, role FROM msg WHERE session_id = '5' ORDER BY id DESC LIMIT 20")
+def recent_context(spark, d):
+    return chunking.recent(fx.messages(spark, d), "5").select("id", "role")
+
+
+@query("query_tokens", "SELECT item_id, array_to_string(list_filter(string_split_regex(trim(regexp_replace(text, '[^A-Za-z0-9_\\- ]+', ' ', 'g')), ' +'), lambda x: length(x) >= 2), '|') AS tokens FROM benchmark")
+def query_tokens(spark, d):
+    return fx.read(spark, d, "benchmark").select("item_id", F.array_join(T.query_tokens(F.col("text")), "|").alias("tokens"))
+
+
+@query("ngrams", "WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark) SELECT item_id, array_to_string([array_to_string(w[i : i + 1], ' ') FOR i IN generate_series(1, len(w) - 1)], '|') AS grams FROM w")
+def ngrams(spark, d):
+    return fx.read(spark, d, "benchmark").select("item_id", F.array_join(T.ngrams(F.split("text", " "), 2), "|").alias("grams"))
+
+
+@query("token_counts", f"WITH {MSG} SELECT id, greatest(1, len(list_filter(string_split_regex(trim(content, ' ' || chr(9) || chr(10) || chr(13)), '\\s+'), lambda x: x <> '')))::BIGINT AS n FROM msg")
+def token_counts(spark, d):
+    return fx.messages(spark, d).select("id", T.token_count(F.col("content")).alias("n"))
+
+
+@query("infer_roles", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 1 THEN 'assistant' ELSE 'user' END AS role FROM supplier")
+def infer_roles(spark, d):
+    peer = F.concat(F.element_at(F.array(F.lit("user-"), F.lit("agent-"), F.lit("somebody-")), (F.col("s_suppkey") % 3 + 1).cast("int")), F.col("s_suppkey"))
+    return fx.read(spark, d, "supplier").select("s_suppkey", T.infer_role(peer).alias("role"))
+
+
+# ------------------------------------------------------------------ retrieval
+BM = r"""tok AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: length(x) >= 2) AS w FROM documents),
+tf AS (SELECT id, len(w) AS dl, t, len(list_filter(w, lambda x: x = t)) AS tf FROM tok, (SELECT unnest(['the', 'retitioning', 'with']) AS t)),
+st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok), df AS (SELECT t, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY t),
+bm AS (SELECT id, -sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (t), st WHERE tf > 0 GROUP BY id)"""
+
+
+@query("bm25_top5", f"WITH {BM} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score, id LIMIT 5")
+def bm25_top5(spark, d):
+    docs = fx.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return retrieval.bm25(docs, TERMS, 5).select("id", R6("score").alias("score"))
+
+
+def _vectors(spark, d):
+    v = fx.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("vec_id").alias("created_at"))
+    return v, v.filter("id = 0").first()["v"]
+
+
+NN = "q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), nn AS (SELECT vec_id AS id, 1 / (1 + sqrt(list_sum([(embedding[i]::DOUBLE - q[i]::DOUBLE) ** 2 FOR i IN generate_series(1, len(q))]))) AS score FROM embeddings, q WHERE vec_id <> 0)"
+
+
+@query("vector_knn", f"WITH {NN} SELECT id, round(score, 6) AS score FROM nn ORDER BY nn.score DESC, id LIMIT 10")
+def vector_knn(spark, d):
+    v, q = _vectors(spark, d)
+    return retrieval.knn(v.filter("id <> 0"), q, 10).select("id", R6("score").alias("score"))
+
+
+@query("cosine_knn", """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), c AS (SELECT vec_id AS id, list_sum([embedding[i]::DOUBLE * q[i]::DOUBLE FOR i IN generate_series(1, len(q))]) / sqrt(list_sum([x::DOUBLE ** 2 FOR x IN embedding])) / sqrt(list_sum([x::DOUBLE ** 2 FOR x IN q])) AS score FROM (SELECT * FROM embeddings WHERE vec_id <> 0 ORDER BY vec_id DESC LIMIT 200), q)
+SELECT id, round(score, 6) AS score FROM c ORDER BY c.score DESC, id LIMIT 10""")
+def cosine_knn(spark, d):
+    v, q = _vectors(spark, d)
+    return retrieval.cosine_knn(v.filter("id <> 0"), q, 10, max_scan=200).select("id", R6("score").alias("score"))
+
+
+@query("rrf_merge", f"""WITH {BM}, {NN}, a AS (SELECT id, row_number() OVER (ORDER BY score, id) AS r FROM bm QUALIFY r <= 20), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM nn QUALIFY r <= 20),
+f AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS score, min(src) AS src FROM (SELECT id, r, 0 AS src FROM a UNION ALL SELECT id, r, 1 FROM b) GROUP BY id)
+SELECT id, round(score, 6) AS score, src FROM f ORDER BY f.score DESC, src, id LIMIT 10""")
+def rrf_merge(spark, d):
+    docs = fx.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    v, q = _vectors(spark, d)
+    a = retrieval.ranked(retrieval.bm25(docs, TERMS, 20), F.col("score"), F.col("id"))
+    b = retrieval.ranked(retrieval.knn(v.filter("id <> 0"), q, 20), F.col("score").desc(), F.col("id"))
+    return retrieval.rrf(a, b, 10).select("id", R6("score").alias("score"), "src")
+
+
+@query("llm_rerank", f"WITH {NN}, t AS (SELECT id, score FROM nn ORDER BY score DESC, id LIMIT 10) SELECT id, round(CASE WHEN id % 2 = 0 THEN id % 5 + 1 ELSE 3 END * 100 + score, 6) AS score FROM t")
+def llm_rerank(spark, d):
+    v, q = _vectors(spark, d)
+    hits = retrieval.knn(v.filter("id <> 0"), q, 10)
+    ratings = v.filter("id % 2 = 0").select("id", (F.col("id") % 5 + 1).alias("relevance"))
+    return retrieval.rerank(hits, ratings, 10).select("id", R6("score").alias("score"))
+
+
+@query("route_predicates", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'runs_on,uses' WHEN 1 THEN 'depends_on' WHEN 2 THEN 'contains,part_of' ELSE '' END AS predicates FROM supplier")
+def route_predicates(spark, d):
+    asks = F.array(*[F.lit(x) for x in ("what technologies does it need", "what does it depend on", "is it part of that", "hello there")])
+    return fx.read(spark, d, "supplier").select("s_suppkey", F.array_join(T.route_predicates(F.element_at(asks, (F.col("s_suppkey") % 4 + 1).cast("int"))), ",").alias("predicates"))
+
+
+def _types(spark, d):
+    n, r = fx.read(spark, d, "nation"), fx.read(spark, d, "region")
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("entity"), F.col("r_name").alias("type"))
+
+
+@query("match_entities", f"WITH {KG} SELECT DISTINCT canonical FROM (SELECT 'supplier_000000001' AS canonical UNION ALL SELECT o FROM (SELECT o, count(*) AS n FROM kg WHERE o IN ('small_ring', 'red_widget') GROUP BY o) WHERE n > 1 UNION ALL SELECT 'steel_gear') WHERE canonical IN (SELECT s FROM kg UNION SELECT o FROM kg) OR canonical = 'steel_gear'")
+def match_entities(spark, d):
+    c = spark.createDataFrame([("supplier_000000001",), ("small_ring",), ("red_widget",), ("gear",), ("nothing",)], "c string")
+    aliases = spark.createDataFrame([("gear", "steel_gear")], "alias string, canonical string")
+    return retrieval.match_entities(c, aliases, fx.graph(spark, d), spark.createDataFrame([], "entity string, type string"))
+
+
+@query("type_expansion", "WITH t AS (SELECT n_name AS entity, r_name AS type FROM nation JOIN region ON n_regionkey = r_regionkey), m AS (SELECT entity, type FROM t ORDER BY entity LIMIT 1) SELECT t.entity, t.type FROM t WHERE type IN (SELECT type FROM m) AND entity NOT IN (SELECT entity FROM m) ORDER BY entity, type LIMIT 10")
+def type_expansion(spark, d):
+    t = _types(spark, d)
+    return retrieval.type_expansion(t.orderBy("entity").limit(1).select(F.col("entity").alias("canonical")), t)
+
+
+@query("token_overlap", f"""WITH {KG}, c AS (SELECT DISTINCT o AS canonical FROM kg), parts AS (SELECT DISTINCT canonical, unnest(string_split(canonical, '_')) AS part FROM c),
+rare AS (SELECT part FROM parts GROUP BY part HAVING count(*) <= 20), mine AS (SELECT i - 1 AS pos, string_split('small_ring', '_')[i] AS part FROM generate_series(1, 2) t(i)),
+h AS (SELECT canonical, min(pos) AS pos FROM mine JOIN rare USING (part) JOIN parts USING (part) WHERE canonical <> 'small_ring' GROUP BY canonical)
+SELECT 'small_ring' AS source, canonical, string_split('small_ring', '_')[pos + 1] AS via FROM h ORDER BY pos, canonical LIMIT 5""")
+def token_overlap(spark, d):
+    names = fx.graph(spark, d).select(F.col("o").alias("canonical")).distinct()
+    return retrieval.token_overlap(names.filter("canonical = 'small_ring'"), names)
+
+
+FACT = "round(conf * exp(-(epoch(TIMESTAMP '2002-01-01') - epoch(last_seen)) / 86400.0 / 30)"
+
+
+@query("graph_facts_routed", f"""WITH {KG}, e AS (SELECT s, p, o FROM (SELECT *, row_number() OVER (ORDER BY conf DESC, last_reinforced DESC NULLS LAST, s, p, o) AS n FROM kg WHERE o = 'small_ring') WHERE n <= 3),
+r AS (SELECT s, p, o FROM kg WHERE p = 'uses' ORDER BY conf DESC, last_seen DESC, s, p, o LIMIT 10), u AS (SELECT * FROM e UNION SELECT * FROM r),
+f AS (SELECT s, p, o, pos, neg, {FACT} * CASE WHEN p = 'uses' THEN 1.5 ELSE 1 END, 9) AS score FROM kg WHERE (s, p, o) IN (SELECT (s, p, o) FROM u))
+SELECT * FROM f ORDER BY score DESC, s, p, o LIMIT 8""")
+def graph_facts_routed(spark, d):
+    names = spark.createDataFrame([("small_ring",)], "entity string")
+    return retrieval.graph_facts(fx.graph(spark, d), names, ["uses"], "2002-01-01 00:00:00").select("s", "p", "o", "pos", "neg", F.round("score", 9).alias("score"))
+
+
+@query("graph_facts_fallback", f"""WITH {KG}, n AS (SELECT 'small_ring' AS entity, true AS direct UNION ALL SELECT 'red_widget', false),
+e AS (SELECT s, p, o, max(direct) AS direct FROM (SELECT kg.*, entity, direct, row_number() OVER (PARTITION BY entity ORDER BY conf DESC, last_reinforced DESC NULLS LAST, s, p, o) AS n FROM kg JOIN n ON o = entity) WHERE n <= 3 GROUP BY s, p, o),
+f AS (SELECT s, p, o, {FACT} * CASE WHEN direct THEN 1 ELSE 0.5::DOUBLE END, 9) AS score FROM kg JOIN e USING (s, p, o)) SELECT * FROM f ORDER BY score DESC, s, p, o LIMIT 8""")
+def graph_facts_fallback(spark, d):
+    names, over = (spark.createDataFrame([(x,)], "entity string") for x in ("small_ring", "red_widget"))
+    return retrieval.graph_facts(fx.graph(spark, d), names, [], "2002-01-01 00:00:00", overlap=over).select("s", "p", "o", F.round("score", 9).alias("score"))
+
+
+@query("recency_seed", f"WITH {KG} SELECT s, p, o FROM kg ORDER BY last_seen DESC, s, p, o LIMIT 8")
+def recency_seed(spark, d):
+    return retrieval.recency_seed(fx.graph(spark, d)).select("s", "p", "o")
+
+
+# ------------------------------------------------------------------ consolidation, extraction, streaming
+@query("profile_consolidate", "WITH m AS (SELECT event_type AS statement, count(*) AS n FROM events GROUP BY event_type) SELECT statement AS text, 'preference' AS kind, n + CASE WHEN statement = 'view' THEN 5 ELSE 0 END AS pos, 0::BIGINT AS neg FROM m")
+def profile_consolidate(spark, d):
+    old = spark.createDataFrame([("preference", "view", 5, 0)], "kind string, text string, pos long, neg long").withColumns({"first_seen": F.expr("timestamp_ntz'2024-01-01'"), "last_updated": F.expr("timestamp_ntz'2024-01-01'")})
+    marks = fx.read(spark, d, "events").select(F.col("event_id").alias("id"), F.lit("preference").alias("kind"), F.col("event_type").alias("statement"))
+    return consolidation.consolidate_profile(old, marks, "2024-02-01 00:00:00").select("text", "kind", "pos", "neg")
+
+
+@query("profile_cap", "SELECT p_name AS text, count(*) AS pos FROM part GROUP BY p_name ORDER BY pos DESC, text LIMIT 16")
+def profile_cap(spark, d):
+    none = spark.createDataFrame([], "kind string, text string, pos long, neg long, first_seen timestamp_ntz, last_updated timestamp_ntz")
+    marks = fx.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("style").alias("kind"), F.col("p_name").alias("statement"))
+    return consolidation.consolidate_profile(none, marks, "2024-02-01 00:00:00").select("text", "pos")
+
+
+@query("retention_prune", f"""WITH {KG}, a AS (SELECT DISTINCT chunk_id FROM ev WHERE s = 'supplier_000000001'), n AS (SELECT count(*) - 100 AS x FROM orders),
+old AS (SELECT o_orderkey AS chunk_id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS r FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' - INTERVAL 90 DAY AND o_orderkey NOT IN (SELECT chunk_id FROM a))
+SELECT o_orderkey AS chunk_id FROM orders WHERE o_orderkey NOT IN (SELECT chunk_id FROM old, n WHERE r <= x)""")
+def retention_prune(spark, d):
+    ev = fx.evidence(spark, d).filter("s = 'supplier_000000001'")
+    return consolidation.prune_chunks(fx.chunks(spark, d), ev, fx.edges_of(ev), AS_OF, most=100).select("chunk_id")
+
+
+@query("triple_validation", "SELECT s_suppkey, lower(s_name) AS subject, 'uses' AS predicate, 'x' AS object, CASE WHEN s_suppkey % 5 = 2 THEN -1 ELSE 1 END AS polarity FROM supplier WHERE s_suppkey % 5 IN (0, 2)")
+def triple_validation(spark, d):
+    item = lambda p, pol: F.concat(F.lit('[{"subject":" '), F.lower("s_name"), F.lit(f'","predicate":"{p}","object":"x"{pol}}}, 7]'))
+    k = F.col("s_suppkey") % 5
+    raw = F.when(k == 0, item("uses", "")).when(k == 1, item("consumes", "")).when(k == 2, item("uses", ',"polarity":-1')).when(k == 3, item("uses", ',"polarity":99')).otherwise(F.lit("not json"))
+    return extraction.validate_triples(fx.read(spark, d, "supplier").select("s_suppkey", raw.alias("raw"))).select("s_suppkey", "subject", "predicate", "object", "polarity")
+
+
+@query("marker_validation", "SELECT s_suppkey, 'style' AS kind, s_name AS statement FROM supplier WHERE s_suppkey % 2 = 0")
+def marker_validation(spark, d):
+    kind = F.when(F.col("s_suppkey") % 2 == 0, "style").otherwise("mood")
+    raw = F.concat(F.lit('[{"kind":"'), kind, F.lit('","statement":"'), F.col("s_name"), F.lit('"}]'))
+    return extraction.validate_markers(fx.read(spark, d, "supplier").select("s_suppkey", raw.alias("raw"))).select("s_suppkey", "kind", "statement")
+
+
+@query("procedure_steps", "SELECT s_suppkey, s_name AS name, '1:b,2:a' AS steps FROM supplier")
+def procedure_steps(spark, d):
+    raw = F.concat(F.lit('[{"name":"'), F.col("s_name"), F.lit('","steps":[{"order":3,"action":"a"},{"order":1,"action":" b"},{"order":2,"action":" "}]},{"name":"empty","steps":[]}]'))
+    out = extraction.procedure_steps(fx.read(spark, d, "supplier").select("s_suppkey", raw.alias("raw")))
+    return out.select("s_suppkey", "name", F.array_join(F.transform("steps", lambda s: F.concat_ws(":", s["order"].cast("string"), s["action"])), ",").alias("steps"))
+
+
+@query("pending_embeddings", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def pending_embeddings(spark, d):
+    v = fx.read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit("m").alias("model"))
+    return extraction.pending_embeddings(fx.read(spark, d, "documents").select("doc_id"), v, "doc_id", "m")
+
+
+@query("stub_embedding", "WITH h AS (SELECT p_partkey, sha256(p_name) AS h FROM part), r AS (SELECT p_partkey, [('0x' || h[2 * i + 1 : 2 * i + 2])::INT / 255.0::DOUBLE - 0.5::DOUBLE FOR i IN generate_series(0, 15)] AS r FROM h) SELECT p_partkey, round(r[1] / sqrt(list_sum([x * x FOR x IN r])), 6) AS v0, round(r[16] / sqrt(list_sum([x * x FOR x IN r])), 6) AS v15 FROM r")
+def stub_embedding(spark, d):
+    v = fx.read(spark, d, "part").select("p_partkey", extraction.stub_embedding(F.col("p_name")).alias("v"))
+    return v.select("p_partkey", R6(F.col("v")[0]).alias("v0"), R6(F.col("v")[15]).alias("v15"))
+
+
+@query("session_activity", "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, count(*) AS n, round(sum(value), 6) AS total FROM s GROUP BY user_id, k")
+def session_activity(spark, d):
+    return sessions.session_activity(fx.read(spark, d, "events")).select("user_id", "n", "total")
