@@ -19,7 +19,7 @@ from .common import cut, table
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_REPEAT = 2.0
-GROUP = 20_000  # documents of a flight group
+GROUP = 2_000  # documents of a flight group; a group is one Arrow table in a worker, texts included
 
 
 def water_fill(sizes: list[float], weights: list[float], total: float, most: float) -> list[float]:
