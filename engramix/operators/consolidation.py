@@ -12,20 +12,23 @@ from pyspark.sql import functions as F
 from engramix.functions.text import confidence
 from engramix.vocabulary import DEFAULTS, MARKER_PROFILE
 
-_BASE = (F.col("status") == "active") & ~F.col("derived")
+
+
+def _base():
+    return (F.col("status") == "active") & ~F.col("derived")
 
 
 def dependency_hubs(edges: DataFrame, least: float = 0.6, subjects: int = 2, limit: int | None = DEFAULTS["insights_max"]) -> DataFrame:
-    out = edges.filter(_BASE & (F.col("p") == "depends_on") & (confidence(F.col("pos"), F.col("neg")) > least)).groupBy("o").agg(F.array_join(F.array_sort(F.collect_list("s")), ", ").alias("subjects"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= subjects)
+    out = edges.filter(_base() & (F.col("p") == "depends_on") & (confidence(F.col("pos"), F.col("neg")) > least)).groupBy("o").agg(F.array_join(F.array_sort(F.collect_list("s")), ", ").alias("subjects"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= subjects)
     return out.orderBy(F.col("n").desc(), "o").limit(limit) if limit else out
 
 
 def strong_preferences(edges: DataFrame, least: float = 0.7, limit: int = DEFAULTS["insights_max"]) -> DataFrame:
-    return edges.filter(_BASE & F.col("p").isin("prefers", "rejects", "avoids") & (confidence(F.col("pos"), F.col("neg")) > least)).orderBy(F.col("pos").desc(), F.col("last_reinforced").desc_nulls_last(), "s", "p", "o").limit(limit)
+    return edges.filter(_base() & F.col("p").isin("prefers", "rejects", "avoids") & (confidence(F.col("pos"), F.col("neg")) > least)).orderBy(F.col("pos").desc(), F.col("last_reinforced").desc_nulls_last(), "s", "p", "o").limit(limit)
 
 
 def contradictions(edges: DataFrame, limit: int = 5) -> DataFrame:
-    return edges.filter(_BASE & (F.col("pos") >= 1) & (F.col("neg") >= 1)).orderBy((F.col("pos") + F.col("neg")).desc(), "s", "p", "o").limit(limit)
+    return edges.filter(_base() & (F.col("pos") >= 1) & (F.col("neg") >= 1)).orderBy((F.col("pos") + F.col("neg")).desc(), "s", "p", "o").limit(limit)
 
 
 def insights(edges: DataFrame, limit: int = DEFAULTS["insights_max"]) -> DataFrame:
