@@ -35,7 +35,9 @@ HINTS = (
     "commit", "hash", "sha", "sha1", "sha256", "md5", "checksum", "uuid", "id", "order", "invoice", "version", "build", "revision", "mail", "email", "url", "phone", "call", "see", "ref", "isbn",
 )
 _HINT = frozenset(HINTS)
-_SIMPLE = re.compile(r"[^\W\d_]{1,20}[.,;:!?]?\Z")
+_SIMPLE = re.compile(r"[^\W\d_]{1,20}[.,;:!?]{0,2}(?:###|\$\$\$|%%%|&&&|\*\*\*)?\Z")
+_RUNS = re.compile(r"(.)\1\1")
+_PARTS = re.compile(r"[a-z0-9]+")
 _PREFIX = re.compile(r"(gh[pousr]_|github_pat_|sk[-_]|pk[-_]|rk[-_]|xox[abprs]-|eyJ|AIza|AKIA|ASIA|ya29\.|glpat-|npm_|SG\.|hf_|-----BEGIN|-----END)")
 
 
@@ -63,9 +65,12 @@ def _value(token: str) -> str:
     return v.strip("\"'`,;()[]{}<>.!?")
 
 
+_NLOGN = [0.0, *(k * math.log2(k) for k in range(1, 201))]
+
+
 def _entropy(v: str) -> float:
     n = len(v)
-    return -sum(c / n * math.log2(c / n) for c in (v.count(x) for x in set(v))) if n else 0.0
+    return math.log2(n) - sum([_NLOGN[v.count(x)] for x in set(v)]) / n if n else 0.0
 
 
 def token_features(token: str) -> list[str]:
@@ -113,7 +118,7 @@ def token_features(token: str) -> list[str]:
         f.append("numbers")
     if any(ord(c) > 127 for c in v):
         f.append("nonascii")
-    if re.search(r"(.)\1\1", v):
+    if _RUNS.search(v):
         f.append("runs")
     name = re.match(r"""["'`]*([A-Za-z_][\w.-]*)["']?[=:]""", token)
     if name:
@@ -123,7 +128,9 @@ def token_features(token: str) -> list[str]:
 
 
 def _hints(token: str) -> list[str]:
-    return sorted({p for p in re.split(r"[^a-z0-9]+", token.lower()) if p in _HINT} | ({"key"} if "apikey" in token.lower() else set()))
+    low = token.lower()
+    found = _HINT.intersection(_PARTS.findall(low))
+    return sorted(found | {"key"} if "apikey" in low else found)
 
 
 def side_features(token: str) -> list[str]:
@@ -262,7 +269,10 @@ class Crf:
 
     def __init__(self, weights: dict[str, np.ndarray], trans: np.ndarray):
         self.weights, self.trans = weights, trans
-        self.swing = 2 * float(trans.max() - trans.min())
+        # how much better than O a label x may make the transitions around a token: before it, after it
+        # towards O or B, and after it towards I (then against O followed by B)
+        t = trans
+        self.lead = {x: (float((t[:, x] - t[:, O]).max()), float((t[x, :I] - t[O, :I]).max()), float(t[x, I] - t[O, B] + (t[I] - t[B]).max())) for x in (B, I)}
         self.reset()
 
     def reset(self) -> None:
@@ -291,8 +301,9 @@ class Crf:
     def tags(self, tokens: list[str], text: str) -> tuple[np.ndarray, list[int]] | None:
         """Positions and labels of the tokens outside label O, or None.
 
-        A token whose score for O leads by more than any transitions can make up is O on the best
-        path for sure; only the runs between such tokens go through Viterbi, which is exact.
+        A token is O on the best path for sure if any path with another label there gets better by
+        putting O (and B for an I that follows); only the runs between such tokens go through
+        Viterbi, which keeps it exact.
         """
         n = len(tokens)
         if not n:
@@ -304,7 +315,12 @@ class Crf:
         e = rows[at, 0:3] + self.sums("", file_features(text, n))
         e[1:] += rows[at[:-1], 3:6]
         e[:-1] += rows[at[1:], 6:9]
-        open_ = np.flatnonzero(e[:, O] - np.maximum(e[:, B], e[:, I]) <= self.swing)
+        start = np.append(e[1:, B] - e[1:, I], np.inf)
+        sure = np.ones(n, bool)
+        for x, (before, after, inside) in self.lead.items():
+            ahead = e[:, O] - e[:, x] - before
+            sure &= (ahead > after) & (ahead + start > inside)
+        open_ = np.flatnonzero(~sure)
         if not len(open_):
             return None
         found, labels = [], []
@@ -323,9 +339,11 @@ class _Table(dict):
 
     def __missing__(self, token: str) -> int:
         crf = self.crf
-        if _SIMPLE.match(token) and token.isascii() and token.lower().rstrip(".,;:!?") not in _HINT and "apikey" not in token.lower():
-            core = token.rstrip(".,;:!?")
-            kind = ("l" if core.islower() else "u" if core.isupper() else "c" if core[1:].islower() else "m", token[len(core) :], len(core) // 5, len(set(core)) // 2, bool(re.search(r"(.)\1\1", core)))
+        if _SIMPLE.match(token) and not _hints(token):
+            # features of such tokens follow from these few facts
+            v = token.strip("\"'`,;()[]{}<>.!?")
+            core = token.rstrip(".,;:!?#$%&*")
+            kind = (any(map(str.islower, v)), any(map(str.isupper, v)), token[len(core) :], min(9, len(v) // 5), int(min(5.9, _entropy(v)) * 2), token.isascii(), bool(_RUNS.search(v)))
             i = crf.simple.get(kind)
             if i is None:
                 i = crf.simple[kind] = crf.add(token)
