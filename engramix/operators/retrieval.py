@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramix.functions.text import analyze, confidence
+from engramix.functions.text import confidence
+from engramix.sources.checkpoint import cut
 from engramix.vocabulary import DEFAULTS
 
 KEY = ["s", "p", "o"]
@@ -16,10 +19,12 @@ def bm25(docs: DataFrame, terms: list[str], top_k: int, k1: float = 1.2, b: floa
 
     Only the query's terms are counted in each text, so no posting of another word is ever made.
     """
-    terms = sorted(set(terms))
-    words = docs.select("id", analyze(F.coalesce("text", F.lit(""))).alias("w"))
-    at = lambda t: F.size(F.filter("w", lambda x: x == t))
-    tf = words.select("id", F.size("w").alias("dl"), *[at(t).alias(f"t{i}") for i, t in enumerate(terms)])
+    terms = sorted({t for t in terms if re.fullmatch("[a-z0-9]{2,}", t)})
+    low = docs.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("w"))
+    # counts of the analyser's tokens (runs of a-z and 0-9, two or more) without building arrays of them
+    at = lambda t: F.regexp_count("w", F.lit(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])"))
+    tf = low.select("id", F.regexp_count("w", F.lit("[a-z0-9]{2,}")).alias("dl"), *[at(t).alias(f"t{i}") for i, t in enumerate(terms)])
+    tf = cut(tf)  # a few numbers per document, read by both the statistics and the scores, so texts are scanned once
     stats = tf.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
