@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -62,6 +63,11 @@ def query_tokens(query: Column) -> Column:
     return F.filter(F.split(F.trim(F.regexp_replace(query, r"[^A-Za-z0-9_\- ]+", " ")), " +"), lambda t: F.length(t) >= 2)
 
 
+def search_words(query: str) -> list[str]:
+    """The same terms of one query, on the driver."""
+    return [t for t in re.sub(r"[^A-Za-z0-9_\- ]+", " ", query).split(" ") if len(t) >= 2]
+
+
 def analyze(text: Column) -> Column:
     """Lower-cased runs of a-z and 0-9 with two characters or more."""
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: F.length(t) >= 2)

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from engramix.vocabulary import ENTITY_TYPES, MARKER_PROFILE, PREDICATES
 
 
-def _items(answers: DataFrame, raw: str) -> DataFrame:
+def items(answers: DataFrame, raw: str) -> DataFrame:
     """One row per object of each answer that is a JSON array; `n` is its place."""
     parsed = answers.withColumn("_v", F.try_parse_json(F.col(raw)))
     arrays = parsed.filter(F.schema_of_variant("_v").startswith("ARRAY"))
-    items = arrays.select("*", F.posexplode(F.expr("try_variant_get(_v, '$', 'array<variant>')")).alias("n", "item")).drop("_v")
-    return items.filter(F.schema_of_variant("item").startswith("OBJECT"))
+    each = arrays.select("*", F.posexplode(F.expr("try_variant_get(_v, '$', 'array<variant>')")).alias("n", "item")).drop("_v")
+    return each.filter(F.schema_of_variant("item").startswith("OBJECT"))
 
 
-def _string(path: str) -> Column:
+def string_member(path: str) -> Column:
     """A string member, trimmed; null if it is missing, blank or no string."""
     kind = F.schema_of_variant(F.expr(f"try_variant_get(item, '$.{path}', 'variant')"))
     value = F.trim(F.try_variant_get("item", f"$.{path}", "string"))
@@ -30,32 +30,32 @@ def validate_triples(answers: DataFrame, raw: str = "raw") -> DataFrame:
     missing = F.try_variant_get("item", "$.polarity", "variant").isNull()
     polarity = F.when(missing, 1).when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), F.when(value == 1, 1).when(value == -1, -1))
     numeric = F.when(F.schema_of_variant(F.expr("try_variant_get(item, '$.value_numeric', 'variant')")).rlike("BIGINT|DOUBLE|DECIMAL"), F.try_variant_get("item", "$.value_numeric", "double"))
-    out = _items(answers, raw).select(
-        *[c for c in answers.columns if c != raw], "n", _string("subject").alias("subject"), _string("predicate").alias("predicate"), _string("object").alias("object"), polarity.alias("polarity"),
-        _string("value_text").alias("value_text"), numeric.alias("value_numeric"), _string("value_unit").alias("value_unit"), _string("temporal_scope").alias("temporal_scope"),
+    out = items(answers, raw).select(
+        *[c for c in answers.columns if c != raw], "n", string_member("subject").alias("subject"), string_member("predicate").alias("predicate"), string_member("object").alias("object"), polarity.alias("polarity"),
+        string_member("value_text").alias("value_text"), numeric.alias("value_numeric"), string_member("value_unit").alias("value_unit"), string_member("temporal_scope").alias("temporal_scope"),
     )
     return out.filter(F.col("subject").isNotNull() & F.col("object").isNotNull() & F.col("predicate").isin(*PREDICATES) & F.col("polarity").isNotNull())
 
 
 def entity_type_hints(answers: DataFrame, raw: str = "raw", key: str = "chunk_id") -> DataFrame:
     """Last valid type of each surface in an answer."""
-    items = _items(answers, raw)
-    pair = lambda who: F.struct(_string(who).alias("surface"), _string(f"{who}_type").alias("type"))
-    each = items.select(key, "n", F.explode(F.array(pair("subject"), pair("object"))).alias("h")).select(key, "n", "h.*").filter(F.col("surface").isNotNull() & F.col("type").isin(*ENTITY_TYPES))
+    each_item = items(answers, raw)
+    pair = lambda who: F.struct(string_member(who).alias("surface"), string_member(f"{who}_type").alias("type"))
+    each = each_item.select(key, "n", F.explode(F.array(pair("subject"), pair("object"))).alias("h")).select(key, "n", "h.*").filter(F.col("surface").isNotNull() & F.col("type").isin(*ENTITY_TYPES))
     return each.groupBy(key, "surface").agg(F.max_by("type", "n").alias("type"))
 
 
 def validate_markers(answers: DataFrame, raw: str = "raw") -> DataFrame:
-    out = _items(answers, raw).select(*[c for c in answers.columns if c != raw], "n", _string("kind").alias("kind"), _string("statement").alias("statement"))
+    out = items(answers, raw).select(*[c for c in answers.columns if c != raw], "n", string_member("kind").alias("kind"), string_member("statement").alias("statement"))
     return out.filter(F.col("kind").isin(*MARKER_PROFILE) & F.col("statement").isNotNull())
 
 
 def procedure_steps(answers: DataFrame, raw: str = "raw") -> DataFrame:
     """Procedures with their valid steps in order, numbered anew; those without steps or name are dropped."""
-    items = _items(answers, raw).select(*[c for c in answers.columns if c != raw], "n", _string("name").alias("name"), F.substring(F.coalesce(_string("description"), F.lit("")), 1, 500).alias("description"), F.expr("try_variant_get(item, '$.steps', 'array<struct<`order`:double,action:string,tool:string>>')").alias("steps"))
+    found = items(answers, raw).select(*[c for c in answers.columns if c != raw], "n", string_member("name").alias("name"), F.substring(F.coalesce(string_member("description"), F.lit("")), 1, 500).alias("description"), F.expr("try_variant_get(item, '$.steps', 'array<struct<`order`:double,action:string,tool:string>>')").alias("steps"), *[F.coalesce(F.expr(f"try_variant_get(item, '$.{p}', 'array<string>')"), F.array().cast("array<string>")).alias(c) for p, c in (("triggers", "triggers"), ("entities_involved", "entities"))])
     good = F.filter("steps", lambda s: s["order"].isNotNull() & (F.trim(F.coalesce(s["action"], F.lit(""))) != ""))
     placed = F.array_sort(F.transform(good, lambda s, i: F.struct(s["order"].alias("o"), i.alias("i"), F.trim(s["action"]).alias("action"), s["tool"].alias("tool"))))
-    return items.withColumn("steps", F.transform(placed, lambda s, i: F.struct((i + 1).alias("order"), s["action"].alias("action"), s["tool"].alias("tool")))).filter(F.col("name").isNotNull() & (F.size("steps") > 0))
+    return found.withColumn("steps", F.transform(placed, lambda s, i: F.struct((i + 1).alias("order"), s["action"].alias("action"), s["tool"].alias("tool")))).filter(F.col("name").isNotNull() & (F.size("steps") > 0))
 
 
 def pending_embeddings(texts: DataFrame, vectors: DataFrame, key: str, model: str) -> DataFrame:

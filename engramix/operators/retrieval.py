@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engramix.functions import stem as S
+from engramix.functions import text as T
 from engramix.functions.text import confidence
 from engramix.sources.checkpoint import cut
 from engramix.vocabulary import DEFAULTS
@@ -14,16 +16,26 @@ from engramix.vocabulary import DEFAULTS
 KEY = ["s", "p", "o"]
 
 
-def bm25(docs: DataFrame, terms: list[str], top_k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, query: str | list[str], top_k: int, k1: float = 1.2, b: float = 0.75, stemmed: bool = False) -> DataFrame:
     """id and score (negative, lower is better) of the best documents; docs has id and text.
 
     Only the query's terms are counted in each text, so no posting of another word is ever made.
+    stemmed matches words by Porter stem over all scripts; else terms are runs of a-z and 0-9, two or more.
     """
-    terms = sorted({t for t in terms if re.fullmatch("[a-z0-9]{2,}", t)})
-    low = docs.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("w"))
-    # counts of the analyser's tokens (runs of a-z and 0-9, two or more) without building arrays of them
-    at = lambda t: F.regexp_count("w", F.lit(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])"))
-    tf = low.select("id", F.regexp_count("w", F.lit("[a-z0-9]{2,}")).alias("dl"), *[at(t).alias(f"t{i}") for i, t in enumerate(terms)])
+    words = query if isinstance(query, list) else T.search_words(query)
+    if stemmed:
+        terms = S.terms(" ".join(words))
+        if terms:
+            tf = docs.select("id", S.length(F.col("text")).alias("dl"), S.counts(F.col("text"), terms).alias("n"))
+            tf = tf.select("id", "dl", *[F.col("n")[i].alias(f"t{i}") for i in range(len(terms))])
+    else:
+        terms = sorted({t for t in words if re.fullmatch("[a-z0-9]{2,}", t)})
+        low = docs.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("w"))
+        # counts of the analyser's tokens (runs of a-z and 0-9, two or more) without building arrays of them
+        at = lambda t: F.regexp_count("w", F.lit(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])"))
+        tf = low.select("id", F.regexp_count("w", F.lit("[a-z0-9]{2,}")).alias("dl"), *[at(t).alias(f"t{i}") for i, t in enumerate(terms)])
+    if not terms:
+        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
     tf = cut(tf)  # a few numbers per document, read by both the statistics and the scores, so texts are scanned once
     stats = tf.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
     score = F.lit(0.0)

@@ -9,6 +9,7 @@ ENTITY_TYPES = (
     "language", "framework", "database", "service", "tool", "library", "file", "environment", "protocol", "container",
     "package_manager", "api", "platform", "config_file", "testing_framework", "ci_tool", "monitoring_tool", "identity_provider", "message_broker", "or_other_tool",
 )
+ROLES = ("user", "assistant", "system", "tool")
 MARKER_PROFILE = {"preference": "preference", "rejection": "avoidance", "correction": "context", "style": "style"}
 EXCLUSIVE = ("runs_on", "requires_version", "deploys_to")
 OPPOSING = (("prefers", "rejects"), ("prefers", "avoids"), ("uses", "rejects"), ("uses", "avoids"), ("depends_on", "conflicts_with"))
