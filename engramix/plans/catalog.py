@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramix.functions import text as T
-from engramix.operators import chunking, consolidation, extraction, graph, retrieval
+from engramix.functions.ranking import numbered
+from engramix.operators import chunking, consolidation, extraction, graph, ingest, narrative, retrieval
+from engramix.plans import dream, service
 from engramix.sources import fixtures as fx
+from engramix.sources.store import SCHEMAS
 from engramix.streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -460,3 +463,106 @@ def stub_embedding(spark, d):
 @query("session_activity", "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, count(*) AS n, round(sum(value), 6) AS total FROM s GROUP BY user_id, k")
 def session_activity(spark, d):
     return sessions.session_activity(fx.read(spark, d, "events")).select("user_id", "n", "total")
+
+
+# ------------------------------------------------------------------ ingestion, narratives, service
+@query("capture_turns", f"WITH {MSG} SELECT session_id, count(*) AS n, sum(length(content))::BIGINT AS chars FROM msg WHERE role IN ('user', 'assistant') AND trim(content) <> '' GROUP BY session_id")
+def capture_turns(spark, d):
+    """Whole conversations as JSON; system turns are sent under a role that is none."""
+    m = fx.messages(spark, d).withColumn("role", F.regexp_replace("role", "system", "robot"))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("id", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    raw = m.groupBy("session_id").agg(F.to_json(turns).alias("raw"))
+    got, _ = ingest.captured_turns(raw)
+    return got.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("content")).alias("chars"))
+
+
+@query("append_message_ids", f"WITH {MSG} SELECT session_id, id AS pos, row_number() OVER (ORDER BY session_id, id) AS id FROM msg")
+def append_message_ids(spark, d):
+    rows = fx.messages(spark, d).select("session_id", F.col("id").alias("pos"))
+    return numbered(rows, "id", "session_id", "pos")
+
+
+@query("open_sessions", f"WITH {MSG} SELECT DISTINCT session_id FROM msg WHERE session_id::BIGINT % 2 = 1")
+def open_sessions(spark, d):
+    m = fx.messages(spark, d)
+    have = m.filter("cast(session_id AS bigint) % 2 = 0").select("session_id").distinct()
+    return ingest.open_sessions(have, m, AS_OF).select("session_id")
+
+
+@query("close_sessions", f"WITH {MSG} SELECT session_id, CASE WHEN session_id::BIGINT % 3 = 0 THEN '2000-01-01' WHEN session_id::BIGINT % 5 = 0 THEN '1999-01-01' END AS ended FROM (SELECT DISTINCT session_id FROM msg) WHERE session_id::BIGINT % 15 <> 0")
+def close_sessions(spark, d):
+    k = F.col("session_id").cast("long")
+    s = fx.messages(spark, d).select("session_id").distinct().filter(k % 15 != 0).withColumn("ended_at", F.when(k % 5 == 0, F.expr("timestamp_ntz'1999-01-01'")))
+    return ingest.close_sessions(s, s.filter(k % 3 == 0), AS_OF).select("session_id", DAY("ended_at").alias("ended"))
+
+
+@query("register_peers", "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'user-' ELSE 'agent-' END || (c_custkey // 2) AS id, CASE WHEN c_custkey % 10 = 0 THEN 'tool' WHEN c_custkey % 2 = 0 THEN 'user' ELSE 'assistant' END AS role FROM customer")
+def register_peers(spark, d):
+    """Every customer as a peer, sent twice; the second time some with a role of their own."""
+    k = F.col("c_custkey")
+    c = fx.read(spark, d, "customer").select(F.lit("w").alias("workspace_id"), F.concat(F.when(k % 2 == 0, "user-").otherwise("agent-"), F.floor(k / 2).cast("string")).alias("id"), F.lit(None).cast("string").alias("metadata"), "c_custkey")
+    first = c.select(F.lit(1).alias("pos"), "workspace_id", "id", F.lit("system").alias("role"), "metadata")
+    last = c.select(F.lit(2).alias("pos"), "workspace_id", "id", F.when(k % 10 == 0, "tool").alias("role"), "metadata")
+    return ingest.register_peers(spark.createDataFrame([], SCHEMAS["peers"]), first.unionByName(last), AS_OF).select("id", "role")
+
+
+@query("mention_index", f"WITH {KG} SELECT p_partkey, replace(p_name, ' ', '_') AS entity FROM part WHERE replace(p_name, ' ', '_') IN (SELECT o FROM kg)")
+def mention_index(spark, d):
+    chunks = fx.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("chunk_id"), F.initcap("p_name").alias("text"))
+    none = spark.createDataFrame([], SCHEMAS["aliases"])
+    return ingest.mention_index(chunks, none, fx.graph(spark, d)).select(F.col("chunk_id").cast("long").alias("p_partkey"), "entity")
+
+
+@query("resolve_aliases", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'nation_' || n_nationkey ELSE trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '_', 'g'), '_') END AS canonical FROM nation")
+def resolve_aliases(spark, d):
+    n = fx.read(spark, d, "nation").select("n_nationkey", F.lower("n_name").alias("surface"))
+    aliases = n.filter("n_nationkey % 2 = 0").select(T.normalize(F.col("surface")).alias("alias"), F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias("canonical"))
+    return ingest.resolve(n, "surface", aliases, "canonical").select("n_nationkey", "canonical")
+
+
+@query("evidence_merge", f"WITH {EV} SELECT s, p, o, chunk_id::VARCHAR AS chunk_id, polarity FROM (SELECT DISTINCT s, p, o, chunk_id, polarity FROM ev)")
+def evidence_merge(spark, d):
+    """Half of the evidence is there, then all of it comes."""
+    ev = fx.evidence(spark, d).withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    none = spark.createDataFrame([], SCHEMAS["evidence"])
+    full = ev.withColumns({c: F.lit(None).cast(none.schema[c].dataType) for c in none.columns if c not in ev.columns})
+    old = dream.merged_evidence(none, full.filter("polarity = 1"))
+    return dream.merged_evidence(old, full).select("s", "p", "o", "chunk_id", "polarity")
+
+
+EPISODES = BM.replace("coalesce(text, '')", "source || chr(10) || coalesce(text, '')")
+
+
+@query("episode_search", f"WITH {EPISODES} SELECT doc_id::VARCHAR AS episode_id, source AS title, left(coalesce(text, ''), 300) AS summary, round(score, 6) AS score FROM bm JOIN documents ON id = doc_id ORDER BY bm.score, doc_id::VARCHAR LIMIT 5")
+def episode_search(spark, d):
+    docs = fx.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("episode_id"), F.lit("s").alias("session_id"), F.col("source").alias("title"), F.coalesce("text", F.lit("")).alias("summary"), F.lit("ok").alias("outcome"))
+    return narrative.episode_search(docs, " ".join(TERMS), 5, stemmed=False).select("episode_id", "title", "summary", R6("score").alias("score"))
+
+
+@query("procedure_search", """WITH tok AS (SELECT p_partkey AS id, list_filter(string_split_regex(lower(p_name || chr(10) || p_brand || chr(10) || '[{"order":1,"action":"' || p_type || '"}]'), '[^a-z0-9]+'), lambda x: length(x) >= 2) AS w FROM part),
+tf AS (SELECT id, len(w) AS dl, t, len(list_filter(w, lambda x: x = t)) AS tf FROM tok, (SELECT unnest(['ring', 'economy']) AS t)), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok), df AS (SELECT t, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY t),
+bm AS (SELECT id, -sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (t), st WHERE tf > 0 GROUP BY id)
+SELECT lpad(id::VARCHAR, 8, '0') AS procedure_id, p_name AS name, round(score, 6) AS score FROM bm JOIN part ON id = p_partkey ORDER BY round(bm.score, 9), id LIMIT 10""")
+def procedure_search(spark, d):
+    step = F.array(F.struct(F.lit(1).alias("order"), F.col("p_type").alias("action")))
+    p = fx.read(spark, d, "part").select(F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("procedure_id"), F.lit("s").alias("session_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("description"), step.alias("steps"))
+    return narrative.procedure_search(p, "ring economy", 10, stemmed=False).select("procedure_id", "name", R6("score").alias("score"))
+
+
+@query("bm25_stemmed")
+def bm25_stemmed(spark, d):
+    """Stemmed search; SQL has no stemmer, so tests hold it against brute force."""
+    docs = fx.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return retrieval.bm25(docs, "deployments and connected passwords", 10, stemmed=True).select("id", R6("score").alias("score"))
+
+
+@query("session_text", f"""WITH {MSG}, l AS (SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY id) AS t FROM msg GROUP BY session_id) SELECT session_id, left(t, 500) AS text FROM l""")
+def session_text(spark, d):
+    return narrative.session_text(fx.messages(spark, d), 500)
+
+
+@query("doctor_checks", f"WITH {KG} SELECT 'drift_' || x AS \"check\", CASE x WHEN 'object' THEN (SELECT count(DISTINCT o) FROM kg) ELSE 0 END AS n FROM (SELECT unnest(['subject', 'object', 'alias', 'type']) AS x) UNION ALL SELECT unnest(['wrong_dimension', 'negative_support', 'evidence_without_chunk']), 0")
+def doctor_checks(spark, d):
+    """Over the fixture graph with its objects spelled in capitals."""
+    held = {"edges": fx.graph(spark, d).withColumn("o", F.upper("o"))}
+    return service.doctor(lambda n: held.get(n) if n in held else spark.createDataFrame([], SCHEMAS[n])).select("check", "n")

@@ -35,6 +35,23 @@ def test_stemmed_search(spark):
     assert retrieval.bm25(docs, "??", 5, stemmed=True).count() == 0 and retrieval.bm25(docs, "??", 5).count() == 0
 
 
+def test_stemmed_search_against_brute_force(spark):
+    import math
+    import re
+
+    texts = ["Deployments were connected", "a connection to passwords and passwords", "no words here", "Déployment, déployé: CONNECT!", "and and and", "deploy"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    bags = [[stem.stem(w) for w in re.findall(r"[^\W_]+", stem.plain(t))] for t in texts]
+    mean, want = sum(map(len, bags)) / len(bags), {}
+    for t in stem.terms("deployments and connected passwords"):
+        df = sum(t in b for b in bags)
+        for i, b in enumerate(bags):
+            if (tf := b.count(t)):
+                want[i] = want.get(i, 0) - math.log(1 + (len(bags) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(b) / mean))
+    got = {r["id"]: r["score"] for r in retrieval.bm25(docs, "deployments and connected passwords", 100, stemmed=True).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_numbers_are_gapless(spark):
     df = spark.range(1000).withColumn("k", F.hash("id"))
     got = [r["n"] for r in numbered(df, "n", "k", "id", start=5).orderBy("k", "id").collect()]
