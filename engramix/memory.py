@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import logging
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from engramix.clients import LLM, Embedder
 from engramix.operators import chunking, consolidation, graph, ingest
 from engramix.plans import augment as answers
 from engramix.plans import dream as cycles
 from engramix.sources.store import MemoryStore
+from engramix.streaming.sessions import dream_stream
+
+log = logging.getLogger(__name__)
 
 NO_SIGNALS = "_No behavioral signals collected yet._"
 NO_INSIGHTS = "_No insights yet — the graph is still warming up._"
@@ -31,12 +37,31 @@ class Memory:
         ids = self.spark.createDataFrame([(session,)], "session_id string")
         self.store.commit(replace={"sessions": ingest.close_sessions(self.store.table("sessions"), ids, as_of)})
 
-    def log(self, turns: DataFrame, as_of: str) -> int:
+    def log(self, turns: DataFrame, as_of: str, batch: tuple[str, int] | None = None) -> int:
         """Append turns (session_id, pos, role, content) in one commit, opening sessions as needed; returns how many."""
+        if batch and batch[1] <= self.store.done(batch[0]):
+            return 0
         rows = ingest.append_messages(self.store.table("messages"), turns, as_of)
-        self.store.commit(append={"sessions": ingest.open_sessions(self.store.table("sessions"), turns, as_of), "messages": rows})
+        self.store.commit(append={"sessions": ingest.open_sessions(self.store.table("sessions"), turns, as_of), "messages": rows}, batch=batch)
         return rows.count()
 
+    def follow(self, turns: DataFrame, name: str, checkpoint: str, as_of: Callable[[], str], cooldown: str | None = "60 seconds") -> StreamingQuery:
+        """Log a stream of turns and dream after each micro-batch, at most once per cooldown (None: once over what is there).
+
+        A cycle that fails is recorded and leaves the turns logged; the next batch tries again.
+        """
+
+        def cycle(batch: DataFrame, number: int) -> None:
+            now = as_of()
+            self.log(batch, now, (name, number))
+            if self.llm is not None:
+                try:
+                    self.dream(now)
+                except Exception:  # recorded in dream_runs; ingestion goes on
+                    log.exception("dream cycle failed")
+
+        return dream_stream(turns, cycle, checkpoint, cooldown)
+
     def capture(self, payloads: DataFrame, as_of: str) -> tuple[int, list[str]]:
         """Log JSON conversations (session_id, raw); returns how many turns came in, and errors."""
         turns, errors = ingest.captured_turns(payloads)
@@ -77,6 +102,16 @@ class Memory:
         with open(path, encoding="utf-8") as f:
             return f.read()
 
+    def put_note(self, name: str, content: str) -> None:
+        """Overwrite a note file in one step."""
+        if not self.notes:
+            raise ValueError("this memory keeps no notes")
+        os.makedirs(self.notes, exist_ok=True)
+        part = f"{self.notes}/.{name}.part"
+        with open(part, "w", encoding="utf-8") as f:
+            f.write(content)
+        os.replace(part, f"{self.notes}/{name}")
+
     # ---- out
     def augment(self, message: str, as_of: str) -> answers.Context:
         version = self.store.manifest()["version"]

@@ -69,13 +69,15 @@ def register_peers(peers: DataFrame, new: DataFrame, as_of: str) -> DataFrame:
 
 
 def parsed_peers(bodies: DataFrame, raw: str = "raw") -> DataFrame:
-    """Peers of request bodies in either shape: an object of id to settings, or an array of ids or objects with id."""
+    """Peers of request bodies: an object of id to settings, an array of ids or objects with id, or such an array under `peers`."""
     v = bodies.withColumn("_v", F.try_parse_json(F.col(raw)))
+    inner = F.expr("try_variant_get(_v, '$.peers', 'variant')")
+    v = v.withColumn("_v", F.when(F.schema_of_variant(inner).startswith("ARRAY"), inner).otherwise(F.col("_v")))
     by_id = v.filter(F.schema_of_variant("_v").startswith("OBJECT")).select("workspace_id", F.posexplode(F.map_entries(F.expr("try_variant_get(_v, '$', 'map<string,variant>')"))).alias("pos", "e"))
     listed = v.filter(F.schema_of_variant("_v").startswith("ARRAY")).select("workspace_id", F.posexplode(F.expr("try_variant_get(_v, '$', 'array<variant>')")).alias("pos", "e"))
     a = by_id.select("workspace_id", "pos", F.col("e.key").alias("id"), F.try_variant_get("e.value", "$.role", "string").alias("role"), F.to_json("e.value").alias("metadata"))
     plain = F.schema_of_variant("e") == "STRING"
-    b = listed.select("workspace_id", "pos", F.when(plain, F.try_variant_get("e", "$", "string")).otherwise(F.try_variant_get("e", "$.id", "string")).alias("id"), F.when(~plain, F.try_variant_get("e", "$.role", "string")).alias("role"), F.when(plain, "{}").otherwise(F.to_json("e")).alias("metadata"))
+    b = listed.select("workspace_id", "pos", F.when(plain, F.try_variant_get("e", "$", "string")).otherwise(F.try_variant_get("e", "$.id", "string")).alias("id"), F.when(~plain, F.try_variant_get("e", "$.role", "string")).alias("role"), F.when(plain, "{}").otherwise(F.coalesce(F.to_json(F.expr("try_variant_get(e, '$.metadata', 'variant')")), F.to_json("e"))).alias("metadata"))
     return a.unionByName(b).filter("id is not null and id <> ''")
 
 

@@ -23,14 +23,14 @@ def session_activity(events: DataFrame, gap: str = "6 hours", late: str | None =
     return e.groupBy("user_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
-def dream_stream(messages: DataFrame, cycle: Callable[[DataFrame, int], None], checkpoint: str, cooldown: str = "60 seconds") -> StreamingQuery:
-    """Run cycle(batch, batch_id) at most once per cooldown; the checkpoint makes each batch count once and one writer hold it."""
+def dream_stream(messages: DataFrame, cycle: Callable[[DataFrame, int], None], checkpoint: str, cooldown: str | None = "60 seconds") -> StreamingQuery:
+    """Run cycle(batch, batch_id) at most once per cooldown (None: over what is there, then stop); the checkpoint makes each batch count once and one writer hold it."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
             cycle(batch, batch_id)
 
-    return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=cooldown).start()
+    return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**({"processingTime": cooldown} if cooldown else {"availableNow": True})).start()
 
 
 CHUNK = "chunk_id string, session_id string, start_message_id long, end_message_id long, salience_reason string, text string, created_at timestamp"

@@ -229,3 +229,47 @@ def test_chunk_stream_carries_state(spark, tmp_path):
     put([("s", 2, "user", "No, actually pnpm.")])
     run()
     assert [(r["start_message_id"], r["text"]) for r in got] == [(1, "assistant: Use npm.\nuser: No, actually pnpm.")]
+
+
+def test_a_followed_stream_counts_once(spark, tmp_path):
+    schema = "session_id string, pos int, role string, content string"
+    m = Memory(spark, str(tmp_path / "m"), clients.StubLLM(FIXTURES))
+    spark.createDataFrame([("s", 1, "user", "We use Postgres for the Billing Service.")], schema).write.parquet(str(tmp_path / "in"))
+    turns = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    m.follow(turns, "chat", str(tmp_path / "c"), lambda: T2, None).awaitTermination(180)
+    assert m.store.table("messages").count() == 1 and m.store.table("edges").count() == 3
+    batch = spark.createDataFrame([("s", 1, "user", "x")], schema)
+    assert m.log(batch, T2, ("chat", 0)) == 0 and m.store.table("messages").count() == 1
+
+
+def test_http(spark, dreamt):
+    import threading
+    import urllib.request
+
+    from engramix import http
+
+    m, _ = dreamt
+    ask = lambda verb, path, body=None: http.answer(m, verb, path, body, T2)
+    w = "/v3/workspaces/w"
+    assert ask("POST", "/v3/workspaces", {"id": "w"})[0] == 201
+    assert ask("POST", w + "/peers", {"id": "agent-7"})[0] == 201
+    assert ask("GET", w + "/peers/agent-7")[0] == 200 and ask("GET", w + "/peers/nobody")[0] == 404
+    assert ask("POST", w + "/sessions", {"id": "web"})[0] == 201 and ask("GET", w + "/sessions/none")[0] == 404
+    assert ask("POST", w + "/sessions/web/messages", {"messages": [{"peer_id": "agent-7", "content": "hi"}, {"peer_id": "user-1", "content": "hello there"}]}) == (201, {"added": 2})
+    page = ask("POST", w + "/sessions/web/messages/list", {"page": 2, "size": 1})[1]
+    assert (page["total"], page["pages"], page["items"][0]["token_count"]) == (2, 2, 2)
+    assert ask("POST", w + "/sessions/web/messages/list", {"size": 0})[0] == 422
+    assert ask("POST", w + "/sessions/web/peers", {"peers": [{"id": "z", "metadata": {"observe_me": False}}]})[1] == {"added": 1}
+    assert ask("GET", w + "/sessions/web/peers/z/config")[1] == {"observe_me": False, "observe_others": True}
+    assert len(ask("POST", w + "/sessions/web/search", {"query": "where is the local disk", "limit": 5})[1]) >= 1
+    assert ask("GET", w + "/sessions/web/context")[1]["peers"] == ["assistant", "user"]
+    assert ask("GET", w + "/peers/z/context?search_query=local%20disk")[1]["results"]
+    assert ask("POST", w + "/peers/z/chat", {"query": "local disk"})[1]["results"][0]["facts"]
+    assert ask("GET", w + "/conflicts")[1] == {"conflicts": []}
+    assert ask("POST", w + "/peers/z/representation", {"content": "likes tea"})[0] == 200 and m.note("USER.md") == "likes tea"
+    assert ask("GET", "/nowhere")[0] == 404
+    server = http.serve(m, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/health", timeout=60) as r:
+        assert json.load(r)["status"] == "ok"
+    server.shutdown()
