@@ -29,8 +29,13 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, WS), lambda w: w != "")
 
 
+#: No common word has more bytes, so longer words need no comparison with them.
+_LONGEST = max(len(w.encode()) for w in COMMON_WORDS)
+
+
 def _times(code: int) -> Column:
-    return F.size(F.filter("_at", lambda i: i == code))
+    """How often the common word of this place occurs: `_at` has one character per occurrence."""
+    return F.length("_at") - F.length(F.replace(F.col("_at"), F.lit(chr(47 + code)), F.lit("")))
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -41,10 +46,14 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
         "n_words": F.size("_words").cast("long"),
         "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
         "_lines": F.filter(F.split("_body", "\n", -1), lambda x: F.length(F.translate(x, " \t\n\u000b\f\r", "")) > 0),
-        "_at": F.filter(F.transform("_words", lambda w: F.array_position(F.array(*[F.lit(c) for c in COMMON_WORDS]), F.lower(w))), lambda i: i > 0),
+        "_at": F.array_join(F.transform(
+            F.filter("_words", lambda w: F.octet_length(w) <= _LONGEST),
+            lambda w: F.coalesce(F.char(F.nullif(F.array_position(F.array(*[F.lit(c) for c in COMMON_WORDS]), F.lower(w)), F.lit(0)) + 47), F.lit("")),
+        ), ""),
         "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
         "n_symbols": F.regexp_count("_body", F.lit("[#*$%&|<>]")).cast("long"),
-        "_counts": F.array(*[F.regexp_count("_body", F.lit(c)).cast("long") for c in CLASSES]),
+        # by whole runs: a text has far fewer of them than characters
+        "_counts": F.array(*[(F.length("_body") - F.length(F.regexp_replace("_body", f"{c}+", ""))).cast("long") for c in CLASSES]),
     }).drop("_words")
     m = F.col("n_words").cast("int") - 4
     three = two.withColumn(
