@@ -95,6 +95,12 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), div))
 
 
+def blank_distance(share: Column) -> Column:
+    """js_distance from a text without common words to a reference that has this share of them (0 to 1)."""
+    rest, mid = 1 - share, 1 - share / 2
+    return F.sqrt(F.greatest(F.lit(0.0), (share - F.log2(mid) + F.when(rest > 0, rest * F.log2(rest / mid)).otherwise(F.lit(0.0))) / 2))
+
+
 def _shares(counts: Column, total: Column) -> Column:
     return F.transform(counts, lambda x: x.cast("double") / total)
 
@@ -106,14 +112,19 @@ def rules(
     min_chars: int = 100,
     min_words: int = 50,
     max_class_distance: float = 0.35,
-    max_word_distance: float = 0.55,
+    max_word_ratio: float = 0.95,
+    min_expected: float = 6.0,
 ) -> DataFrame:
     """df without text, with the base counts, base_failed, class_distance, word_distance and kept.
 
     A document is rejected by the method if it has min_chars characters in words and its character
     classes lie over max_class_distance from its language's reference, or if it has min_words words
-    and its common words lie over max_word_distance from it. Below a guard that distance is null and
-    rejects nothing. Null text counts as empty (and fails the base rule); a null or rare language has
+    and its common words lie over max_word_ratio times as far from it as a text without any common
+    word (that distance follows from the reference's share of common words: 0.26 to 0.33 for 13 to 20 %,
+    so no fixed distance fits all languages). Common words decide only where the reference lets expect
+    min_expected of them in the document: with fewer, as in a language that has none in COMMON_WORDS,
+    their absence tells nothing. Below min_chars or min_words that distance is null and rejects
+    nothing. Null text counts as empty (and fails the base rule); a null or rare language has
     its own reference like any other. Repeated rows are judged alike; an empty table gives no rows.
     Columns of df with the added names are replaced.
     """
@@ -138,7 +149,9 @@ def rules(
         "class_distance": F.when(F.col("word_chars") >= min_chars, F.round(js_distance(F.col("_p"), F.col("_q")), 9)),
         "word_distance": F.when(F.col("n_words") >= min_words, F.round(js_distance(F.col("_u"), F.col("_v")), 9)),
     })
-    far = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > max_class_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance)
+    share = 1 - F.col("_v")[c]
+    odd = (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_ratio * blank_distance(share)) & (F.col("n_words") * share >= min_expected)
+    far = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > max_class_distance) | odd
     return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("_classes", "_common", "_lang", "_rw", "_rc", "_ra", "_rb", "_p", "_q", "_u", "_v")
 
 

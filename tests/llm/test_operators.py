@@ -211,6 +211,22 @@ def test_quality(spark):
     assert got[5]["kept"] and got[7]["kept"] and not got[0]["kept"]
 
 
+def test_quality_common_words_decide(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("ka mo ti re lu sen dor".split()) for _ in range(r.randint(2, 4)))
+    mixed = lambda common, n, share=0.2: " ".join(r.choice(common) if r.random() < share else word() for _ in range(n))
+    en, de = quality.COMMON_WORDS[:20], quality.COMMON_WORDS[20:32]
+    rows = [("en", mixed(en, 300)) for _ in range(60)] + [("de", mixed(de, 300)) for _ in range(60)]
+    rows += [("xx", mixed(en, 300, 0.002)) for _ in range(60)] + [("yy", mixed(en, 300, 0)) for _ in range(5)]
+    good = len(rows)
+    rows += [("en", mixed(en, 80, 0)), ("de", mixed(de, 80, 0)), ("en", mixed(de, 300)), ("de", mixed(en, 300))]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in quality.rules(df).collect()}
+    assert [got[i]["kept"] for i in range(len(rows))] == [True] * good + [False] * 4
+    for i in range(good, len(rows)):  # neither the base rule nor the character classes reject these
+        assert not got[i]["base_failed"] and got[i]["class_distance"] < 0.35
+
+
 def test_sharding(spark):
     texts = [*EDGE_TEXTS, *[prose(i, 30) for i in range(300)], *["same text"] * 200]
     df = docs(spark, texts)
