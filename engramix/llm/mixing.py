@@ -4,7 +4,8 @@ Each source's target is met by taking every document floor(f) times and once mor
 f - floor(f), f being target / source size. The extra documents are drawn by the cube method: the
 probabilities move through the null-space of the constraints (token total, document total) until all
 but two per group are 0 or 1. Groups are hashed pieces of a source; what they leave open moves on in
-fewer and fewer groups (the totals stay those of the source) until one small landing per source.
+fewer and fewer groups (the totals stay those of the source) until one small landing per source. A source lands
+as soon as it has one group, however large the others are, and settled documents join its landing.
 """
 
 from __future__ import annotations
@@ -101,19 +102,37 @@ def landing(p: np.ndarray, size: np.ndarray, goal: float, docs: float, extra: in
     return out
 
 
-def _fly(last: bool):
+def _fly(group: int, extra: int = 10):
+    """Fly a group; land it if it is all that its source has open (_groups is 1).
+
+    The groups whose open units meet in the landing mark (_c) at least `extra` of the units they
+    settled, of sizes spread over each group, to join it: two open units alone can miss the goal by
+    half a document.
+    """
+
     def run(tbl):
         p = tbl.column("_p").to_numpy()
         size = tbl.column("size").to_numpy().astype(np.float64)
         order = np.lexsort((size, np.array(tbl.column("_h").to_numpy())))
-        q, s = p[order].copy(), size[order]
+        q, s, carried = p[order].copy(), size[order], np.array(tbl.column("_c").to_numpy(zero_copy_only=False), bool)[order]
+        groups = tbl.column("_groups")[0].as_py()
         open_ = np.flatnonzero((q > 0) & (q < 1))
+        carry = np.zeros(len(q), bool)
         if len(open_):
             goal, docs = float((q[open_] * s[open_]).sum()), float(q[open_].sum())
-            part = flight(q[open_], s[open_])
-            q[open_] = landing(part, s[open_], goal, docs) if last else part
-        back = np.empty_like(q)
-        back[order] = q
+            q[open_] = flight(q[open_], s[open_])
+            if groups == 1:
+                both = np.concatenate((open_, np.flatnonzero(carried)))
+                goal, docs = goal + float((q[carried] * s[carried]).sum()), docs + float(q[carried].sum())
+                q[both] = landing(q[both], s[both], goal, docs, extra)
+            elif 2 * groups <= group:
+                shut = open_[(q[open_] == 0) | (q[open_] == 1)]
+                shut = shut[np.argsort(s[shut], kind="stable")]
+                if len(shut):
+                    carry[shut[np.unique(np.linspace(0, len(shut) - 1, min(-(-extra // groups), len(shut))).astype(np.int64))]] = True
+        back, marks = np.empty_like(q), np.empty_like(carry)
+        back[order], marks[order] = q, carry
+        tbl = tbl.set_column(tbl.schema.get_field_index("_c"), "_c", pa.array(marks))
         return tbl.set_column(tbl.schema.get_field_index("_p"), "_p", pa.array(back))
 
     return run
@@ -134,7 +153,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     Rows keep all their columns (those with the added names are replaced). Null text has size 0, null
     source is a source of its own and comes last; documents of size 0 take nothing. Repeated rows are
     drawn like any others. A source's documents never meet in one task unless they are fewer than
-    about `group`: flights run in hashed groups, then on what those leave open. keep_text=False
+    about 1.5 * `group`: flights run in hashed groups, then on what those leave open. keep_text=False
     leaves the text out of every exchange and of the result.
     """
     added = ["size", "source_size", "target", "taken"]
@@ -149,6 +168,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
         .withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.coalesce(F.col(text), F.lit(""))))
         .withColumn("_groups", F.greatest(F.lit(1), F.ceil(F.col("docs") / group)).cast("int"))
         .withColumn("_g", F.pmod(F.col("_h"), F.col("_groups")).cast("int"))
+        .withColumn("_c", F.lit(False))
     )
     if not keep_text:
         joined = joined.drop(text)
@@ -161,18 +181,18 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
         levels, n = levels + 1, -(-2 * n // group)
     for level in range(levels):
         last = level == levels - 1
-        done = rest.groupBy("_s", "_g").applyInArrow(_fly(last), rest.schema)
+        done = rest.groupBy("_s", "_g").applyInArrow(_fly(group), rest.schema)
         if last:
             settled.append(done)
             break
         done = cut(done)
-        is_open = (F.col("_p") > 0) & (F.col("_p") < 1)
+        is_open = ((F.col("_p") > 0) & (F.col("_p") < 1)) | F.col("_c")
         settled.append(done.filter(~is_open))
         rest = done.filter(is_open).withColumn("_groups", F.greatest(F.lit(1), F.ceil(2 * F.col("_groups") / group)).cast("int")).withColumn("_g", F.pmod(F.shiftrightunsigned("_h", 20), F.col("_groups")).cast("int"))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    return out.withColumn("taken", (F.col("size") * (F.col("_base") + F.col("_p"))).cast("long")).withColumn("_copies", (F.col("_base") + F.col("_p")).cast("int")).drop("_s", "docs", "_f", "_base", "_p", "_h", "_groups", "_g")
+    return out.withColumn("taken", (F.col("size") * (F.col("_base") + F.col("_p"))).cast("long")).withColumn("_copies", (F.col("_base") + F.col("_p")).cast("int")).drop("_s", "docs", "_f", "_base", "_p", "_h", "_groups", "_g", "_c")
 
 
 def mixed_rows(df: DataFrame, **options) -> DataFrame:

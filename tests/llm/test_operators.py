@@ -68,6 +68,33 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(docs(spark, texts, sources).limit(0)).count() == 0
 
 
+def test_mixing_lands_small_sources_beside_a_hot_one(spark):
+    r = random.Random(6)
+    sources = ["hot"] * 400 + [f"s{k}" for k in range(12) for _ in range(20)]
+    texts = [prose(i, r.randint(50, 250)) for i in range(len(sources))]
+    got = mixing.mix(docs(spark, texts, sources), group=50, share=0.2).toPandas()
+    assert len(got) == len(sources) and (got["taken"] <= 2 * got["size"]).all()
+    for _, g in got.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 0.02 * g["target"].iloc[0]
+
+
+def test_mixing_landing_takes_settled_units():
+    """A source of several groups lands with units that its flights settled."""
+    import pyarrow as pa
+
+    r = random.Random(7)
+    size = [r.randint(50, 5000) for _ in range(100)]
+    tbl = pa.table({"_p": [0.3] * 100, "size": size, "_h": list(range(100)), "_groups": [2] * 100, "_c": [False] * 100})
+    both = [mixing._fly(50)(tbl.slice(k, 50)).to_pandas() for k in (0, 50)]
+    assert all(5 <= x["_c"].sum() <= 10 and ((x["_p"] > 0) & (x["_p"] < 1)).sum() <= 2 for x in both)
+    assert sum((x["_p"] * x["size"]).sum() for x in both) == pytest.approx(0.3 * sum(size))
+    rest = [x[x["_c"] | ((x["_p"] > 0) & (x["_p"] < 1))] for x in both]
+    done = sum((x["_p"] * x["size"])[~x.index.isin(y.index)].sum() for x, y in zip(both, rest, strict=True))
+    last = mixing._fly(50)(pa.concat_tables(pa.Table.from_pandas(y.assign(_groups=1), preserve_index=False) for y in rest)).to_pandas()
+    assert set(last["_p"]) <= {0.0, 1.0} and not last["_c"].any()
+    assert abs(done + (last["_p"] * last["size"]).sum() - 0.3 * sum(size)) <= 20
+
+
 def test_water_fill():
     assert mixing.water_fill([10, 10, 10], [5, 2, 1], 45, 2) == pytest.approx([20, 50 / 3, 25 / 3])
 
