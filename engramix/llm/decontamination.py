@@ -155,13 +155,15 @@ def automata(bench: DataFrame, window: int = 10, max_words: int = 2_000_000, ite
 
     One suffices for any usual benchmark; a larger table takes several passes over the documents.
     Items without words are left out. Repeated items count once in n_items only if their ids are equal.
+    Items without an id hit like any other; together they count as one in n_items and do not enter
+    the digest.
     """
     total = bench.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0] // 2 + 1
     passes = max(1, -(-total // max_words))
     for k in range(passes):
         part = bench if passes == 1 else bench.filter(F.pmod(F.xxhash64(item, text), F.lit(passes)) == k)
         rows = [(r[0], words(r[1])) for r in part.select(F.col(item).cast("string"), text).toLocalIterator()]
-        yield SuffixAutomaton(sorted((r for r in rows if r[1] and r[0] is not None), key=lambda r: (r[0], r[1])), window)
+        yield SuffixAutomaton(sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0] or "", r[1])), window)
 
 
 def match(docs: DataFrame, auto: SuffixAutomaton, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,7 +181,7 @@ def match(docs: DataFrame, auto: SuffixAutomaton, key: str = "doc_id", text: str
                 spans, found = a.hits(w)
                 n.append(len(w))
                 sp.append([{"s": x, "e": y} for x, y in spans])
-                it.append(sorted({a.ids[k] for k in found}))
+                it.append(sorted({a.ids[k] for k in found}, key=lambda x: (x is None, x or "")))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sp, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(it, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
 
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

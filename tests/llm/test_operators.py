@@ -195,6 +195,18 @@ def test_ngram_join(spark, monkeypatch):
     assert ngram_join.ngram_components(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_decontamination_counts_items_without_id(spark):
+    a, b = prose(50, 30), prose(51, 30)
+    bench = spark.createDataFrame([(None, a), (1, b), (None, "two words")], "item_id long, text string")
+    texts = [prose(60, 20) + " " + a + " " + prose(61, 20), a + " " + prose(62, 80) + " " + b, "clean", "x two words " + prose(63, 40)]
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for most in (2_000_000, 20):
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontamination.contamination(docs(spark, texts), bench, max_words=most).collect()}
+        assert got == {0: (30, 1, digest(""), True), 1: (60, 2, digest("1"), True), 2: (0, 0, digest(""), False), 3: (2, 1, digest(""), True)}
+    clean = {r["doc_id"]: r["text"] for r in decontamination.decontaminate(docs(spark, texts), bench).collect()}
+    assert a not in clean.get(0, "") and "two words" not in clean[3] and clean[2] == "clean"
+
+
 def test_decontamination(spark):
     item = prose(50, 30)
     bench = spark.createDataFrame([(1, item), (2, "Short ITEM here"), (3, None), (4, ""), (5, item)], "item_id long, text string")
