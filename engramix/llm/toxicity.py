@@ -27,10 +27,24 @@ PER_CLASS = 3000
 MAX_CHARS = 30_000_000
 
 _WORD = re.compile(r"\w+")
+#: Runs of word characters longer than this are split: at underscores, and what is still longer into pieces of PIECE, each half over the next.
+LONG, PIECE = 40, 20
+
+
+def _text_words(text: str | None) -> list[str]:
+    """The runs of word characters of a text in lower case; all of a long run is kept, as several words."""
+    ws = _WORD.findall(text.lower()) if text else []
+    if not ws or max(map(len, ws)) <= LONG:
+        return ws
+    out = []
+    for w in ws:
+        for x in ([w] if len(w) <= LONG else [x for x in w.split("_") if x] or [w]):
+            out.extend([x] if len(x) <= LONG else [x[i : i + PIECE] for i in range(0, len(x) - PIECE // 2, PIECE // 2)])
+    return out
 
 
 def _grams(word: str) -> list[int]:
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     out = {w}
     for n in range(NGRAMS[0], NGRAMS[1] + 1):
         out.update(w[i : i + n] for i in range(len(w) - n + 1))
@@ -62,7 +76,7 @@ class Model:
         self.words = _Words(weight)
 
     def score(self, text: str | None) -> float:
-        ws = _WORD.findall(text.lower()) if text else []
+        ws = _text_words(text)
         if not ws:
             return float(1 / (1 + np.exp(-self.scale * self.bias)))
         if len(self.words) > 500_000:  # a cache only; between texts, as places are in use within one
@@ -86,7 +100,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, seed: int = 7)
     vocab: dict[str, int] = {}
     docs, grams = [], []
     for t in texts:
-        ws = _WORD.findall((t or "").lower())
+        ws = _text_words(t)
         ids = []
         for w in ws:
             i = vocab.get(w)

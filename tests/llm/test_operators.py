@@ -156,6 +156,24 @@ def test_toxicity_generalises_to_misspellings():
     assert 0 < toxicity.train([], []).score("x") < 1
 
 
+def test_toxicity_sees_the_whole_of_long_runs():
+    r = random.Random(2)
+    texts = [prose(i, r.randint(10, 80)).split() for i in range(400)]
+    for i, w in enumerate(texts):
+        if i % 4 == 0:
+            w.insert(r.randrange(len(w)), r.choice(["idiot", "worthless", "scum"]))
+    m = toxicity.train([" ".join(w) for w in texts], [int(i % 4 == 0) for i in range(400)])
+    for i in range(10):
+        clean = prose(800 + i, 60).split()
+        bad = [*clean[:40], "worthless", *clean[40:]]
+        assert m.score("_".join(clean)) < 0.5 <= m.score("_".join(bad))
+        assert m.score("".join(bad)) > m.score("".join(clean))
+    assert toxicity._text_words("a" * 40 + " B_c") == ["a" * 40, "b_c"]
+    run = "".join(r.choice("abcdefgh") for _ in range(107))
+    pieces = toxicity._text_words(run)
+    assert all(any(run[i : i + 6] in x for x in pieces) for i in range(102)) and toxicity._text_words("_" * 50)
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
