@@ -1,7 +1,7 @@
 """A training-corpus pipeline of five stages over `documents`; each stage reads what the one before wrote.
 
 1. toxicity: documents that the model of operator 6 scores 0.5 or more go.
-2. ngram_join: of each group of linked texts (operator 7) the row of the smallest id stays.
+2. ngram_join: of each group of linked texts (operator 7) one row stays, of the smallest id.
 3. decontamination: benchmark passages are cut out; texts that are mostly such passages go (operator 8).
 4. mixing: each row stays as often as the mix of operator 2 takes it (0, 1 or 2 times).
 5. sharding: every row gets its shard and slot (operator 10).

@@ -332,11 +332,21 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that of its smallest id. Rows whose texts have no shingles all stay."""
-    marked = ngram_components(docs, key, text)
-    kept = marked.filter(F.col(key).isNull() | (F.col(key) == F.col("component_id"))).select(F.col(key).alias("_id")).distinct()
-    out = docs.join(kept, docs[key].eqNullSafe(kept["_id"]), "left_semi")
-    return out
+    """docs with one row of each component: that of the least key (null last), then of the least text digest.
+
+    Components are of rows: repeated ids and null ids are no ties, and of rows that agree in both id
+    and text one stays, the same whatever the row order. Rows whose texts have no shingles all stay.
+    """
+    full = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    some = docs.filter(full)
+    row = F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("id"), F.md5(F.col(text)).alias("md5"))
+    marked = ngram_components(some.select(row.alias("_row"), F.col(text).alias("text")), "_row", "text")
+    first = marked.filter(F.col("_row").eqNullSafe(F.col("component_id"))).select(F.xxhash64("_row.id").alias("_h"), F.col("_row.md5").alias("_d"), F.col("_row.id").alias("_id")).distinct()
+    keyed = some.withColumns({"_h": F.xxhash64(key), "_d": F.md5(F.col(text))})
+    same = (keyed["_h"] == first["_h"]) & (keyed["_d"] == first["_d"]) & keyed[key].eqNullSafe(first["_id"])
+    copies = Window.partitionBy("_h", "_d", key).orderBy(F.xxhash64(*docs.columns))
+    one = keyed.join(first, same, "left_semi").withColumn("_n", F.row_number().over(copies)).filter("_n = 1")
+    return one.select(*docs.columns).unionByName(docs.filter(~full))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,6 +213,18 @@ def test_ngram_join(spark, monkeypatch):
     assert ngram_join.ngram_components(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_keep_one_chooses_rows(spark):
+    base = prose(300, 60).split()
+    near = " ".join([*base[:-1], "changed"])
+    base, other, third = " ".join(base), prose(301, 60), prose(302, 60)
+    rows = [(1, base), (1, base), (1, base), (2, near), (2, other), (3, other), (None, base), (None, near), (None, third), (None, third), (None, None), (None, ""), (4, " "), (4, " ")]
+    df = spark.createDataFrame([(i, t, "en", "s", None, "x", "y") for i, t in rows], DOC)
+    kept = lambda d: sorted(((r["doc_id"], r["text"]) for r in ngram_join.keep_one(d).collect()), key=str)
+    want = sorted([(1, base), (2, other), (None, third), (None, None), (None, ""), (4, " "), (4, " ")], key=str)
+    assert kept(df) == want and kept(df.repartition(5, "text")) == want
+    assert ngram_join.keep_one(df).schema == df.schema
+
+
 def test_decontamination_counts_items_without_id(spark):
     a, b = prose(50, 30), prose(51, 30)
     bench = spark.createDataFrame([(None, a), (1, b), (None, "two words")], "item_id long, text string")
