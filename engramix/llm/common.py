@@ -1,4 +1,4 @@
-"""What the training-data operators share: table reads and cuts of lineage on shared storage."""
+"""What the training-data operators share: table reads, free column names and cuts of lineage on shared storage."""
 
 from __future__ import annotations
 
@@ -12,15 +12,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with a prefix that no column of df starts with, in any case."""
+    prefix, taken = "_", [c.lower() for c in df.columns]
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "x_"
+    return [prefix + n for n in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (local runs)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared checkpoint folder; a temporary one only on a local master where none is set."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        current = spark.sparkContext.getCheckpointDir()
-        if current is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="engramix-"))
-            current = spark.sparkContext.getCheckpointDir()
-        path = current
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="engramix-"))
+        path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 

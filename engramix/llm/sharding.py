@@ -3,7 +3,8 @@
 Rows are ordered by the 128-bit key (hash of the text, hash of the id), so equal texts are neighbours.
 Splitters between shards are found without sorting: each round counts exact bytes and rows below
 candidate boundaries (bin edges of 12 key bits) and only bins that hold a wanted boundary are refined
-further. When every splitter meets the tolerance, the rows are exchanged once, by sub-range.
+further. When every splitter meets the tolerance, the rows are exchanged once, each range to a
+partition of its own.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 BITS = 12
+BINS = 1 << BITS
 LEVELS = 10  # 5 rounds of 12 bits per 60-bit half of the key
 
 
@@ -48,8 +50,8 @@ def _prefix_of(level: int):
 def find_splitters(keyed: DataFrame, parts: int, tolerance: float) -> tuple[list[tuple[int, int]], list[int], int, int]:
     """Splitters (lower key bounds of parts 1..parts-1), rows below each, and total rows and bytes.
 
-    Only bin counts reach the driver: at most 4096 per round for the first round and per open
-    splitter after it. Rounds end when the best edge is within tolerance * ideal bytes of each
+    Only bin counts reach the driver: at most 4096 in the first round and 4096 per open splitter
+    after it. Rounds end when the best edge is within tolerance * ideal bytes of each
     target, or when a bin holds a single key, which no boundary can cut.
     """
     total = keyed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_size"), F.lit(0)).alias("b")).first()
@@ -64,14 +66,10 @@ def find_splitters(keyed: DataFrame, parts: int, tolerance: float) -> tuple[list
             break
         a, b = _prefix_of(level)
         wanted = keyed
-        if level:
+        if level:  # at most one open bin per splitter
             here = F.lit(False)
-            pairs = list(open_bins)
-            for i in range(0, len(pairs), 64):
-                part = F.lit(False)
-                for pa, pb in pairs[i : i + 64]:
-                    part = part | ((a == pa) & (b == pb))
-                here = here | part
+            for pa, pb in open_bins:
+                here = here | ((a == pa) & (b == pb))
             wanted = keyed.filter(here)
         counts: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for r in wanted.groupBy(a.alias("a"), b.alias("b"), _digit(level).alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("s")).collect():
@@ -115,45 +113,96 @@ def _child(level: int, prefix: tuple[int, int], digit: int) -> tuple[int, int]:
     return ((prefix[0] << BITS) + digit, 0) if level < 5 else (prefix[0], (prefix[1] << BITS) + digit)
 
 
+def _at(bounds: list[tuple[int, int]], a: str, b: str, low: int = 0):
+    """How many of the sorted bounds are at or below the key (a, b), by binary search."""
+    if not bounds:
+        return F.lit(low)
+    mid = len(bounds) // 2
+    x, y = bounds[mid]
+    here = (F.col(a) > x) | ((F.col(a) == x) & (F.col(b) >= y))
+    return F.when(here, _at(bounds[mid + 1 :], a, b, low + mid + 1)).otherwise(_at(bounds[:mid], a, b, low))
+
+
+def _ranges(narrow: DataFrame, bounds: list[tuple[int, int]], rows: list[int], most: int):
+    """Cuts shards into key ranges of about most rows: a function of the key columns, and the rows of each range below it in its shard.
+
+    A shard's span of the first key half is cut into equal pieces by its number of rows, which hashing
+    makes even; a value of that half (one text) with over `most` rows is cut by the second half.
+    Ranges follow the key order. Values of over `most` rows number at most rows / most, pieces as
+    many and one more a shard, and the caller lets `most` grow with the input so that this stays
+    below BINS * shards: that bounds what is collected and broadcast.
+    """
+    spark = narrow.sparkSession
+    edges = [0, *(x for x, _ in bounds), 1 << 60]
+    shard = _at(bounds, "_k1", "_k2")
+    spans = [(x, max(1, y - x + 1), -(-n // most) or 1) for x, y, n in zip(edges, edges[1:], rows, strict=False)]
+    low, width, per = (F.element_at(F.array(*[F.lit(x[i]).cast("long") for x in spans]), shard + 1) for i in range(3))
+    piece = F.least(per - 1, F.greatest(F.lit(0), F.floor((F.col("_k1") - low) / width * per))).cast("int")
+    base = lambda d: d.withColumns({"_shard": shard, "_piece": piece})
+    hot = base(narrow).groupBy("_shard", "_piece", "_k1").agg(F.count(F.lit(1)).alias("n"), F.min("_k2").alias("lo"), F.max("_k2").alias("hi")).filter(F.col("n") > most)
+    hot = hot.select("_shard", "_piece", F.struct(F.col("_k1").alias("k"), F.ceil(F.col("n") / most).cast("int").alias("m"), "lo", (F.col("hi") - F.col("lo") + 1).alias("span")).alias("h"))
+    found = hot.groupBy("_shard", "_piece").agg(F.array_sort(F.collect_list("h")).alias("_hot")).collect()
+    table_ = F.broadcast(spark.createDataFrame([(r["_shard"], r["_piece"], r["_hot"]) for r in found], "_shard int, _piece int, _hot array<struct<k:bigint,m:int,lo:bigint,span:bigint>>")) if found else None
+
+    def ranged(d: DataFrame) -> DataFrame:
+        d = base(d)
+        if table_ is None:
+            return d.withColumn("_sub", F.lit(0))
+        sub = F.aggregate(
+            F.coalesce("_hot", F.array().cast("array<struct<k:bigint,m:int,lo:bigint,span:bigint>>")), F.lit(0),
+            lambda s, h: s + F.when(F.col("_k1") > h["k"], h["m"] + 1).when(F.col("_k1") == h["k"], 1 + F.least(h["m"] - 1, F.floor((F.col("_k2") - h["lo"]) / h["span"] * h["m"]).cast("int"))).otherwise(0),
+        )
+        return d.join(table_, ["_shard", "_piece"], "left").withColumn("_sub", sub).drop("_hot")
+
+    counts = sorted((r["_shard"], r["_piece"], r["_sub"], r["count"]) for r in ranged(narrow).groupBy("_shard", "_piece", "_sub").count().collect())
+    parts, below, last = [], 0, -1
+    for i, (s, p, u, n) in enumerate(counts):
+        below = 0 if s != last else below
+        parts.append((s, p, u, i, below))
+        below, last = below + n, s
+    return ranged, F.broadcast(spark.createDataFrame(parts, "_shard int, _piece int, _sub int, _part int, _below bigint")), len(parts)
+
+
 def shard(df: DataFrame, shards: int = 24, text: str = "text", key: str = "doc_id", tolerance: float = 0.002, rows_per_range: int = 500_000) -> DataFrame:
     """All rows of df with size, text_crc32, law ('bytes'), shard, slot and grown_shard (null under this law).
 
     Law: the shards' byte sizes are as near equal as single rows allow. A group of equal texts is a
-    run of neighbours in key order and is cut only where a shard boundary falls inside it.
-    Each shard is further cut into ranges of about rows_per_range rows, so the one exchange and the
-    sort below it stay spread over the cluster however few shards there are.
+    run of neighbours in key order and is cut only where a shard boundary falls inside it. Slots
+    follow the key order within a shard.
+    A shard of over rows_per_range rows is cut further into ranges of about that many, each one
+    partition of the one exchange, so that the sort below it stays spread over the cluster however
+    few shards there are; shards and slots do not depend on it.
     Null text: size 8, crc of the empty string. Null id: an ordinary key value. Repeated rows get
     slots of their own. Empty input: no rows. df may hold columns of the added names; they are
     replaced. Columns of the input otherwise stay.
     """
-    keyed = with_key(df, text, key)
+    added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    taken = {c.lower() for c in added}
+    names = [c for c in df.columns if c.lower() not in taken]
+    keyed = with_key(df.select(F.struct(*names).alias("_row"), F.col(text).alias("_text"), F.col(key).alias("_id")), "_text", "_id").drop("_text", "_id")
     narrow = cut(keyed.select("_size", "_k1", "_k2"))
-    count = narrow.count()
-    per = max(1, -(-count // (shards * rows_per_range)))
-    parts = shards * per
-    bounds, below, _, _ = find_splitters(narrow, parts, tolerance / per)
-    starts = [0, *below]
-    offset = [starts[i] - starts[i - i % per] for i in range(parts)]
-    if bounds:
-        edges = F.array(*[F.struct(F.lit(a).cast("long").alias("_k1"), F.lit(b).cast("long").alias("_k2")) for a, b in bounds])
-        part = F.size(F.filter(edges, lambda e: e <= F.struct("_k1", "_k2")))
+    bounds, below, n, _ = find_splitters(narrow, shards, tolerance)
+    most = max(rows_per_range, -(-4 * n // (BINS * shards)))
+    rows = [y - x for x, y in zip([0, *below], [*below, n], strict=True)]
+    if max(rows) > most:
+        ranged, parts, count = _ranges(narrow, bounds, rows, most)
+        placed = ranged(keyed).join(parts, ["_shard", "_piece", "_sub"], "left")
     else:
-        part = F.lit(0)
+        placed, count = keyed.withColumns({"_shard": _at(bounds, "_k1", "_k2"), "_below": F.lit(0).cast("long")}).withColumn("_part", F.col("_shard")), shards
     w = Window.partitionBy("_part").orderBy("_k1", "_k2", "_crc", "_size")
-    out = (
-        keyed.withColumn("_part", part.cast("int"))
-        .repartition(parts, "_part")
+    return (
+        placed.repartitionById(count, "_part")
         .withColumn("_rank", F.row_number().over(w))
-        .withColumns({
-            "size": F.col("_size"),
-            "text_crc32": F.col("_crc"),
-            "law": F.lit("bytes"),
-            "shard": F.expr(f"cast(_part div {per} as int)"),
-            "slot": F.element_at(F.array(*[F.lit(x).cast("long") for x in offset]), F.col("_part") + 1) + F.col("_rank").cast("long") - 1,
-            "grown_shard": F.lit(None).cast("int"),
-        })
+        .select(
+            "_row.*",
+            F.col("_size").alias("size"),
+            F.col("_crc").alias("text_crc32"),
+            F.lit("bytes").alias("law"),
+            F.col("_shard").alias("shard"),
+            (F.col("_below") + F.col("_rank") - 1).alias("slot"),
+            F.lit(None).cast("int").alias("grown_shard"),
+        )
     )
-    return out.drop("_size", "_crc", "_k1", "_k2", "_part", "_rank")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
