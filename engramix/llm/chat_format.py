@@ -1,7 +1,7 @@
 r"""Operator 4, chat formatting (DataFrame functions only).
 
 A declarative template says what stands around each role's text and which parts carry loss. A
-finite-state machine over roles validates turn order. Control strings inside texts and roles are
+finite-state machine over roles, a fold of its transition map over the ordered turns, validates turn order. Control strings inside texts and roles are
 escaped by adding a backslash to every run `<`, backslashes, `|`; removing one gives the text back.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -17,22 +17,31 @@ from .common import table
 
 @dataclass(frozen=True)
 class Template:
-    """open + role + sep + text + close for each turn; all four marks start with `<|`. loss_roles carry loss on their text."""
+    """open + role + sep + text + close for each turn; all three marks start with `<|`. loss_roles carry loss on their text.
+
+    moves holds the state machine: state -> {role: next state}. A role that a state lacks breaks the
+    order for good. Names of states are free.
+    """
 
     open: str = "<|im_start|>"
     sep: str = "<|im_sep|>"
     close: str = "<|im_end|>"
     loss_roles: tuple[str, ...] = ("assistant",)
-    #: state -> {role: next state}; a role that a state lacks makes the conversation invalid from there on.
     start: str = "start"
     moves: dict[str, dict[str, str]] = field(default_factory=lambda: {
-        "start": {"system": "system", "user": "user"},
-        "system": {"user": "user"},
-        "user": {"assistant": "assistant"},
-        "assistant": {"user": "user", "tool": "tool"},
-        "tool": {"assistant": "assistant", "tool": "tool"},
+        "start": {"system": "told", "user": "asked"},
+        "told": {"user": "asked"},
+        "asked": {"assistant": "answered"},
+        "answered": {"user": "asked", "tool": "called"},
+        "called": {"assistant": "answered", "tool": "called"},
     })
-    final: tuple[str, ...] = ("assistant",)
+    final: tuple[str, ...] = ("answered",)
+
+    def __post_init__(self):
+        if not all(m.startswith("<|") for m in (self.open, self.sep, self.close)):
+            raise ValueError("marks must start with <|, which texts then can't contain")
+        if any("\0" in state for state in self.moves):
+            raise ValueError("state names must not contain NUL")
 
 
 CHATML = Template()
@@ -46,51 +55,48 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
 
 
-def turn_states(df: DataFrame, template: Template = CHATML, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """df with the state after each turn (`state`, null once the order was broken) and `turn_ok`.
+def walk(roles: Column, template: Template = CHATML) -> Column:
+    """Runs the machine over an array of roles: struct of `state` (null once the order broke), and `bad_turn`, the place of the turn that broke it (from 1; null if none)."""
+    steps = [(state + "\0" + role, to) for state, moves in template.moves.items() for role, to in moves.items()]
+    table_ = F.create_map(*[F.lit(x) for step in steps for x in step]) if steps else F.create_map(F.lit("\0"), F.lit(""))
 
-    In this machine a state is named after the role that led to it, so the state before a turn is a
-    function of the previous turn's role: one lag per row instead of a walk.
-    """
-    w = Window.partitionBy(conv).orderBy(F.col(turn).asc_nulls_last(), F.col(role).asc_nulls_last(), F.col(text).asc_nulls_last())
-    before = F.coalesce(F.lag(F.coalesce(F.col(role), F.lit(""))).over(w), F.lit(template.start))
-    first = F.row_number().over(w) == 1
-    nxt = F.lit(None).cast("string")
-    for state, moves in template.moves.items():
-        here = first if state == template.start else ~F.col("_first") & (F.col("_before") == state)
-        here = F.col("_first") if state == template.start else here
-        for r, to in moves.items():
-            nxt = F.when(here & (F.col(role) == r), F.lit(to)).otherwise(nxt)
-    return df.withColumn("_before", before).withColumn("_first", first).withColumn("state", nxt).withColumn("turn_ok", F.col("state").isNotNull()).drop("_before", "_first")
+    def step(acc: Column, role: Column) -> Column:
+        to = F.try_element_at(table_, F.concat(acc["state"], F.lit("\0"), F.coalesce(role, F.lit(""))))
+        return F.struct(
+            to.alias("state"), (acc["at"] + 1).alias("at"),
+            F.coalesce(acc["bad_turn"], F.when(to.isNull(), acc["at"] + 1)).alias("bad_turn"),
+        )
 
+    begin = F.struct(F.lit(template.start).cast("string").alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("bad_turn"))
+    return F.aggregate(roles, begin, step, lambda acc: F.struct(acc["state"].alias("state"), acc["bad_turn"].alias("bad_turn")))
 
-def format_conversations(df: DataFrame, template: Template = CHATML, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per conversation: `formatted`, `segments` (array of text and loss flag that concatenate to it) and `valid`.
 
-    Turns are ordered by turn, then role, then text; null texts and roles are empty; a null
-    conversation id is a conversation like any other; repeated rows are turns of their own. valid is
-    false when the machine rejects a turn or ends outside a final state; such conversations are
-    still formatted. A conversation must fit one row, since its output is one string.
+def format_conversations(df: DataFrame, template: Template = CHATML, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """One row per conversation: conv_id, `formatted`, `segments` (array of text and loss flag that concatenate to it), `valid` and `bad_turn`.
+
+    Turns are ordered by turn (null last), then role, then text; null texts and roles are empty; a
+    null conversation id is a conversation like any other; repeated rows are turns of their own; an
+    empty table gives no rows; other columns are ignored, whatever their names. The state machine of
+    the template walks the ordered turns: bad_turn is the first one it rejects (from 1), and valid is
+    false if there is one or the last state is not final; such conversations are still formatted. A
+    conversation must fit one row, since its output is one string.
     """
     t = template
-    rows = turn_states(df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")), t)
-    piece = F.struct(
-        F.col("turn").isNull().alias("k"), F.col("turn").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text"),
-        F.col("turn_ok").alias("ok"), F.col("state").alias("state"),
+    turns = df.select(
+        F.col(conv).alias("conv_id"),
+        F.struct(F.col(turn).isNull().alias("k"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("_turn"),
     )
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("_turns"))
-    loss = lambda x: x["role"].isin(*t.loss_roles)
+    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("_turn")).alias("_turns"))
     segs = F.flatten(F.transform("_turns", lambda x: F.array(
         F.struct(F.concat(F.lit(t.open), escape(x["role"]), F.lit(t.sep)).alias("text"), F.lit(False).alias("loss")),
-        F.struct(escape(x["text"]).alias("text"), loss(x).alias("loss")),
+        F.struct(escape(x["text"]).alias("text"), x["role"].isin(*t.loss_roles).alias("loss")),
         F.struct(F.lit(t.close).alias("text"), F.lit(False).alias("loss")),
     )))
-    last = F.element_at("_turns", -1)
     return (
         grouped.withColumn("segments", segs)
-        .withColumn("valid", F.forall("_turns", lambda x: x["ok"]) & F.coalesce(last["state"].isin(*t.final), F.lit(False)))
+        .withColumn("_end", walk(F.transform("_turns", lambda x: x["role"]), t))
         .withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
-        .select("conv_id", "formatted", "segments", "valid")
+        .select("conv_id", "formatted", "segments", F.coalesce(F.col("_end.state").isin(*t.final), F.lit(False)).alias("valid"), F.col("_end.bad_turn").alias("bad_turn"))
     )
 
 
