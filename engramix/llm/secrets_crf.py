@@ -35,7 +35,8 @@ HINTS = (
     "commit", "hash", "sha", "sha1", "sha256", "md5", "checksum", "uuid", "id", "order", "invoice", "version", "build", "revision", "mail", "email", "url", "phone", "call", "see", "ref", "isbn",
 )
 _HINT = frozenset(HINTS)
-_SIMPLE = re.compile(r"[^\W\d_]{1,20}[.,;:!?]{0,2}(?:###|\$\$\$|%%%|&&&|\*\*\*)?\Z")
+#: Words of letters with marks after them; what a token's features ask beyond _shared_key can't hold for them.
+_SIMPLE = re.compile(r"(?![a-fA-F]{16})([^\W\d_]{1,20})[.,;!?]{0,2}(?:###|\$\$\$|%%%|&&&|\*\*\*)?\Z")
 _RUNS = re.compile(r"(.)\1\1")
 _PARTS = re.compile(r"[a-z0-9]+")
 _PREFIX = re.compile(r"(gh[pousr]_|github_pat_|sk[-_]|pk[-_]|rk[-_]|xox[abprs]-|eyJ|AIza|AKIA|ASIA|ya29\.|glpat-|npm_|SG\.|hf_|-----BEGIN|-----END)")
@@ -263,6 +264,25 @@ def _line(r: random.Random) -> tuple[list[str], list[int]]:
     return toks, tags
 
 
+def _setting(r: random.Random) -> tuple[list[str], list[int]]:
+    """A line of configuration without a secret."""
+    name = "_".join(_plain(r).rstrip(".,;:!?#$%&*") for _ in range(r.randint(1, 2)))
+    value = r.choice([_rand(r, r.randint(1, 4), string.digits), "true", "false", _rand(r, r.randint(3, 9), string.ascii_lowercase), "/etc/" + _rand(r, 6, string.ascii_lowercase)])
+    toks = [f"{name}={value}"] if r.random() < 0.4 else [name + ":", value] if r.random() < 0.5 else [name, "=", value]
+    return toks, [O] * len(toks)
+
+
+def _document(r: random.Random) -> tuple[list[tuple[list[str], list[int]]], str]:
+    """Lines of a whole text, and that text: prose of up to 40 lines, or configuration and code among them."""
+    lines = [_line(r)]
+    kind = r.random()
+    for _ in range(r.choice([0, 0, 1, 2, 4, 8])):
+        lines.append(_setting(r) if kind < 0.3 else _line(r))
+    filler = [] if r.random() < 0.4 else [" ".join(_plain(r) for _ in range(r.randint(10, 60))) for _ in range(r.randint(1, 30))]
+    head = r.choice(["#!/bin/sh", "<?php", "export PATH"]) + "\n" if kind < 0.12 else ""
+    return lines, head + "\n".join([*(" ".join(t) for t, _ in lines), *filler])
+
+
 # ---------------------------------------------------------------- the model
 class Crf:
     """Weights of a linear chain over O, B, I. Emissions are sums over a token, its two neighbours and the file, so each is looked up once per distinct token."""
@@ -308,7 +328,7 @@ class Crf:
         n = len(tokens)
         if not n:
             return None
-        if len(self.table) > 400_000 or self.n > 200_000:
+        if len(self.table) > 400_000 or self.n > 200_000 or self.table.chars > 20_000_000:
             self.reset()
         at = np.fromiter(map(self.table.__getitem__, tokens), np.int64, n)
         rows = self.rows
@@ -332,24 +352,34 @@ class Crf:
         return (np.array(found), labels) if found else None
 
 
+def _shared_key(token: str) -> tuple | None:
+    """All facts that the features of a plain word depend on, so that words of one key share a row; None for other tokens."""
+    m = _SIMPLE.match(token)
+    if not m or _hints(token) or _PREFIX.match(token):
+        return None
+    v = token.strip("\"'`,;()[]{}<>.!?")
+    low, up = sum(map(str.islower, v)), sum(map(str.isupper, v))
+    if low + up != len(m[1]):  # letters without case, or digits that are no decimal ones
+        return None
+    return low > 0, up > 0, token[m.end(1) :], len(v) // 5, int(min(5.9, _entropy(v)) * 2), v.isascii(), bool(_RUNS.search(v))
+
+
 class _Table(dict):
     def __init__(self, crf: Crf):
         super().__init__()
         self.crf = crf
+        self.chars = 0
 
     def __missing__(self, token: str) -> int:
         crf = self.crf
-        if _SIMPLE.match(token) and not _hints(token):
-            # features of such tokens follow from these few facts
-            v = token.strip("\"'`,;()[]{}<>.!?")
-            core = token.rstrip(".,;:!?#$%&*")
-            kind = (any(map(str.islower, v)), any(map(str.isupper, v)), token[len(core) :], min(9, len(v) // 5), int(min(5.9, _entropy(v)) * 2), token.isascii(), bool(_RUNS.search(v)))
-            i = crf.simple.get(kind)
-            if i is None:
-                i = crf.simple[kind] = crf.add(token)
-        else:
+        key = _shared_key(token)
+        i = None if key is None else crf.simple.get(key)
+        if i is None:
             i = crf.add(token)
+            if key is not None:
+                crf.simple[key] = i
         self[token] = i
+        self.chars += len(token)
         return i
 
 
@@ -373,16 +403,18 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> list[int]:
 
 @lru_cache(maxsize=2)
 def train(lines: int = 2500, epochs: int = 6, seed: int = 11) -> Crf:
-    """Maximum conditional likelihood by AdaGrad; forward and backward sums per generated line."""
+    """Maximum conditional likelihood by AdaGrad; forward and backward sums per generated line, with the file features of the text around it."""
     r = random.Random(seed)
     data = []
     index: dict[str, int] = {}
     code = lambda fs: [index.setdefault(f, len(index)) for f in fs]
-    for _ in range(lines):
-        toks, tags = _line(r)
+    made: list[tuple[list[str], list[int], list[str]]] = []
+    while len(made) < lines:
+        some, text = _document(r)
+        ff = file_features(text, len(TOKEN.findall(text)))
+        made += [(toks, tags, ff) for toks, tags in some]
+    for toks, tags, ff in made:
         side = [side_features(t) for t in toks]
-        text = " ".join(toks)
-        ff = file_features(text, len(toks))
         feats = []
         for i, t in enumerate(toks):
             f = ["c:" + x for x in token_features(t)] + ff
@@ -463,7 +495,8 @@ def crf_spans(text: str, crf: Crf, base: list[tuple[int, int, int]]) -> list[tup
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, spans (array of kind, start, end; code points, end exclusive) of every row; base spans first in ties.
 
-    Null and empty texts have no spans. Rows are independent: repeated rows repeat.
+    Null and empty texts have no spans. Rows are independent: repeated rows repeat, their order and
+    partitions do not matter, ids may be null, other columns are ignored; an empty table gives no rows.
     """
     model = train()
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.trans))
