@@ -1,7 +1,8 @@
 """Operator 9, quality rules by distribution divergence (DataFrame functions only).
 
 Each document's histograms of character classes and of common words are compared with references of
-its language by Jensen-Shannon distance. References are gathered over all documents.
+its language by Jensen-Shannon distance. A language's reference is gathered over all its documents that
+pass the base rule, so that repeated filler and scraps do not become the norm.
 """
 
 from __future__ import annotations
@@ -125,18 +126,23 @@ def rules(
     min_expected of them in the document: with fewer, as in a language that has none in COMMON_WORDS,
     their absence tells nothing. Below min_chars or min_words that distance is null and rejects
     nothing. Null text counts as empty (and fails the base rule); a null or rare language has
-    its own reference like any other. Repeated rows are judged alike; an empty table gives no rows.
-    Columns of df with the added names are replaced.
+    its own reference like any other, and where no document of a language passes the base rule the
+    distances are null. Repeated rows are judged alike; an empty table gives no rows. Columns of df
+    with the added names are replaced; other names do not matter.
     """
-    keep = [c for c in df.columns if c not in (text,)]
-    narrow = cut(features(df, text).select(*[c for c in keep if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_classes", "_common"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    added = {*counts, "base_failed", "class_distance", "word_distance", "kept", text.lower()}
+    keep = [c for c in df.columns if c.lower() not in added]
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    rows = df.select(F.struct(*keep).alias("_row"), F.col(lang).alias("_of"), F.col(text).alias("_text"))
+    narrow = cut(features(rows, "_text").select("_row", "_of", *counts, "_classes", "_common", failed.alias("base_failed")))
     k, c = len(CLASSES) + 1, len(COMMON_WORDS)
     refs = (
-        narrow.groupBy(F.col(lang).alias("_lang"))
+        narrow.filter(~F.col("base_failed")).groupBy(F.col("_of").alias("_lang"))
         .agg(F.sum("n_words").alias("_rw"), F.sum("word_chars").alias("_rc"), *[F.sum(F.col("_classes")[i]).alias(f"_a{i}") for i in range(k)], *[F.sum(F.col("_common")[i]).alias(f"_b{i}") for i in range(c)])
         .select("_lang", "_rw", "_rc", F.array(*[f"_a{i}" for i in range(k)]).alias("_ra"), F.array(*[f"_b{i}" for i in range(c)]).alias("_rb"))
     )
-    joined = narrow.join(refs, F.col(lang).eqNullSafe(F.col("_lang")), "left")
+    joined = narrow.join(refs, F.col("_of").eqNullSafe(F.col("_lang")), "left")
     with_rest = lambda counts, total: F.concat(counts.cast("array<bigint>"), F.array(total - F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)))
     shares = joined.withColumns({
         "_p": _shares(F.col("_classes"), F.greatest(F.col("word_chars"), F.lit(1))),
@@ -145,14 +151,13 @@ def rules(
         "_v": _shares(with_rest(F.col("_rb"), F.col("_rw")), F.greatest(F.col("_rw"), F.lit(1))),
     })
     out = shares.withColumns({
-        "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         "class_distance": F.when(F.col("word_chars") >= min_chars, F.round(js_distance(F.col("_p"), F.col("_q")), 9)),
         "word_distance": F.when(F.col("n_words") >= min_words, F.round(js_distance(F.col("_u"), F.col("_v")), 9)),
     })
     share = 1 - F.col("_v")[c]
-    odd = (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_ratio * blank_distance(share)) & (F.col("n_words") * share >= min_expected)
-    far = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > max_class_distance) | odd
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("_classes", "_common", "_lang", "_rw", "_rc", "_ra", "_rb", "_p", "_q", "_u", "_v")
+    odd = (F.col("word_distance") > max_word_ratio * blank_distance(share)) & (F.col("n_words") * share >= min_expected)
+    far = F.coalesce(F.col("class_distance") > max_class_distance, F.lit(False)) | F.coalesce(odd, F.lit(False))
+    return out.select("_row.*", *counts, "base_failed", "class_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

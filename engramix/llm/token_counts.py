@@ -18,7 +18,7 @@ from .common import table
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-CACHE = 400_000  # pre-tokens remembered per Python worker
+CACHE, LONG = 400_000, 64  # pre-tokens remembered per Python worker, and the most characters of one that is
 
 
 def model_path(name: str = MODEL) -> str:
@@ -27,6 +27,35 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def normalizer(model: bytes) -> dict[int, int | bytes]:
+    """Fields of the normaliser's specification (field 3 of a sentencepiece model) by number: 2 character map, 3 prefix, 4 removal of extra spaces, 5 escaped spaces."""
+
+    def fields(buf: bytes):
+        at = 0
+
+        def varint() -> int:
+            nonlocal at
+            value = shift = 0
+            while True:
+                byte = buf[at]
+                at += 1
+                value |= (byte & 127) << shift
+                shift += 7
+                if byte < 128:
+                    return value
+
+        while at < len(buf):
+            key = varint()
+            if key & 7 == 0:
+                yield key >> 3, varint()
+            else:
+                n = {1: 8, 5: 4}.get(key & 7) or varint()
+                yield key >> 3, buf[at : at + n]
+                at += n
+
+    return dict(fields(b"".join(v for k, v in fields(model) if k == 3)))
+
+
 class Counter:
     """Counts tokens of whole texts as the sentencepiece model at path gives them (no begin or end tokens)."""
 
@@ -44,17 +73,23 @@ class Counter:
         self.seen: dict[str, int] = {}
 
     def _plain(self) -> bool:
-        """The model keeps text as it is: spaces become marks one for one and one mark is put in front."""
+        """The model keeps text as it is: spaces become marks one for one and one mark is put in front.
+
+        That is what its normaliser's specification says (no character map, no removal of extra
+        spaces, escaped spaces, a prefix), and probes confirm it.
+        """
+        spec = normalizer(self.lib.serialized_model_proto())
+        if spec.get(2) or spec.get(4, 1) or not spec.get(3, 1) or not spec.get(5, 1):
+            return False
         for probe in (" a", "a  b ", "a\tb", "éﬁ①"):
             if self.lib.decode(self.lib.encode("x" + probe)) != "x" + probe:
                 return False
         return self.lib.encode("a", out_type=str)[0].startswith(MARK)
 
-    def rest(self, pre: list[str]) -> None:
+    def rest(self, pre: list[str]) -> dict[str, int]:
         """Token counts of pre-tokens that are not proved whole. A line feed never merges, so it fences off the mark put in front."""
         fence = len(self.lib.encode("\n"))
-        for p, t in zip(pre, self.lib.encode(["\n" + p.replace(MARK, " ") for p in pre], num_threads=1), strict=True):
-            self.seen[p] = len(t) - fence
+        return {p: len(t) - fence for p, t in zip(pre, self.lib.encode(["\n" + p.replace(MARK, " ") for p in pre], num_threads=1), strict=True)}
 
     def counts(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text; new pre-tokens of all texts go to the library together."""
@@ -71,9 +106,12 @@ class Counter:
                 split.append(SPLIT.findall(MARK + t.replace(" ", MARK)))
         rest = [x if isinstance(x, int) else [p for p in x if p not in whole] for x in split]
         missing = {p for x in rest if not isinstance(x, int) for p in x if p not in seen}
+        long = {}
         if missing:
-            self.rest(list(missing))
-        return [x if isinstance(x, int) else len(x) - len(r) + sum(map(seen.__getitem__, r)) for x, r in zip(split, rest, strict=True)]
+            for p, n in self.rest(sorted(missing)).items():
+                (seen if len(p) <= LONG else long)[p] = n
+        known = (lambda p: long[p] if p in long else seen[p]) if long else seen.__getitem__
+        return [x if isinstance(x, int) else len(x) - len(r) + sum(map(known, r)) for x, r in zip(split, rest, strict=True)]
 
     def count(self, text: str) -> int:
         return self.counts([text])[0]

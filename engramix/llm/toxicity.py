@@ -79,7 +79,7 @@ class Model:
         ws = _text_words(text)
         if not ws:
             return float(1 / (1 + np.exp(-self.scale * self.bias)))
-        if len(self.words) > 500_000:  # a cache only; between texts, as places are in use within one
+        if len(self.words) > 500_000:  # a cache only, of words of at most LONG characters; between texts, as places are in use within one
             self.words = _Words(self.weight)
         at = np.fromiter(map(self.words.__getitem__, ws), np.int64, len(ws))
         s, c = self.words.sums[at], self.words.counts[at]
@@ -94,7 +94,10 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, seed: int = 7)
 
     Documents are bags of windows; the loss is that of the best window, so gradients of a toxic text
     go to the window that looks most toxic and those of a clean text to the window that looks so by
-    mistake. The first epochs average over all windows, which finds the telling n-grams.
+    mistake. Embeddings start from the log-odds of the words that hold their n-gram, which finds the
+    telling windows; with two classes the gradient of an embedding points along the difference of the
+    softmax rows, which is trained with them. Without texts of both classes nothing can be learnt:
+    every text, the empty one too, then scores the share of label 1, but under 0.5.
     """
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
@@ -111,6 +114,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, seed: int = 7)
         docs.append(np.array(ids, np.int32))
     if not docs or len(set(labels)) < 2:
         prior = (sum(labels) + 1) / (len(labels) + 2)
+        prior = min(prior, 0.49)
         return Model(np.zeros(BUCKETS), float(np.log(prior / (1 - prior))))
     y = np.array(labels, float)
     n_words = len(grams)
@@ -135,7 +139,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, seed: int = 7)
     bias, lr = -1.0, 0.5
     g2 = np.full(BUCKETS, 1e-2)
     pair = np.stack([-out / 2, out / 2])  # softmax rows of the two classes; their difference is the direction
-    for epoch in range(epochs):
+    for _ in range(epochs):
         direction = pair[1] - pair[0]
         weight = emb @ direction
         word_sum = np.bincount(owner, weight[flat], n_words)
@@ -197,8 +201,10 @@ def _calibrate(model: Model, docs, grams, y: np.ndarray) -> None:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from labelled rows outside the held-out fold (crc32 of the id as text, mod 5, is not 0).
 
-    Training reads at most per_class rows of each class, those with the least hash of the id, and
-    stops at MAX_CHARS characters; scores then cover every row.
+    Training reads at most per_class ids of each class, those with the least hash of the id, and
+    stops at MAX_CHARS characters; scores then cover every row. Labels other than 0 and 1 and ids
+    that are null or missing in docs are left out; an id with both labels trains as both, one with
+    several rows as each of them, and repeated labels once. Without rows of both classes see train.
     """
     lab = labels.filter(F.col(label).isin(0, 1) & (F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) != 0)).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_y")).distinct()
     picked = None
@@ -222,7 +228,11 @@ def _shared(docs: DataFrame, model: Model):
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and score of every row; null and empty texts get the score of an empty bag."""
+    """key and score of every row; null and empty texts, and texts without words, get the score of an empty bag.
+
+    Rows are scored one by one: repeated rows and null keys repeat, other columns are ignored, an
+    empty table gives no rows.
+    """
     shared = _shared(docs, model)
     kind = docs.select(key).schema[0].dataType.simpleString()
 
@@ -235,14 +245,18 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs without the rows whose score reaches threshold, all columns kept; rows without words stay."""
+    """docs without the rows whose score reaches threshold, all columns kept.
+
+    Rows without words stay, and so do all rows if the model saw one class only (at a threshold of 0.5
+    or more). Repeated rows share their fate.
+    """
     shared = _shared(docs, model)
     at = docs.columns.index(text)
 
     def run(batches):
         m = shared.value
         for b in batches:
-            yield b.filter(pa.array([m.score(t.as_py()) < threshold if t.is_valid else True for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([not _WORD.search(t) or m.score(t) < threshold if t else True for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
