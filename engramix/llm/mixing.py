@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ranking
 from .common import cut, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_REPEAT = 2.0
-GROUP = 2_000  # documents of a flight group; a group is one Arrow table in a worker, texts included
+GROUP = 2_000  # documents of a flight group, without their texts
 
 
 def water_fill(sizes: list[float], weights: list[float], total: float, most: float) -> list[float]:
@@ -138,68 +139,112 @@ def _fly(group: int, extra: int = 10):
     return run
 
 
-def source_targets(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MAX_REPEAT) -> DataFrame:
-    """source, source_size, docs and target; one row per source travels over the driver (sources are few next to documents)."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # Python compares strings by code point
-    sizes = [float(r["s"]) for r in rows]
-    goals = water_fill(sizes, [weights[i % len(weights)] for i in range(len(rows))], share * sum(sizes), most)
-    return sized.sparkSession.createDataFrame([(r["source"], int(r["s"]), int(r["n"]), float(t)) for r, t in zip(rows, goals, strict=True)], "source string, source_size bigint, docs bigint, target double")
+def _level(sources: DataFrame, weights, share: float, most: float) -> float | None:
+    """The level of the water fill: every source's target is the smaller of weight * level and most * its size (None: every source at its most).
 
+    Sources may be many, so they stay distributed; per round one aggregate over them gives exact
+    integer sums by weight. As in water_fill, a round fills the sources that the level lifts over
+    their most and shares what is left among the others, until none is new.
+    """
+    cap = most * F.col("source_size")
+    level, full = 0.0, None
+    while True:
+        rows = sources.filter("source_size > 0").groupBy("w").agg(
+            F.sum("source_size").alias("all"), F.count(F.lit(1)).alias("n"),
+            *[f.alias(k) for k, f in (("size", F.coalesce(F.sum(F.when(cap <= F.col("_weight") * level, F.col("source_size"))), F.lit(0))), ("filled", F.count(F.when(cap <= F.col("_weight") * level, 1))))],
+        ).collect()
+        total = sum(int(r["all"]) for r in rows)
+        left = min(share * total, most * total) - most * sum(int(r["size"]) for r in rows)
+        open_ = sum(weights[r["w"]] * (r["n"] - r["filled"]) for r in rows)
+        now = sum(r["filled"] for r in rows)
+        if open_ <= 0:
+            return None
+        if now == full:
+            return level
+        level, full = left / open_, now
 
-def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, share: float = SHARE, most: float = MAX_REPEAT, group: int = GROUP, keep_text: bool = True) -> DataFrame:
-    """df with size, source_size, target and taken (words the mix takes of the row, repeats counted).
 
-    Rows keep all their columns (those with the added names are replaced). Null text has size 0, null
-    source is a source of its own and comes last; documents of size 0 take nothing. Repeated rows are
-    drawn like any others. A source's documents never meet in one task unless they are fewer than
-    about 1.5 * `group`: flights run in hashed groups, then on what those leave open. keep_text=False
-    leaves the text out of every exchange and of the result.
+def source_targets(sized: DataFrame, weights=WEIGHTS, share=SHARE, most=MAX_REPEAT) -> DataFrame:
+    """_s (the source), source_size, _docs and target of every source of sized (source, size).
+
+    Sources take the weights in turn by code point, null last. They stay a table: only sums of them
+    reach the driver.
     """
-    added = ["size", "source_size", "target", "taken"]
-    sized = df.drop(*[c for c in added if c in df.columns]).withColumn("size", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
-    goals = F.broadcast(source_targets(sized.select(F.col(source).alias("source"), "size"), weights, share, most).withColumnRenamed("source", "_s"))
-    ratio = F.col("target") / F.col("source_size")
-    joined = (
-        sized.join(goals, sized[source].eqNullSafe(F.col("_s")), "left")
+    found = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")))
+    order = [F.col("source").isNull(), F.col("source")]  # Spark compares strings by their UTF-8 bytes, which is code point order
+    numbered = cut(ranking.numbered(found, "_i", *order, start=0).withColumn("w", F.pmod(F.col("_i"), F.lit(len(weights))).cast("int")).withColumn("_weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.col("w") + 1)))
+    level = _level(numbered, weights, share, most)
+    full = F.lit(float(most)) * F.col("source_size")
+    target = full if level is None else F.least(full, F.col("_weight") * level)
+    return cut(numbered.select(F.col("source").alias("_s"), "source_size", "_docs", target.alias("target")))
+
+
+def _draw(sized: DataFrame, goals: DataFrame, most: float, group: int) -> DataFrame:
+    """sized (source, size, _h and what else it holds) with source_size, target and _copies."""
+    ratio = F.col("target") / F.nullif(F.col("source_size"), F.lit(0))
+    rest = (
+        sized.join(goals, sized["source"].eqNullSafe(goals["_s"]), "left")
         .withColumn("_f", F.when(F.col("size") > 0, F.least(ratio, F.lit(float(most)))).otherwise(F.lit(0.0)))
         .withColumn("_base", F.floor(F.col("_f") + 1e-12))
         .withColumn("_p", F.greatest(F.lit(0.0), F.col("_f") - F.col("_base")))
-        .withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.coalesce(F.col(text), F.lit(""))))
-        .withColumn("_groups", F.greatest(F.lit(1), F.ceil(F.col("docs") / group)).cast("int"))
+        .withColumn("_groups", F.greatest(F.lit(1), F.ceil(F.col("_docs") / group)).cast("int"))
         .withColumn("_g", F.pmod(F.col("_h"), F.col("_groups")).cast("int"))
         .withColumn("_c", F.lit(False))
+        .drop("_f", "_docs", "source")
     )
-    if not keep_text:
-        joined = joined.drop(text)
-    settled = []
-    rest = joined
-    most_groups = goals.agg(F.max("docs")).first()[0] or 0
+    n = -(-(goals.agg(F.max("_docs")).first()[0] or 0) // group)
     levels = 1
-    n = -(-most_groups // group)
     while n > 1:  # each group leaves at most two
         levels, n = levels + 1, -(-2 * n // group)
-    for level in range(levels):
-        last = level == levels - 1
-        done = rest.groupBy("_s", "_g").applyInArrow(_fly(group), rest.schema)
-        if last:
-            settled.append(done)
-            break
-        done = cut(done)
+    settled = []
+    for _ in range(levels - 1):
+        done = cut(rest.groupBy("_s", "_g").applyInArrow(_fly(group), rest.schema))
         is_open = ((F.col("_p") > 0) & (F.col("_p") < 1)) | F.col("_c")
         settled.append(done.filter(~is_open))
         rest = done.filter(is_open).withColumn("_groups", F.greatest(F.lit(1), F.ceil(2 * F.col("_groups") / group)).cast("int")).withColumn("_g", F.pmod(F.shiftrightunsigned("_h", 20), F.col("_groups")).cast("int"))
-    out = settled[0]
-    for more in settled[1:]:
+    out = rest.groupBy("_s", "_g").applyInArrow(_fly(group), rest.schema)
+    for more in settled:
         out = out.unionByName(more)
-    return out.withColumn("taken", (F.col("size") * (F.col("_base") + F.col("_p"))).cast("long")).withColumn("_copies", (F.col("_base") + F.col("_p")).cast("int")).drop("_s", "docs", "_f", "_base", "_p", "_h", "_groups", "_g", "_c")
+    return out.withColumn("_copies", (F.col("_base") + F.col("_p")).cast("int")).drop("_s", "_base", "_p", "_groups", "_g", "_c")
+
+
+_SIZE = r"[^\x20\x09-\x0D]+"
+
+
+def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, share: float = SHARE, most: float = MAX_REPEAT, group: int = GROUP, keep_text: bool = True) -> DataFrame:
+    """df with size, source_size, target and taken (words the mix takes of the row, repeats counted).
+
+    Rows keep all their columns (those with the added names are replaced). Null text has size 0, null
+    source is a source of its own and comes last; documents of size 0 take nothing. Repeated rows are
+    drawn like any others. Texts never pass through Python: the flights see a row number, the source,
+    the size and a hash, and what they decide is joined back. A source's documents never meet in one
+    task unless they are fewer than about 1.5 * `group`: flights run in hashed groups, then on what
+    those leave open. keep_text=False leaves the text out of the join and of the result. An empty
+    table gives no rows.
+    """
+    out = _mixed(df, text, source, key, weights, share, most, group, keep_text)
+    return out.select("_row.*", "size", "source_size", "target", (F.col("size") * F.col("_copies")).alias("taken"))
+
+
+def _mixed(df: DataFrame, text: str, source: str, key: str, weights, share: float, most: float, group: int, keep_text: bool) -> DataFrame:
+    """_row (a struct of df's columns but those that mix adds), size, source_size, target and _copies."""
+    added = {"size", "source_size", "target", "taken", *([] if keep_text else [text.lower()])}
+    body = F.coalesce(F.col(text), F.lit(""))
+    numbered = cut(df.select(
+        F.monotonically_increasing_id().alias("_id"), F.col(source).cast("string").alias("source"), F.regexp_count(body, F.lit(_SIZE)).cast("long").alias("size"),
+        F.xxhash64(F.col(key).cast("string"), body).alias("_h"), F.struct(*[c for c in df.columns if c.lower() not in added]).alias("_row"),
+    ))
+    narrow = numbered.select("_id", "source", "size", "_h")
+    drawn = _draw(narrow, source_targets(narrow.select("source", "size"), weights, share, most), most, group).select("_id", "source_size", "target", "_copies")
+    return numbered.select("_id", "size", "_row").join(drawn, "_id")
 
 
-def mixed_rows(df: DataFrame, **options) -> DataFrame:
+def mixed_rows(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, share: float = SHARE, most: float = MAX_REPEAT, group: int = GROUP) -> DataFrame:
     """The mix itself: each row of df as often as it is taken (0, 1 or 2 times), in df's columns. Rows without words stay once, having no tokens to weigh."""
-    out = mix(df, **options)
+    wide = df.select(F.struct(*df.columns).alias("_all"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(key).alias("key"))
+    out = _mixed(wide.select("_all", "text", "source", "key"), "text", "source", "key", weights, share, most, group, False)
     times = F.when(F.col("size") == 0, 1).otherwise(F.col("_copies"))
-    return out.withColumn("_copies", times).filter("_copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
+    return out.withColumn("_times", times).filter("_times > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row._all.*")
 
 
 def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
