@@ -6,10 +6,12 @@
    share a signature. Very small sets use pairs of their least hashes instead; large sets stop at
    MOST parts of about 6 elements, of which two linked sets share none with a chance of about 1e-8
    at a similarity of exactly 0.85 and under 1e-14 from 0.9 on (the hash, not the data, decides).
+   most=None sets no such stop: then all D+1 parts are used, at more signatures for large sets.
 3. Classes connected through shared signatures form a candidate group; others can't be linked.
-4. Within a group (cut into blocks) a signature tree joins the sets: nodes hold OR-combined token
-   bitmaps and size ranges, and a dual traversal prunes node pairs by their largest possible overlap.
-   What is left is verified exactly. Pairs that are connected already are skipped.
+4. Within a group a signature tree joins the sets: nodes hold OR-combined token bitmaps and size
+   ranges, and a dual traversal prunes node pairs by their largest possible overlap. What is left is
+   verified exactly. Pairs that are connected already are skipped. A group of over BLOCK bytes is cut
+   by size class, of which only equal and neighbouring ones can link, and those into blocks.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ from .components import components
 WIDTH = 4  # words in a shingle
 NUM, DEN = 85, 100  # link when DEN * intersection >= NUM * union
 SMALL = 24  # below this size: pairs of prefix shingles
-RATIO = 1.5  # of the size classes of part signatures
+RATIO = 1.25  # of the size classes of part signatures; over 1 / 0.85, so that linked sets are in one class or in neighbours
 MOST = 64  # part signatures of a set in one class
 BITS = 2048  # of a set's bitmap in the trees
 LEAF, FANOUT = 16, 8
-BLOCK = 8192  # classes of a candidate group in one task, at most twice
+BLOCK = 32 << 20  # bytes of a candidate group's sets in one task, at most twice; a set counts 6 bytes a shingle and EACH
+EACH = 2048
+BUCKETS, SALTS = 4096, 64  # counters that find hot signatures, and the pieces that those are dealt to
 
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -79,19 +83,20 @@ def _bounds() -> list[int]:
 _CLASSES = _bounds()
 
 
-def _parts(h: np.ndarray, c: int, need: int) -> np.ndarray:
-    """Signatures of the first `need` non-empty parts of the set in size class c."""
+def _parts(h: np.ndarray, c: int, need: int, most: int | None) -> np.ndarray:
+    """Signatures of the first `need` non-empty parts of the set in size class c (at most `most`)."""
     least = _CLASSES[c]
-    p = ceil(0.34 * least) + 6 if least * (DEN - NUM) < MOST * NUM else ceil(least * 1.25 / 6)
+    # need is up to 0.2206 * least + 1 for the largest sets of the class; a few parts may be empty
+    p = ceil(0.23 * least) + 6 if most is None or least * (DEN - NUM) < most * NUM else ceil(least * (1 + RATIO) / 12)
     at = (h % _U(p)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     at = at[order]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     sums = np.add.reduceat(_mix(h[order] ^ _U(0x9E3779B97F4A7C15)), first)
-    return _mix(sums + _mix(at[first].astype(_U) + (_U(c + 1) << _U(44))))[:need]
+    return _mix(sums + _mix(at[first].astype(_U) + (_U(c + 1) << _U(44))))[: need if most is None else min(need, most)]
 
 
-def signatures(h: np.ndarray) -> np.ndarray:
+def signatures(h: np.ndarray, most: int | None = MOST) -> np.ndarray:
     """Routing signatures of a set: two sets that link and differ share at least one.
 
     With t = 85/100, sets of sizes a and b that link differ in at most (1-t)/(1+t)*(a+b) elements,
@@ -106,9 +111,9 @@ def signatures(h: np.ndarray) -> np.ndarray:
         out.append(_mix(_mix(x[i]) + x[j] * _U(3)))
     if s >= SMALL:
         c = int(np.searchsorted(_CLASSES, s, side="right")) - 1
-        out.append(_parts(h, c, min(MOST, int((DEN - NUM) * s * (1 + DEN / NUM) / (DEN + NUM)) + 1)))
+        out.append(_parts(h, c, int((DEN - NUM) * s * (1 + DEN / NUM) / (DEN + NUM)) + 1, most))
         if c and s * NUM <= (_CLASSES[c] - 1) * DEN:
-            out.append(_parts(h, c - 1, min(MOST, (DEN - NUM) * (s + _CLASSES[c] - 1) // (DEN + NUM) + 1)))
+            out.append(_parts(h, c - 1, (DEN - NUM) * (s + _CLASSES[c] - 1) // (DEN + NUM) + 1, most))
     return np.unique(np.concatenate(out)) if out else np.empty(0, _U)
 
 
@@ -116,19 +121,24 @@ def _digest(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """id, n_shingles, cid (digest of the set; null if empty) and sigs for docs (id, text)."""
+def sketch(docs: DataFrame, most: int | None = MOST) -> DataFrame:
+    """id, n_shingles, cid (digest of the set; null if empty) and sigs for docs (id, text).
+
+    Of the rows of one set that a task meets, the first alone carries the signatures.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        words = _Words()
+        words, met = _Words(), set()
         for b in batches:
             n, cid, sizes, sigs = [], [], [0], []
             for t in b.column(1):
                 h = shingles(t.as_py(), words)
                 n.append(len(h))
-                cid.append(_digest(h) if len(h) else None)
-                g = signatures(h)
+                d = _digest(h) if len(h) else None
+                cid.append(d)
+                g = np.empty(0, _U) if d in met else signatures(h, most)
+                met.add(d)
                 sigs.append(g.view(np.int64))
                 sizes.append(sizes[-1] + len(g))
             flat = pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64))
@@ -259,11 +269,12 @@ class SignatureTree:
 
 
 def _join_block(keys, tbl):
+    """Links within a block (bi = bj), or across two blocks."""
     bi, bj = keys[1].as_py(), keys[2].as_py()
     cids = tbl.column("cid").to_pylist()
     order = sorted(range(len(cids)), key=cids.__getitem__)
     sets = tbl.column("set").to_pylist()
-    side = np.array([tbl.column("block")[i].as_py() for i in order])
+    side = tbl.column("block").to_numpy()[order]
     tree = SignatureTree([_unpack(sets[i]) for i in order])
     found = tree.links(side if bi != bj else None)
     return pa.table({"a": pa.array([cids[order[p]] for p, _ in found], pa.binary()), "b": pa.array([cids[order[q]] for _, q in found], pa.binary())})
@@ -285,42 +296,90 @@ def _short(cid: str):
     return F.conv(F.substring(F.hex(cid), 1, 15), 16, 10).cast("long")
 
 
+def _hot(sigs: DataFrame) -> list[int]:
+    """The buckets of signatures, of BUCKETS, that hold over four times the mean: under a quarter of BUCKETS, with every signature of that many rows among them."""
+    counts = [(r["k"], r["n"]) for r in sigs.groupBy(F.pmod("sig", F.lit(BUCKETS)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    mean = sum(n for _, n in counts) / BUCKETS
+    return sorted(k for k, n in counts if n > max(1000, 4 * mean))
+
+
 def _candidates(rows: DataFrame) -> DataFrame:
     """Edges (a, b) of short class ids that connect, within each signature, classes of like size.
 
     Sorted by size, two classes of a signature that may link have only such classes between them, so
-    edges between neighbours whose sizes allow a link keep them connected.
+    edges between neighbours whose sizes allow a link keep them connected. Signatures in hot buckets
+    are chained in two steps, whatever the sizes: pieces dealt by class first, then the heads of the
+    pieces, so that no signature has to be sorted by one task.
     """
-    classes = rows.filter((F.col("cid").isNotNull()) & (F.size("sigs") > 0)).select("cid", "n_shingles", "sigs").dropDuplicates(["cid"])
-    sigs = classes.select(_short("cid").alias("c"), F.col("n_shingles").cast("int").alias("n"), F.explode("sigs").alias("sig"))
+    sigs = rows.filter(F.size("sigs") > 0).select(_short("cid").alias("c"), F.col("n_shingles").cast("int").alias("n"), F.explode("sigs").alias("sig"))
+    hot = _hot(sigs)
+    is_hot = F.pmod("sig", F.lit(BUCKETS)).isin(*hot) if hot else F.lit(False)
     w = Window.partitionBy("sig").orderBy("n", "c")
-    near = sigs.withColumn("b", F.lag("c").over(w)).withColumn("m", F.lag("n").over(w))
-    return near.filter((F.col("b") != F.col("c")) & (F.col("m") * DEN >= F.col("n") * NUM)).select(F.col("c").alias("a"), "b")
+    near = sigs.filter(~is_hot).withColumn("b", F.lag("c").over(w)).withColumn("m", F.lag("n").over(w))
+    out = near.filter((F.col("b") != F.col("c")) & (F.col("m") * DEN >= F.col("n") * NUM)).select(F.col("c").alias("a"), "b")
+    if hot:
+        w = Window.partitionBy("sig", "salt").orderBy("c")
+        dealt = cut(sigs.filter(is_hot).withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")).withColumn("b", F.lag("c").over(w)))
+        heads = dealt.filter("b is null").withColumn("b", F.lag("c").over(Window.partitionBy("sig").orderBy("c")))
+        out = out.unionByName(dealt.unionByName(heads).filter("b != c").select(F.col("c").alias("a"), "b"))
+    return out
+
 
+def _placed(classes: DataFrame, block: int) -> DataFrame:
+    """classes (cid, grp, n) with the block of each (`block`) and every pair of blocks (bi, bj) that it is to be joined in.
 
-def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    A group of up to `block` bytes is one block. In a larger one, size classes in a row make a unit of
+    about `block` bytes; a class of more is a unit by itself, cut into pieces. A block is a unit's
+    piece (unit * 2^32 + piece): pieces meet those of their own unit, and where a unit begins or ends,
+    its outermost class also meets the neighbouring class of the next unit. Large groups and their
+    classes number at most all bytes / block, and 60 classes or so each; they are written first, so
+    that the planner knows their size and never deals a whole group to one task to join with them.
+    """
+    weight = F.col("n") * 6 + EACH
+    large = cut(classes.groupBy("grp").agg(F.sum(weight).alias("bytes")).filter(F.col("bytes") > block).select("grp"))
+    if large.isEmpty():
+        return classes.select("cid", "grp", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("bi"), F.lit(0).cast("long").alias("bj"))
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.2)))).cast("long")  # 1.2 > 1 / 0.85
+    marked = classes.join(large.withColumn("_l", F.lit(True)), "grp", "left").withColumn("k", F.when(F.col("_l"), step)).drop("_l")
+    w = Window.partitionBy("grp").orderBy("k")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    big = F.col("bytes") > block
+    units = (
+        marked.filter("k is not null").groupBy("grp", "k").agg(F.sum(weight).alias("bytes"))
+        .withColumn("run", 2 * F.sum(big.cast("int")).over(so_far) - big.cast("int"))
+        .withColumn("strip", F.when(big, 0).otherwise(F.floor((F.sum(F.when(big, 0).otherwise(F.col("bytes"))).over(so_far) - F.col("bytes")) / block)))
+        .withColumn("unit", F.min("k").over(Window.partitionBy("grp", "run", "strip")))
+        .withColumn("m", F.when(big, F.ceil(F.col("bytes") / block)).otherwise(1).cast("long"))
+    )
+    side = lambda f, d: F.when((f("k").over(w) == F.col("k") + d) & (f("unit").over(w) != F.col("unit")), F.struct(f("unit").over(w).alias("unit"), f("m").over(w).alias("m")))
+    around = cut(units.select("grp", "k", F.struct("unit", "m").alias("own"), side(F.lag, -1).alias("below"), side(F.lead, 1).alias("above")))
+    code = lambda unit, i: F.shiftleft(unit, 32) + i
+    codes = lambda u: F.when(F.col(u).isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col(f"{u}.m") - 1), lambda i: code(F.col(f"{u}.unit"), i))).otherwise(F.array().cast("array<bigint>"))
+    zero = F.lit(0).cast("long")
+    return (
+        marked.join(around, ["grp", "k"], "left")
+        .withColumn("block", F.when(F.col("own").isNull(), zero).otherwise(code(F.col("own.unit"), F.pmod(F.xxhash64("cid"), F.col("own.m")))))
+        .withColumn("other", F.explode(F.when(F.col("own").isNull(), F.array(zero)).otherwise(F.concat(codes("below"), codes("own"), codes("above")))))
+        .select("cid", "grp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    )
+
+
+def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int | None = MOST, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs.
 
     Null, empty and blank texts have no shingles and link with nothing; equal sets always link; the
     result does not depend on row order. Rows of one id with different texts may give the id two
     rows with different components. A row with a null id is grouped with equal sets only, and with a
-    null component_id where no equal row has an id. Groups of more than BLOCK classes are joined
-    block against block, each pair of blocks in a task of its own.
+    null component_id where no equal row has an id. Groups of more than `block` bytes are joined
+    block against block, each pair of blocks that can link in a task of its own. An empty table
+    gives no rows; other columns are ignored.
     """
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    rows = cut(sketch(src))
-    reps = rows.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("id").alias("id"))
+    rows = cut(sketch(src, most))
+    reps = rows.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"))
     groups = cut(components(_candidates(rows)).select(F.col("node").alias("c"), F.col("root").alias("grp")))
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "grp")
-    wanted = cut(reps.filter("id is not null").withColumn("c", _short("cid")).join(placed, "c").select("id", "cid", "grp", "blocks"))
-    pairs = (
-        _sets(src, wanted)
-        .join(wanted.drop("id"), "cid")
-        .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "cid", "set", "block")
-    )
+    wanted = cut(reps.filter("id is not null").withColumn("c", _short("cid")).join(groups, "c").select("id", "cid", "grp", "n"))
+    pairs = _sets(src, wanted).join(_placed(wanted.select("cid", "grp", "n"), block), "cid")
     links = pairs.groupBy("grp", "bi", "bj").applyInArrow(_join_block, "a binary, b binary")
     found = components(links)
     labelled = rows.select("id", "n_shingles", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))

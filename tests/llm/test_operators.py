@@ -195,8 +195,7 @@ def brute_components(texts):
     return [(len(s), find(i)) for i, s in enumerate(sets)]
 
 
-def test_ngram_join(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)  # several blocks in a group
+def test_ngram_join(spark):
     r = random.Random(8)
     texts = [*EDGE_TEXTS, "A b C", "a B c"]
     for k in range(8):
@@ -206,8 +205,10 @@ def test_ngram_join(spark, monkeypatch):
             for _ in range(r.randint(0, max(1, len(w) // 50))):
                 w[r.randrange(len(w))] = "changed"
             texts.append(" ".join(w))
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.ngram_components(docs(spark, texts)).collect()}
-    assert got == dict(enumerate(brute_components(texts)))
+    want = dict(enumerate(brute_components(texts)))
+    for options in ({}, {"most": None, "block": 30_000}):  # without a stop to signatures, and with several blocks in a group
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.ngram_components(docs(spark, texts), **options).collect()}
+        assert got == want
     kept = sorted(x["doc_id"] for x in ngram_join.keep_one(docs(spark, texts)).collect())
     assert kept == sorted({c for _, c in brute_components(texts)})
     assert ngram_join.ngram_components(docs(spark, texts).limit(0)).count() == 0

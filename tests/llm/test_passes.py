@@ -79,3 +79,36 @@ def test_shards_and_slots_do_not_depend_on_ranges(spark):
         # rows equal in id and text may swap their slots
         assert rows == want
     assert len(want) == len(texts) + 3
+
+
+def test_hot_signatures_and_units_of_a_large_group(spark, monkeypatch):
+    """One template in many sizes and copies: hot signatures are chained by pieces, the group is cut by size and by bytes."""
+    from test_operators import brute_components
+
+    from engramix.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "_hot", lambda sigs: list(range(0, ngram_join.BUCKETS, 2)))
+    r = random.Random(12)
+    base = prose(900, 400).split()
+    texts = []
+    for _ in range(140):
+        w = base[: r.choice([30, 60, 120, 200, 300, 390])]
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = r.choice("pqrst")
+        texts.append(" ".join(w))
+    texts += texts[:20]
+    want = brute_components(texts)
+    for block in (2**25, 60_000, 12_000):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.ngram_components(docs(spark, texts), block=block).collect()}
+        assert got == dict(enumerate(want))
+    placed = ngram_join._placed(spark.range(4000).selectExpr("cast(cast(id as string) as binary) as cid", "7L as grp", "20 + id as n"), 10**6)
+    rows = placed.collect()
+    units = {(x["bi"], x["bj"]) for x in rows}
+    own = {int(x["cid"]): x["block"] for x in rows}
+    met = {b: set() for b in units}
+    for x in rows:
+        met[x["bi"], x["bj"]].add(int(x["cid"]))
+    for a in range(0, 4000, 37):  # every pair whose sizes allow a link meets
+        for b in range(a, min(4000, int((20 + a) / 0.85) - 19)):
+            key = tuple(sorted((own[a], own[b])))
+            assert a in met[key] and b in met[key]
