@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 from html import unescape
 
@@ -24,7 +25,8 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([
 ATTR = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object audio video canvas select option datalist xmp noembed noframes".split())
+#: Elements whose content is no text of the page. Without an end tag after it, a start tag of these is passed over alone.
+RAW = frozenset("script style textarea title noscript template iframe svg object audio video canvas select datalist xmp noembed noframes".split())
 BLOCKS = (
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre "
     "figure figcaption nav header footer aside form fieldset legend button label address details summary center dialog menu hgroup"
@@ -32,8 +34,10 @@ BLOCKS = (
 BLOCK = frozenset(BLOCKS)
 #: An open element of the value is closed by a start of the key.
 _P_CLOSERS = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
-_IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"), "thead": ("caption",)}
-_STOPS = frozenset("ul ol dl table html body article section div main td th".split())
+_IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"), "thead": ("caption",), "option": ("option",)}
+_STOPS = frozenset("ul ol dl table body article section div main td th".split())
+_CLOSER_STOPS = _STOPS | {"button"}
+_BOUNDS = {k: _STOPS.difference(v) for k, v in _IMPLIED.items()}
 
 #: Attribute tokens by what they say; matched as whole words of class, id, role and itemprop values.
 LEXICON = (
@@ -67,17 +71,42 @@ class Node:
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
-    """Block nodes in page order (parents first) and the stream of (node index, text), None marking a block's edge."""
+    """Block nodes in page order (parents first) and the stream of (node index, text), None marking a block's edge.
+
+    Text and inline elements outside every block get an implied block of their own, as `body` tags
+    may be left out. End tags of p, li, dt, dd, table parts and option may be missing. Every tag
+    looks only at what is open of its own kind (`places`), so deep nesting costs no more.
+    """
     root = Node("html", None, "")
     nodes, stream = [root], []
     stack = [("html", root)]
+    places: dict[str, list[int]] = {}  # where elements of a name stand on the stack
     links = 0
     pos, end = 0, len(html)
     it = TAG.search
+    ends: dict[str, int] = {}  # raw element -> where its next end tag begins, or -1 if none follows
+
+    def top(names) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
+    def push(name: str, node: Node) -> None:
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, node))
+
+    def block(name: str, attrs: str) -> None:
+        node = Node(name, stack[-1][1], attrs)
+        node.index = len(nodes)
+        node.at = len(stream)
+        nodes.append(node)
+        node.parent.kids.append(node)
+        stream.append((node.index, None))
+        push(name, node)
 
     def text(s: str) -> None:
         if s:
             s = unescape(s)
+            if len(stack) == 1 and s.strip():
+                block("body", "")
             stream.append((stack[-1][1].index, s))
             n = len(s) - s.count(" ") if s.strip() else 0
             node = stack[-1][1]
@@ -90,6 +119,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         nonlocal links
         while len(stack) > k:
             tag, _ = stack.pop()
+            places[tag].pop()
             if tag in BLOCK:
                 stream.append((stack[-1][1].index, None))
             elif tag == "a":
@@ -111,17 +141,19 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             continue
         name = name.lower()
         if shut:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if stack[k][0] in _STOPS and name not in BLOCK:
-                    break
+            if name == "body":  # what follows still belongs to it
+                continue
+            at = top((name,))
+            if at and (name in BLOCK or at >= top(_STOPS)):
+                close(at)
             continue
         if name in RAW:
             if not attrs.rstrip().endswith("/"):
-                done = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, pos)
-                pos = done.end() if done else end
+                if ends.get(name, 0) >= 0 and ends.get(name, 0) < pos + 1:
+                    found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, pos)
+                    ends[name], ends["/" + name] = (found.start() + 1, found.end()) if found else (-1, 0)
+                if ends[name] >= 0:
+                    pos = ends["/" + name]
             continue
         if name == "br":
             text(" ")
@@ -130,43 +162,32 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             if name == "hr":
                 stream.append((stack[-1][1].index, None))
             continue
-        if name == "html":
+        if name in ("html", "head") or name == "body" and places.get("body"):
             continue
         if name in _P_CLOSERS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in _STOPS or stack[k][0] in ("button", "td", "th"):
-                    break
-        for other in (_IMPLIED.get(name),) if name in _IMPLIED else ():
-            low = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in other:
-                    low = k
-                elif stack[k][0] in _STOPS and stack[k][0] not in other:
-                    break
-            if low is not None:
-                close(low)
-        if name == "head":
-            continue
+            at = top(("p",))
+            if at and at > top(_CLOSER_STOPS):
+                close(at)
+        if name in _IMPLIED:
+            # the outermost element to close inside the nearest element that bounds it
+            bound = top(_BOUNDS[name])
+            low = [places[x][bisect_right(places[x], bound)] for x in _IMPLIED[name] if places.get(x) and places[x][-1] > bound]
+            if low:
+                close(min(low))
         if name in BLOCK:
-            node = Node(name, stack[-1][1], attrs)
-            node.index = len(nodes)
-            node.at = len(stream)
-            nodes.append(node)
-            node.parent.kids.append(node)
-            stream.append((node.index, None))
-            stack.append((name, node))
+            block(name, attrs)
         else:
+            if len(stack) == 1:
+                block("body", "")
             if name == "a":
                 links += 1
-            stack.append((name, stack[-1][1]))
+            push(name, stack[-1][1])
         stack[-1][1].tags += 1
     return nodes, stream
 
 
 FEATURES = 44
+LONG = 50  # from so many siblings on, their number says no more
 
 
 def features(nodes: list[Node], stream_len: int) -> np.ndarray:
@@ -186,6 +207,14 @@ def features(nodes: list[Node], stream_len: int) -> np.ndarray:
     total = nodes[0].text + 1
     out = np.zeros((len(nodes), FEATURES), np.float32)
     above = [None] * len(nodes)
+    # rank among the siblings, the sibling before, and the share of siblings of the same tag, once per parent
+    rank, before, same = [0] * len(nodes), [None] * len(nodes), [1.0] * len(nodes)
+    for p in nodes:
+        count: dict[str, int] = {}
+        for v in p.kids:
+            count[v.tag] = count.get(v.tag, 0) + 1
+        for k, v in enumerate(p.kids):
+            rank[v.index], before[v.index], same[v.index] = k, p.kids[k - 1] if k else None, count[v.tag] / len(p.kids)
     for v in nodes:
         i = v.index
         own = set()
@@ -202,8 +231,7 @@ def features(nodes: list[Node], stream_len: int) -> np.ndarray:
         up = above[p.index] if p else frozenset()
         above[i] = up | own if own else up
         row = out[i]
-        sib = p.kids if p else [v]
-        rank = sib.index(v) if len(sib) < 50 else min(len(sib) - 1, 25)
+        sib = len(p.kids) if p else 1
         row[0] = _TAGS.get(v.tag, len(_TAGS))
         row[1] = min(v.depth, 30)
         row[2] = math.log1p(v.text)
@@ -214,16 +242,16 @@ def features(nodes: list[Node], stream_len: int) -> np.ndarray:
         row[7] = marks[i] / (v.text + 1) * 100
         row[8] = math.log1p(paras[i])
         row[9] = v.at / (stream_len + 1)
-        row[10] = rank / len(sib)
-        row[11] = min(len(sib), 50)
+        row[10] = rank[i] / sib
+        row[11] = min(sib, LONG)
         row[12] = v.text / (p.text + 1) if p else 1.0
         row[13] = p.link / (p.text + 1) if p else 0.0
         row[14] = math.log1p(p.text) if p else 0.0
         row[15] = _TAGS.get(p.tag, len(_TAGS)) if p else -1
-        row[16] = sum(1 for s in sib[:50] if s.tag == v.tag) / min(len(sib), 50)
-        before = sib[rank - 1] if rank and len(sib) < 50 else None
-        row[17] = before.link / (before.text + 1) if before else -1
-        row[18] = math.log1p(before.text) if before else -1
+        row[16] = same[i]
+        last = before[i]
+        row[17] = last.link / (last.text + 1) if last else -1
+        row[18] = math.log1p(last.text) if last else -1
         row[19] = len(v.kids)
         row[20] = 1.0 if v.kids else 0.0
         for k in own:
@@ -421,7 +449,7 @@ class _Maker:
         out = [f"<h1>{self.words(r.randint(1, 9))}</h1>"] if r.random() < 0.85 else []
         if r.random() < 0.15:
             out.append(f"<div{self.attr('byline', 'meta')} data-drop>{self.words(3)}</div>")
-        for _ in range(r.choice([1, 2, 4, 7, 12, 20])):
+        for _ in range(r.choice([1, 2, 4, 7, 12, 20] if r.random() < 0.97 else [60, 90])):
             k = r.random()
             if k < 0.8:
                 out.append(self.para())
@@ -439,8 +467,20 @@ class _Maker:
                 out.append(re.sub(r"^<(\w+)", r"<\1 data-drop", self.junk(r.choice(["ad", "side", "share", "note", "form"]))))
         return "".join(out)
 
+    def bare(self) -> str:
+        """A page whose text stands in the body itself: paragraphs, or lines between breaks and inline elements."""
+        r = self.r
+        lines = [" ".join(self.sentence(2, 18) for _ in range(r.choice([1, 2, 4]))) for _ in range(r.choice([1, 2, 5, 9]))]
+        paras = r.choice([0.0, 0.4, 1.0])
+        lines = [f"<{t}>{x}</{t}>" if (t := r.choice(["span", "b", "font", ""])) else x for x in lines]
+        text = "".join(self.para() if r.random() < paras else x + "<br>" for x in lines)
+        junk = lambda kinds: "".join(re.sub(r"^<(\w+)", r"<\1 data-drop", self.junk(k)) for k in kinds if r.random() < 0.5)
+        return f"<html><body data-keep>{junk(('header', 'nav', 'ad'))}{text}{junk(('share', 'talk', 'footer'))}</body></html>"
+
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.05:
+            return self.bare()
         main = self.body()
         tag = r.choice(["article", "article", "main", "div", "section"])
         main = f"<{tag}{self.attr('content', 'article', 'post', 'entry-content', 'story', 'main', 'text')} data-keep>{main}</{tag}>"
@@ -479,7 +519,12 @@ def train(pages: int = 900, seed: int = 5) -> Boosted:
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """key, url, text and n_chars of every row. Null, empty and text-free pages give an empty text; rows are independent."""
+    """key, url, text and n_chars of every row.
+
+    Null, empty and text-free pages give an empty text; rows are independent, so repeated rows and
+    null keys repeat; other columns are ignored; an empty table gives no rows. A page of any length
+    and depth is read whole, in time that grows with its length.
+    """
     shared = pages.sparkSession.sparkContext.broadcast(train())
     kinds = {f.name: f.dataType.simpleString() for f in pages.select(key, url).schema}
 
