@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 
+log = logging.getLogger(__name__)
 TASKS = ("triples", "markers", "episodes", "summary", "procedures", "rerank")
 
 
@@ -124,15 +126,25 @@ def ask(rows: DataFrame, llm: LLM, requests: dict[str, tuple[str, bool]], text:
 
 
 def embed(rows: DataFrame, embedder: Embedder, text: str, at_a_time: int = 64) -> DataFrame:
-    """rows without `text`, with v, model and dim; asked in batches on the executors."""
+    """rows without `text`, with v, model and dim; asked in batches on the executors.
+
+    Rows of a batch whose call fails are left out, so they are still without a vector and come again
+    in the next cycle.
+    """
     keep = [c for c in rows.columns if c != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text) + ", v array<double>, model string, dim int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = list(batch[text])
-            vectors = [v for i in range(0, len(texts), at_a_time) for v in embedder.embed(texts[i : i + at_a_time])]
-            out = batch[keep].copy()
+            texts, vectors, got = list(batch[text]), [], []
+            for i in range(0, len(texts), at_a_time):
+                part = texts[i : i + at_a_time]
+                try:
+                    vectors += embedder.embed(part)
+                    got += range(i, i + len(part))
+                except Exception as e:  # the other batches still count
+                    log.warning("%d texts got no vector: %s: %s", len(part), type(e).__name__, e)
+            out = batch[keep].iloc[got].copy()
             out["v"] = pd.Series(vectors, index=out.index, dtype=object)
             out["model"], out["dim"] = embedder.model, embedder.dim
             yield out

@@ -6,6 +6,8 @@ import json
 import re
 from collections.abc import Callable
 from datetime import datetime, timezone
+from email import policy
+from email.parser import BytesParser
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
@@ -136,6 +138,22 @@ def add_messages(memory, body, query, as_of, w, s):
     return {"added": len(rows)}
 
 
+@route("POST", WORKSPACE + "/sessions/{s}/messages/upload", 201)
+def upload_file(memory, body, query, as_of, w, s):
+    """A file as one message of a peer: the form fields peer_id and file; bytes that are no UTF-8 become replacement characters."""
+    memory.add_messages(_frame(memory, [(s, 0, body["peer_id"], body["file"])], "session_id string, pos int, peer_id string, content string"), w, as_of)
+    return {"added": 1}
+
+
+def form(content_type: str, data: bytes) -> dict[str, str]:
+    """The fields of a multipart form, files as their text."""
+    message = BytesParser(policy=policy.HTTP).parsebytes(b"Content-Type: " + content_type.encode() + b"\r\n\r\n" + data)
+    if not message.is_multipart():
+        raise ValueError("the body is no form")
+    fields = {p.get_param("name", header="content-disposition"): p.get_payload(decode=True) for p in message.iter_parts()}
+    return {k: v.decode("utf-8", "replace") for k, v in fields.items() if k}
+
+
 @route("POST", WORKSPACE + "/sessions/{s}/messages/list")
 def list_messages(memory, body, query, as_of, w, s):
     number, size = int(body.get("page", 1)), int(body.get("size", 50))
@@ -204,11 +222,12 @@ def serve(memory: Memory, host: str = "127.0.0.1", port: int = 8080) -> Threadin
         def _run(self):
             size = int(self.headers.get("Content-Length") or 0)
             try:
-                body = json.loads(self.rfile.read(size)) if size else None
+                data, kind = self.rfile.read(size), self.headers.get("Content-Type") or ""
+                body = (form(kind, data) if kind.startswith("multipart/") else json.loads(data)) if size else None
                 now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
                 status, out = answer(memory, self.command, self.path, body, now)
             except ValueError:
-                status, out = 400, {"detail": "the body is no JSON"}
+                status, out = 400, {"detail": "the body is neither JSON nor a form"}
             data = json.dumps(out, default=str).encode()
             self.send_response(status)
             self.send_header("Content-Type", "application/json")

@@ -110,13 +110,28 @@ def _window(chunks: DataFrame, as_of: str, days: int) -> DataFrame:
     return chunks.filter((F.col("created_at") <= until) & (F.col("created_at") >= until - F.expr(f"make_dt_interval({days})"))).select("chunk_id")
 
 
+def _own(evidence: DataFrame, recent: DataFrame) -> DataFrame:
+    """Distinct keys and chunks of the evidence in the window."""
+    return evidence.join(recent, "chunk_id", "left_semi").select(*KEY, "chunk_id").distinct()
+
+
 def co_mentioned(edges: DataFrame, mentions: DataFrame, chunks: DataFrame, evidence: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    """Keys of active base edges whose two ends share a chunk of the window that is not their evidence."""
+    """Keys of active base edges whose two ends share a chunk of the window that is not their evidence.
+
+    Each edge looks up the chunks of its rarer end, then the other end in those; pairs of names that
+    no edge joins are never formed.
+    """
     recent = _window(chunks, as_of, days)
-    m = mentions.join(recent, "chunk_id", "left_semi")
-    pairs = m.select("chunk_id", F.col("entity").alias("s")).join(m.select("chunk_id", F.col("entity").alias("o")), "chunk_id")
-    hits = pairs.join(edges.filter(_base()).select(*KEY), ["s", "o"])
-    return hits.join(evidence.join(recent, "chunk_id", "left_semi").select(*KEY, "chunk_id").distinct(), [*KEY, "chunk_id"], "left_anti").select(*KEY).distinct()
+    m = cut(mentions.join(recent, "chunk_id", "left_semi").select("chunk_id", "entity").distinct())
+    count = m.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    ends = (
+        edges.filter(_base()).select(*KEY)
+        .join(count.select(F.col("entity").alias("s"), F.col("n").alias("ns")), "s")
+        .join(count.select(F.col("entity").alias("o"), F.col("n").alias("no")), "o")
+        .select(*KEY, F.when(F.col("ns") <= F.col("no"), F.col("s")).otherwise(F.col("o")).alias("rare"), F.when(F.col("ns") <= F.col("no"), F.col("o")).otherwise(F.col("s")).alias("other"))
+    )
+    found = ends.join(m.withColumnRenamed("entity", "rare"), "rare").join(m.withColumnRenamed("entity", "other"), ["chunk_id", "other"], "left_semi")
+    return found.select(*KEY, "chunk_id").join(_own(evidence, recent), [*KEY, "chunk_id"], "left_anti").select(*KEY).distinct()
 
 
 def reinforce(edges: DataFrame, mentions: DataFrame, chunks: DataFrame, evidence: DataFrame, as_of: str, days: int = 30) -> DataFrame:
@@ -128,24 +143,17 @@ def reinforce(edges: DataFrame, mentions: DataFrame, chunks: DataFrame, evidence
 def re_mentioned(edges: DataFrame, mentions: DataFrame, chunks: DataFrame, evidence: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Keys of active base edges, not reinforced in the window, of which an end is mentioned there outside their evidence.
 
-    Counted instead of listed: chunks with s, plus chunks with o, less chunks with both, against the
-    evidence chunks of the window, each of which mentions both ends.
+    Counted instead of listed: an end with more chunks that mention it than evidence chunks of the
+    edge that do. Evidence chunks need not mention both ends, or either.
     """
     recent = _window(chunks, as_of, days)
-    m = mentions.join(recent, "chunk_id", "left_semi")
-    single = m.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    m = cut(mentions.join(recent, "chunk_id", "left_semi").select("chunk_id", "entity").distinct())
+    count = m.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
     stale = edges.filter(_base()).filter(F.col("last_reinforced").isNull() | (F.col("last_reinforced") < F.expr(f"timestamp_ntz'{as_of}' - make_dt_interval({days})")))
-    both = m.select("chunk_id", F.col("entity").alias("s")).join(m.select("chunk_id", F.col("entity").alias("o")), "chunk_id").groupBy("s", "o").agg(F.count(F.lit(1)).alias("both"))
-    own = evidence.join(recent, "chunk_id", "left_semi").select(*KEY, "chunk_id").distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("own"))
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    counted = (
-        stale.select(*KEY)
-        .join(single.select(F.col("entity").alias("s"), F.col("n").alias("ns")), "s", "left")
-        .join(single.select(F.col("entity").alias("o"), F.col("n").alias("no")), "o", "left")
-        .join(both, ["s", "o"], "left")
-        .join(own, KEY, "left")
-    )
-    return counted.filter(n("ns") + n("no") - n("both") > n("own")).select(*KEY)
+    by_end = lambda df, *more: df.select(*KEY, *more, F.explode(F.array_distinct(F.array("s", "o"))).alias("entity"))
+    own = by_end(_own(evidence, recent), "chunk_id").join(m, ["chunk_id", "entity"], "left_semi").groupBy(*KEY, "entity").agg(F.count(F.lit(1)).alias("own"))
+    counted = by_end(stale).join(count, "entity").join(own, [*KEY, "entity"], "left")
+    return counted.filter(F.col("n") > F.coalesce("own", F.lit(0))).select(*KEY).distinct()
 
 
 def decay(edges: DataFrame, mentions: DataFrame, chunks: DataFrame, evidence: DataFrame, as_of: str, days: int = 30) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramix.functions import text as T
@@ -57,7 +57,8 @@ def captured_turns(payloads: DataFrame, raw: str = "raw") -> tuple[DataFrame, Da
 def uploaded_turns(spark: SparkSession, path: str, session: str, role: str = "user") -> DataFrame:
     """Every file of a path as one turn; bytes that are no UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.lit(session).alias("session_id"), F.row_number().over(Window.partitionBy(F.lit(session)).orderBy("path")).alias("pos"), F.lit(role).alias("role"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    rows = files.select("path", F.lit(session).alias("session_id"), F.lit(role).alias("role"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return numbered(rows, "pos", "path").select("session_id", "pos", "role", "content")
 
 
 def register_peers(peers: DataFrame, new: DataFrame, as_of: str) -> DataFrame:

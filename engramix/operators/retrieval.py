@@ -78,6 +78,15 @@ def cosine_knn(vectors: DataFrame, query: list[float], top_k: int, max_scan: int
     return scan.select("id", (F.greatest(F.lit(0.0), c) if floor else c).alias("score")).orderBy(F.col("score").desc(), "id").limit(top_k)
 
 
+def cosine_edges(edges: DataFrame, vectors: DataFrame, query: list[float], top_k: int, max_scan: int = DEFAULTS["embedding_max_scan"]) -> DataFrame:
+    """s, p, o, sem: cosine, not below 0, of the active edges last seen whose text has a vector (edge_text, v) of the query's dimension."""
+    e = edges.filter("status = 'active'").select(*KEY, "last_seen", F.concat_ws(" ", *KEY).alias("edge_text"))
+    newest = e.join(vectors.select("edge_text", "v"), "edge_text").orderBy(F.col("last_seen").desc_nulls_last(), *KEY).limit(max_scan)
+    q = F.array(*[F.lit(float(x)) for x in query])
+    sem = F.greatest(F.lit(0.0), cosine(F.col("v"), q))
+    return newest.filter(F.size("v") == len(query)).select(*KEY, sem.alias("sem")).orderBy(F.col("sem").desc(), *KEY).limit(top_k)
+
+
 def rrf(first: DataFrame, second: DataFrame, top_k: int, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists (id, rank from 1); ties go to the first list's hits."""
     both = first.select("id", "rank", F.lit(0).alias("src")).unionByName(second.select("id", "rank", F.lit(1).alias("src")))
@@ -135,21 +144,28 @@ def days_since(col: Column, as_of: str) -> Column:
 
 
 def graph_facts(
-    edges: DataFrame, entities: DataFrame, routed: list[str], as_of: str, semantic: DataFrame | None = None, overlap: DataFrame | None = None,
+    edges: DataFrame, entities: DataFrame, routed: list[str], as_of: str, semantic: DataFrame | None = None, overlap: DataFrame | None = None, types: DataFrame | None = None,
     top_k: int = DEFAULTS["graph_top_k"], per_entity: int = DEFAULTS["graph_top_k_per_entity"], per_predicate: int = DEFAULTS["graph_predicate_top_k"],
 ) -> DataFrame:
     """The hybrid ranker: candidates from entities, meaning and routed predicates, scored with reasons.
 
-    entities: column entity; overlap: entity (those reached by shared name parts); semantic: s, p, o, sem.
+    entities: column entity; overlap: entity and via (those reached by shared name parts, and the part);
+    types: entity and type (entities reached by their type); semantic: s, p, o, sem. why lists the
+    reasons, joined by commas.
     Without routed predicates the fallback rules hold: overlap-only edges count half, semantic ones by
     their similarity, and with no candidate at all the latest edges are taken.
     """
     active = edges.filter("status = 'active'").withColumn("conf", confidence(F.col("pos"), F.col("neg")))
-    over = overlap if overlap is not None else entities.limit(0)
-    names = entities.select("entity").unionByName(over.select("entity")).distinct().join(over.select("entity").distinct().withColumn("via", F.lit(True)), "entity", "left")
-    ends = active.select("*", F.explode(F.array_distinct(F.array("s", "o"))).alias("entity")).join(F.broadcast(names), "entity")
+    names = entities.select("entity", F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("type"))
+    if overlap is not None:
+        names = names.unionByName(overlap.select("entity", "via"), allowMissingColumns=True)
+    if types is not None:
+        names = names.unionByName(types.select("entity", "type"), allowMissingColumns=True)
+    # an entity that a part reached is anchored by that part alone, whatever else names it
+    names = names.groupBy("entity").agg(F.collect_set("via").alias("vias"), F.collect_set("type").alias("types"))
+    ends = active.select("*", F.explode(F.array_distinct(F.array("s", "o"))).alias("entity")).join(names, "entity")
     w = Window.partitionBy("entity").orderBy(F.col("conf").desc(), F.col("last_reinforced").desc_nulls_last(), *KEY)
-    of_entity = ends.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_entity).select(*KEY, F.lit(True).alias("ent"), F.col("via").isNull().alias("direct"), F.lit(0.0).alias("sem"), F.lit(False).alias("seed"))
+    of_entity = ends.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_entity).select(*KEY, F.lit(True).alias("ent"), (F.size("vias") == 0).alias("direct"), F.lit(0.0).alias("sem"), F.lit(False).alias("seed"), "vias", "types")
     parts = [of_entity]
     none = F.lit(False)
     if semantic is not None:
@@ -159,11 +175,13 @@ def graph_facts(
         parts.append(hit.select(*KEY, none.alias("ent"), none.alias("direct"), F.lit(0.0).alias("sem"), none.alias("seed")))
     found = parts[0]
     for p in parts[1:]:
-        found = found.unionByName(p)
+        found = found.unionByName(p, allowMissingColumns=True)
     if not routed and semantic is None and found.isEmpty():
-        found = recency_seed(edges, top_k).select(*KEY, none.alias("ent"), none.alias("direct"), F.lit(0.0).alias("sem"), F.lit(True).alias("seed"))
-    grouped = found.groupBy(*KEY).agg(F.max("ent").alias("ent"), F.max("direct").alias("direct"), F.max("sem").alias("sem"), F.max("seed").alias("seed"))
-    full = grouped.join(active.select(*KEY, "pos", "neg", "conf", "last_seen"), KEY)
+        seed = recency_seed(edges, top_k).select(*KEY, none.alias("ent"), none.alias("direct"), F.lit(0.0).alias("sem"), F.lit(True).alias("seed"))
+        found = found.limit(0).unionByName(seed, allowMissingColumns=True)
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    grouped = found.groupBy(*KEY).agg(F.max("ent").alias("ent"), F.max("direct").alias("direct"), F.max("sem").alias("sem"), F.max("seed").alias("seed"), every("vias"), every("types"))
+    full = grouped.join(active.select(*KEY, "pos", "neg", "conf", "last_seen", "derived"), KEY)
     days = days_since(F.col("last_seen"), as_of)
     r = F.exp(-F.coalesce(days, F.lit(0.0)) / DEFAULTS["recency_days"])
     cr = F.col("conf") * r
@@ -172,15 +190,21 @@ def graph_facts(
         score = cr * F.when(meant, F.col("sem")).otherwise(1.0) * F.when(F.col("p").isin(*routed), DEFAULTS["predicate_boost"]).otherwise(1.0)
     else:
         score = F.when(F.col("ent") & F.col("direct"), cr).when(F.col("ent"), DEFAULTS["overlap_weight"] * cr).when(meant, F.col("sem") * cr).otherwise(cr)
-    why = F.filter(F.array(
-        F.when(F.col("seed"), F.lit("fallback:recency")).when(F.lit(not routed) & F.col("ent"), F.lit("fallback:entity")).when(F.lit(not routed) & meant, F.lit("fallback:semantic")),
-        F.when(F.col("ent") & ~F.col("direct"), F.lit("overlap")),
-        F.when(meant, F.format_string("semantic_%.2f", "sem")),
-        F.when(F.col("p").isin(*routed) if routed else F.lit(False), F.concat(F.lit("predicate:"), F.col("p"))),
-        F.when(days <= DEFAULTS["recent_days"], F.concat(F.lit("recency_"), F.bround(days).cast("int").cast("string"), F.lit("d"))),
-        F.when(F.col("ent"), F.lit("entity_match")),
-    ), lambda x: x.isNotNull())
-    return full.select(*KEY, "pos", "neg", "conf", score.alias("score"), F.array_join(why, ",").alias("why")).orderBy(F.round("score", 9).desc(), *KEY).limit(top_k)
+    said = lambda cond, *codes: F.when(cond, F.array(*codes)).otherwise(F.array().cast("array<string>"))
+    each = lambda prefix, c: F.transform(c, lambda x: F.concat(F.lit(prefix), x))
+    by_part = F.lit(not routed) & F.col("ent") & ~F.col("direct")
+    no_route = F.lit(not routed)
+    why = F.concat(
+        said(by_part, F.lit("fallback:entity_anchored:overlap")), F.when(by_part, each("overlap_via:", "vias")).otherwise(F.array().cast("array<string>")),
+        said(no_route & F.col("ent") & F.col("direct"), F.lit("fallback:entity_anchored")),
+        said(no_route & ~F.col("ent") & meant, F.lit("fallback:semantic")), said(no_route & ~F.col("ent") & ~meant, F.lit("fallback:recency")),
+        said(meant, F.format_string("semantic_%.2f", "sem")),
+        said(F.col("p").isin(*routed) if routed else F.lit(False), F.concat(F.lit("predicate:"), F.col("p"))),
+        each("entity_type:", "types"),
+        said(F.coalesce(days, F.lit(0.0)) <= DEFAULTS["recent_days"], F.concat(F.lit("recency_"), F.bround(F.coalesce(days, F.lit(0.0))).cast("int").cast("string"), F.lit("d"))),
+        said(F.col("ent"), F.lit("entity_match")),
+    )
+    return full.select(*KEY, "pos", "neg", "conf", score.alias("score"), F.array_join(why, ",").alias("why"), "derived").orderBy(F.round("score", 9).desc(), *KEY).limit(top_k)
 
 
 def recency_seed(edges: DataFrame, limit: int = DEFAULTS["graph_top_k"]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from engramix import prompts
 from engramix.clients import LLM, Embedder, Request
 from engramix.functions import text as T
-from engramix.operators import narrative, retrieval
+from engramix.operators import index, narrative, retrieval
 from engramix.vocabulary import DEFAULTS
 
 
@@ -45,10 +45,16 @@ def _rated(query: str, hits: list, llm: LLM) -> list[tuple[str, int]]:
     return list(out.items())
 
 
-def passages(chunks: DataFrame, vectors: DataFrame, message: str, embedder: Embedder | None, llm: LLM | None, top_k: int = DEFAULTS["fts_top_k"]) -> DataFrame:
-    """The best chunks: BM25 alone, or fused with the nearest vectors and, where both lists disagree closely, rated by the model."""
+def passages(chunks: DataFrame, vectors: DataFrame, message: str, embedder: Embedder | None, llm: LLM | None, top_k: int = DEFAULTS["fts_top_k"], posted: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """The best chunks: BM25 alone, or fused with the nearest vectors and, where both lists disagree closely, rated by the model.
+
+    posted and sizes are the text index; without one all texts are scanned.
+    """
     spark = chunks.sparkSession
-    hits = retrieval.bm25(chunks.select(F.col("chunk_id").alias("id"), "text"), message, top_k, stemmed=True)
+    if posted is None or sizes is None or sizes.isEmpty():
+        hits = retrieval.bm25(chunks.select(F.col("chunk_id").alias("id"), "text"), message, top_k, stemmed=True)
+    else:
+        hits = index.bm25_indexed(posted, sizes, "chunk_id", " ".join(T.search_words(message)), top_k)
     kind = "bm25"
     if embedder is not None:
         q = embedder.embed([message])[0]
@@ -68,18 +74,18 @@ def passages(chunks: DataFrame, vectors: DataFrame, message: str, embedder: Embe
 
 
 def expanded_entities(message: str, aliases: DataFrame, edges: DataFrame, types: DataFrame, common: int, most: int) -> DataFrame:
-    """entity and via: names of the message, others of their types, others that share a rare part of a matched name."""
+    """entity, how (matched, type, overlap), type and via: names of the message, others of their types, others that share a rare part (via) of a matched name. An entity may come in several ways."""
     asked = edges.sparkSession.createDataFrame([(message,)], "m string").select(F.explode(T.entity_candidates(F.col("m"))).alias("c"))
     matched = retrieval.match_entities(asked, aliases, edges, types)
-    by_type = retrieval.type_expansion(matched, types).select("entity").distinct()
     names = edges.filter("status = 'active'").select(F.explode(F.array("s", "o")).alias("canonical")).distinct()
-    overlap = retrieval.token_overlap(matched, names, common, most).select(F.col("canonical").alias("entity")).distinct()
-    tagged = matched.select(F.col("canonical").alias("entity"), F.lit(1).alias("k")).unionByName(by_type.withColumn("k", F.lit(2))).unionByName(overlap.withColumn("k", F.lit(3)))
-    return tagged.groupBy("entity").agg(F.min("k").alias("k"), F.max(F.col("k") == 3).alias("shared")).select("entity", F.element_at(F.array(F.lit("matched"), F.lit("type"), F.lit("overlap")), F.col("k")).alias("via"), "shared")
+    overlap = retrieval.token_overlap(matched, names, common, most).select(F.col("canonical").alias("entity"), F.lit("overlap").alias("how"), "via")
+    by_type = retrieval.type_expansion(matched, types).select("entity", F.lit("type").alias("how"), "type")
+    out = matched.select(F.col("canonical").alias("entity"), F.lit("matched").alias("how"))
+    return out.unionByName(by_type, allowMissingColumns=True).unionByName(overlap, allowMissingColumns=True).distinct()
 
 
 def semantic_edges(edges: DataFrame, vectors: DataFrame, q: list[float], top_k: int = DEFAULTS["graph_semantic_top_k"]) -> DataFrame:
-    """s, p, o, sem of the active edges whose text lies nearest."""
+    """s, p, o, sem of the active edges whose text lies nearest, over all of them; retrieval.cosine_edges scans the newest only."""
     e = edges.filter("status = 'active'").select("s", "p", "o", F.concat_ws(" ", "s", "p", "o").alias("id"))
     near = retrieval.knn(vectors.join(e, vectors["edge_text"] == e["id"], "left_semi").select(F.col("edge_text").alias("id"), "v"), q, top_k)
     return near.join(e, "id").select("s", "p", "o", F.col("score").alias("sem"))
@@ -90,13 +96,13 @@ def augment(tables, message: str, as_of: str, embedder: Embedder | None = None,
     edges = tables("edges")
     names = expanded_entities(message, tables("aliases"), edges, tables("types"), DEFAULTS["overlap_threshold"], DEFAULTS["overlap_max"]).cache()
     routed = edges.sparkSession.createDataFrame([(message,)], "m string").select(T.route_predicates(F.col("m"))).first()[0]
-    direct, over = names.filter("NOT shared").select("entity"), names.filter("shared").select("entity")
+    direct, over, typed = names.filter("how = 'matched'"), names.filter("how = 'overlap'"), names.filter("how = 'type'")
     semantic = None
     if embedder is not None and (routed or names.isEmpty()):  # with names and no route, names decide alone
         semantic = semantic_edges(edges, tables("edge_vectors").filter(F.col("dim") == embedder.dim), embedder.embed([message])[0])
         semantic = None if semantic.isEmpty() else semantic
     return Context(
-        passages(tables("chunks"), tables("chunk_vectors"), message, embedder, llm), retrieval.graph_facts(edges, direct, routed, as_of, semantic, over),
+        passages(tables("chunks"), tables("chunk_vectors"), message, embedder, llm, posted=tables("postings"), sizes=tables("lengths")), retrieval.graph_facts(edges, direct, routed, as_of, semantic, over, typed),
         narrative.episode_search(tables("episodes"), message, DEFAULTS["fts_top_k"]), narrative.procedure_search(tables("procedures"), message, DEFAULTS["fts_top_k"]),
-        names.select("entity", "via"), routed, user_md, memory_md,
+        names.groupBy("entity").agg(F.min(F.array_position(F.array(F.lit("matched"), F.lit("type"), F.lit("overlap")), F.col("how"))).alias("k")).select("entity", F.element_at(F.array(F.lit("matched"), F.lit("type"), F.lit("overlap")), F.col("k").cast("int")).alias("via")), routed, user_md, memory_md,
     )

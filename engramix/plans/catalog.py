@@ -319,11 +319,11 @@ def vector_knn(spark, d):
     return retrieval.knn(v.filter("id <> 0"), q, 10).select("id", R6("score").alias("score"))
 
 
-@query("cosine_knn", """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), c AS (SELECT vec_id AS id, list_sum([embedding[i]::DOUBLE * q[i]::DOUBLE FOR i IN generate_series(1, len(q))]) / sqrt(list_sum([x::DOUBLE ** 2 FOR x IN embedding])) / sqrt(list_sum([x::DOUBLE ** 2 FOR x IN q])) AS score FROM (SELECT * FROM embeddings WHERE vec_id <> 0 ORDER BY vec_id DESC LIMIT 200), q)
+@query("cosine_knn", """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), c AS (SELECT vec_id AS id, list_sum([embedding[i]::DOUBLE * q[i]::DOUBLE FOR i IN generate_series(1, len(q))]) / sqrt(list_sum([x::DOUBLE ** 2 FOR x IN embedding])) / sqrt(list_sum([x::DOUBLE ** 2 FOR x IN q])) AS score FROM (SELECT * FROM embeddings WHERE vec_id <> 0 ORDER BY vec_id DESC LIMIT 5000), q)
 SELECT id, round(score, 6) AS score FROM c ORDER BY c.score DESC, id LIMIT 10""")
 def cosine_knn(spark, d):
     v, q = _vectors(spark, d)
-    return retrieval.cosine_knn(v.filter("id <> 0"), q, 10, max_scan=200).select("id", R6("score").alias("score"))
+    return retrieval.cosine_knn(v.filter("id <> 0"), q, 10).select("id", R6("score").alias("score"))
 
 
 @query("rrf_merge", f"""WITH {BM}, {NN}, a AS (SELECT id, row_number() OVER (ORDER BY score, id) AS r FROM bm QUALIFY r <= 20), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM nn QUALIFY r <= 20),
@@ -378,24 +378,28 @@ def token_overlap(spark, d):
     return retrieval.token_overlap(names.filter("canonical = 'small_ring'"), names)
 
 
+AGE = "(epoch(TIMESTAMP '2002-01-01') - epoch(last_seen)) / 86400.0"
+RECENT = f"CASE WHEN {AGE} <= 7 THEN 'recency_' || round_even({AGE}, 0)::INT || 'd' END"
 FACT = "round(conf * exp(-(epoch(TIMESTAMP '2002-01-01') - epoch(last_seen)) / 86400.0 / 30)"
 
 
 @query("graph_facts_routed", f"""WITH {KG}, e AS (SELECT s, p, o FROM (SELECT *, row_number() OVER (ORDER BY conf DESC, last_reinforced DESC NULLS LAST, s, p, o) AS n FROM kg WHERE o = 'small_ring') WHERE n <= 3),
 r AS (SELECT s, p, o FROM kg WHERE p = 'uses' ORDER BY conf DESC, last_seen DESC, s, p, o LIMIT 10), u AS (SELECT * FROM e UNION SELECT * FROM r),
-f AS (SELECT s, p, o, pos, neg, {FACT} * CASE WHEN p = 'uses' THEN 1.5 ELSE 1 END, 9) AS score FROM kg WHERE (s, p, o) IN (SELECT (s, p, o) FROM u))
+f AS (SELECT s, p, o, pos, neg, {FACT} * CASE WHEN p = 'uses' THEN 1.5 ELSE 1 END, 9) AS score,
+  concat_ws(',', CASE WHEN p = 'uses' THEN 'predicate:uses' END, {RECENT}, CASE WHEN (s, p, o) IN (SELECT (s, p, o) FROM e) THEN 'entity_match' END) AS why FROM kg WHERE (s, p, o) IN (SELECT (s, p, o) FROM u))
 SELECT * FROM f ORDER BY score DESC, s, p, o LIMIT 8""")
 def graph_facts_routed(spark, d):
     names = spark.createDataFrame([("small_ring",)], "entity string")
-    return retrieval.graph_facts(fx.graph(spark, d), names, ["uses"], "2002-01-01 00:00:00").select("s", "p", "o", "pos", "neg", F.round("score", 9).alias("score"))
+    return retrieval.graph_facts(fx.graph(spark, d), names, ["uses"], "2002-01-01 00:00:00").select("s", "p", "o", "pos", "neg", F.round("score", 9).alias("score"), "why")
 
 
 @query("graph_facts_fallback", f"""WITH {KG}, n AS (SELECT 'small_ring' AS entity, true AS direct UNION ALL SELECT 'red_widget', false),
 e AS (SELECT s, p, o, max(direct) AS direct FROM (SELECT kg.*, entity, direct, row_number() OVER (PARTITION BY entity ORDER BY conf DESC, last_reinforced DESC NULLS LAST, s, p, o) AS n FROM kg JOIN n ON o = entity) WHERE n <= 3 GROUP BY s, p, o),
-f AS (SELECT s, p, o, {FACT} * CASE WHEN direct THEN 1 ELSE 0.5::DOUBLE END, 9) AS score FROM kg JOIN e USING (s, p, o)) SELECT * FROM f ORDER BY score DESC, s, p, o LIMIT 8""")
+f AS (SELECT s, p, o, {FACT} * CASE WHEN direct THEN 1 ELSE 0.5::DOUBLE END, 9) AS score,
+  concat_ws(',', CASE WHEN direct THEN 'fallback:entity_anchored' ELSE 'fallback:entity_anchored:overlap,overlap_via:widget' END, {RECENT}, 'entity_match') AS why FROM kg JOIN e USING (s, p, o)) SELECT * FROM f ORDER BY score DESC, s, p, o LIMIT 8""")
 def graph_facts_fallback(spark, d):
-    names, over = (spark.createDataFrame([(x,)], "entity string") for x in ("small_ring", "red_widget"))
-    return retrieval.graph_facts(fx.graph(spark, d), names, [], "2002-01-01 00:00:00", overlap=over).select("s", "p", "o", F.round("score", 9).alias("score"))
+    names, over = spark.createDataFrame([("small_ring",)], "entity string"), spark.createDataFrame([("red_widget", "widget")], "entity string, via string")
+    return retrieval.graph_facts(fx.graph(spark, d), names, [], "2002-01-01 00:00:00", overlap=over).select("s", "p", "o", F.round("score", 9).alias("score"), "why")
 
 
 @query("recency_seed", f"WITH {KG} SELECT s, p, o FROM kg ORDER BY last_seen DESC, s, p, o LIMIT 8")

@@ -6,6 +6,7 @@ them twice. What fails is left out of the ledger and so comes again in the next
 
 from __future__ import annotations
 
+import threading
 import uuid
 from dataclasses import dataclass, field
 
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 
 from engramix import prompts
 from engramix.clients import LLM, Embedder, ask, embed
-from engramix.operators import chunking, consolidation, extraction, graph, ingest, narrative
+from engramix.operators import chunking, consolidation, extraction, graph, index, ingest, narrative
 from engramix.sources.checkpoint import cut
-from engramix.sources.store import Conflict, MemoryStore
+from engramix.sources.store import STALE_SECONDS, Conflict, MemoryStore
 from engramix.vocabulary import DEFAULTS
 
 VERSION = "v1"  # of the prompts; a new one makes every chunk due again
@@ -94,9 +95,16 @@ def dream(store: MemoryStore, llm: LLM, as_of: str, embedder: Embedder | None =
     if not store.acquire(run_id):
         store.commit(append={"dream_runs": record(skipped=True)})
         return Report(run_id, skipped=True)
+    ended = threading.Event()
+
+    def renew() -> None:
+        while not ended.wait(STALE_SECONDS / 5) and store.renew(run_id):
+            pass
+
+    threading.Thread(target=renew, daemon=True).start()
     try:
-        counts, replace = _cycle(store, llm, as_of, embedder, sessions, config)
-        store.commit(replace=replace, append={"dream_runs": record(**counts)})
+        counts, replace, append = _cycle(store, llm, as_of, embedder, sessions, config)
+        store.commit(replace=replace, append=append | {"dream_runs": record(**counts)})
         return Report(run_id, counts=counts)
     except Conflict:
         raise
@@ -104,9 +112,25 @@ def dream(store: MemoryStore, llm: LLM, as_of: str, embedder: Embedder | None =
         store.commit(append={"dream_runs": record(error=f"{type(e).__name__}: {e}"[:500])})
         raise
     finally:
+        ended.set()
         store.release(run_id)
 
 
+def mention_backfill(mentions: DataFrame, chunks: DataFrame, aliases: DataFrame, edges: DataFrame) -> DataFrame:
+    """mentions, and where there are none those of all chunks: a store that kept chunks before it kept mentions."""
+    return mentions if not mentions.isEmpty() else ingest.mention_index(chunks, aliases, edges)
+
+
+def indexed(chunks: DataFrame, posted: DataFrame, sizes: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """What to replace and to append so that the text index holds exactly chunks (chunk_id, text). Texts that it holds are not read again."""
+    new = cut(chunks.select("chunk_id", "text").join(sizes.select("chunk_id"), "chunk_id", "left_anti"))
+    fresh = {"postings": index.postings(new, "chunk_id"), "lengths": index.lengths(new, "chunk_id")}
+    held = lambda df: df.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    if sizes.join(chunks.select("chunk_id"), "chunk_id", "left_anti").isEmpty():
+        return {}, fresh
+    return {k: held(old).unionByName(fresh[k]) for k, old in (("postings", posted), ("lengths", sizes))}, {}
+
+
 def _cycle(store: MemoryStore, llm: LLM, as_of: str, embedder: Embedder | None, ids: list[str] | None, config: Config):
     t, version = store.table, store.manifest()["version"]
     table = lambda name: t(name, version)  # noqa: E731  every read of a cycle sees one version
@@ -133,7 +157,8 @@ def _cycle(store: MemoryStore, llm: LLM, as_of: str, embedder: Embedder | None,
     evidence = cut(merged_evidence(table("evidence"), triples))
     edges = cut(graph.upsert(edges, triples))
     found = ingest.mention_index(salient, aliases, edges).unionByName(triples.select("chunk_id", F.explode(F.array("s", "o")).alias("entity")))
-    mentions = cut(table("mentions").unionByName(found).distinct())
+    before = mention_backfill(table("mentions"), chunks, aliases, edges)
+    mentions = cut(before.unionByName(found).distinct())
     raw_markers = cut(extraction.validate_markers(good.select("chunk_id", "markers"), "markers").select(F.concat_ws("#", "chunk_id", F.lpad(F.col("n").cast("string"), 6, "0")).alias("id"), "kind", "statement", "chunk_id", ingest.at(as_of).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("consolidated_at")))
 
     # sessions with chunks of this cycle: episodes and summary, then procedures from the episodes
@@ -170,6 +195,8 @@ def _cycle(store: MemoryStore, llm: LLM, as_of: str, embedder: Embedder | None,
         "markers": markers, "profile": profile, "episodes": put(table("episodes"), new_episodes, "episode_id"), "procedures": put(table("procedures"), new_procedures, "procedure_id"),
         "feedback": feedback.unionByName(wrong),
     }
+    again, append = indexed(kept, table("postings"), table("lengths"))
+    replace |= again
     if embedder is not None:
         vectors = table("chunk_vectors")
         new = embed(extraction.pending_embeddings(kept.select("chunk_id", "text"), vectors, "chunk_id", embedder.model), embedder, "text")
@@ -182,4 +209,4 @@ def _cycle(store: MemoryStore, llm: LLM, as_of: str, embedder: Embedder | None,
         "chunks_seen": salient.count(), "chunks_processed": good.count(), "triples": triples.count(), "markers": raw_markers.count(), "retracted": retracted,
         "edges": edges.filter("NOT derived").count(), "derived": edges.filter("derived").count(), "profile_entries": profile.count(),
     }
-    return counts, replace
+    return counts, replace, append

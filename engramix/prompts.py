@@ -28,5 +28,5 @@ Answer with a JSON array only, of objects with index (the passage's number) and
 
 def triples_with(negatives: list[tuple[str, str, str]]) -> str:
     """The triple prompt, warned of facts that turned out wrong."""
-    lines = [f'- "{s} {p} {o}" was WRONG. Do not extract this relationship.' for s, p, o in negatives]
+    lines = [f'- "{s} {p} {o}" turned out not to hold: leave it out.' for s, p, o in negatives]
     return "\n".join([TRIPLES, "", "Known mistakes:", *lines]) if lines else TRIPLES

@@ -98,7 +98,7 @@ def test_recency_fallback_and_overlap_weight(spark):
     none = spark.createDataFrame([], "entity string")
     assert retrieval.graph_facts(e, none, [], "2024-01-03 00:00:00").count() == 2
     direct = retrieval.graph_facts(e, spark.createDataFrame([("a",)], "entity string"), [], "2024-01-03 00:00:00").first()
-    half = retrieval.graph_facts(e, none, [], "2024-01-03 00:00:00", overlap=spark.createDataFrame([("a",)], "entity string")).first()
+    half = retrieval.graph_facts(e, none, [], "2024-01-03 00:00:00", overlap=spark.createDataFrame([("a", "a")], "entity string, via string")).first()
     assert half["score"] == pytest.approx(direct["score"] / 2) and "recency_2d" in direct["why"]
 
 
