@@ -5,14 +5,20 @@ PREDICATES = (
     "uses", "depends_on", "prefers", "rejects", "avoids", "replaces", "conflicts_with", "deploys_to", "part_of",
     "equivalent_to", "implements", "contains", "configured_with", "requires_version", "runs_on", "connects_to", "generates", "tested_by",
 )
+# fixed values
 ENTITY_TYPES = (
     "language", "framework", "database", "service", "tool", "library", "file", "environment", "protocol", "container",
     "package_manager", "api", "platform", "config_file", "testing_framework", "ci_tool", "monitoring_tool", "identity_provider", "message_broker", "or_other_tool",
 )
+# fixed values
 ROLES = ("user", "assistant", "system", "tool")
+# fixed values
 MARKER_PROFILE = {"preference": "preference", "rejection": "avoidance", "correction": "context", "style": "style"}
+# fixed values
 EXCLUSIVE = ("runs_on", "requires_version", "deploys_to")
+# fixed values
 OPPOSING = (("prefers", "rejects"), ("prefers", "avoids"), ("uses", "rejects"), ("uses", "avoids"), ("depends_on", "conflicts_with"))
+# fixed values
 ROUTES = (
     ("steers clear", ("avoids",)),
     ("avoids", ("avoids", "rejects")), ("avoid", ("avoids", "rejects")),
@@ -38,19 +44,25 @@ ROUTES = (
     ("tested by", ("tested_by",)), ("tested with", ("tested_by",)), ("testing", ("tested_by",)), ("tests", ("tested_by",)),
     ("uses", ("uses",)), ("using", ("uses",)), ("utilizes", ("uses",)), ("works with", ("uses",)),
 )
+# fixed values
 CORRECTION = (
     r"\bno,|\b(actually|not\s+(?:quite|really|exactly)|don'?t\s+use|stopped\s+using|switched\s+(?:to|from)|replaced|moved\s+(?:off|away))\b"
     r"|\bthat'?s\s+wrong\b|\bwrong\b|\bincorrect\b|\bfix:|\bthe\s+right\s+(?:answer|way)\b|\binstead\s+of\b|\brather\s+than\b|\buse\s+\S+\s+not\s+\S+"
     r"|\bnee,|\b(eigenlijk|gebruik\s+geen|niet\s+gebruiken|gestopt\s+met|overgestapt(?:\s+(?:van|naar|op))?|vervangen)\b|\b(?:dat\s+klopt\s+niet|niet\s+correct|verkeerd|fout)\b"
     r"|\bde\s+juiste\s+(?:manier|antwoord)\b|\bin\s+plaats\s+van\b|\bliever\s+dan\b"
 )
+# fixed values
 PREFERENCE = (
     r"\b(i\s+prefer|i\s+like|i\s+want|we\s+use|we\s+chose|let'?s\s+use|we\s+rely\s+on|we\s+depend\s+on)\b"
     r"|\b(ik\s+prefereer|ik\s+heb\s+(?:een\s+)?voorkeur\s+voor|ik\s+wil|ik\s+gebruik\s+graag|(?:we|wij)\s+gebruiken|we\s+kozen(?:\s+voor)?|we\s+hebben\s+gekozen|laten\s+we\s+\S+\s+gebruiken|we\s+vertrouwen\s+op|we\s+zijn\s+afhankelijk\s+van)\b"
 )
+# fixed values
 ARTICLES = r"^(the|an?|de|het|een|der|die|das|dem|den|ein|eine|le|la|les|un|une|des|el|los|las|una|unos|unas|il|lo|gli|uno|os|as|um|uma)\s+"
+# fixed values
 USER_ROLE = r"(^user[-_]|human|client|telegram|discord|slack)"
+# fixed values
 AGENT_ROLE = r"(agent|hermes|assistant|ai[-_]|bot|llm)"
+# fixed values
 DEFAULTS = {
     "salience_min_chars": 30, "fts_top_k": 5, "graph_top_k_per_entity": 3, "graph_semantic_top_k": 10, "graph_predicate_top_k": 10, "graph_top_k": 8,
     "recency_days": 30.0, "recent_days": 7.0, "predicate_boost": 1.5, "overlap_weight": 0.5, "overlap_threshold": 20, "overlap_max": 5,
