@@ -311,6 +311,3 @@ def test_sharding(spark):
     assert sharding.shard(df.limit(0)).count() == 0
 
 
-def test_pipeline_keeps_clean_rows(spark):
-    corpus = pytest.importorskip("corpus_pipeline")
-    assert [n for n, _ in corpus.STAGES] == ["toxicity", "ngram_join", "decontamination", "mixing", "sharding"]
