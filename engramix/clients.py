@@ -76,9 +76,13 @@ class CachedEmbedder:
     """Keeps the vectors of the last `size` texts; only new ones are asked, each once per call."""
 
     def __init__(self, inner: Embedder, size: int = 128):
-        self.inner, self.size, self.model, self.dim = inner, size, inner.model, inner.dim
+        self.inner, self.size, self.model = inner, size, inner.model
         self._kept: OrderedDict[str, list[float]] = OrderedDict()
 
+    @property
+    def dim(self) -> int:
+        return self.inner.dim
+
     def embed(self, texts: list[str]) -> list[list[float]]:
         found = {}
         for t in texts:

@@ -99,7 +99,8 @@ def augment(tables, message: str, as_of: str, embedder: Embedder | None = None,
     direct, over, typed = names.filter("how = 'matched'"), names.filter("how = 'overlap'"), names.filter("how = 'type'")
     semantic = None
     if embedder is not None and (routed or names.isEmpty()):  # with names and no route, names decide alone
-        semantic = semantic_edges(edges, tables("edge_vectors").filter(F.col("dim") == embedder.dim), embedder.embed([message])[0])
+        q = embedder.embed([message])[0]
+        semantic = semantic_edges(edges, tables("edge_vectors").filter((F.col("model") == embedder.model) & (F.col("dim") == len(q))), q)
         semantic = None if semantic.isEmpty() else semantic
     return Context(
         passages(tables("chunks"), tables("chunk_vectors"), message, embedder, llm, posted=tables("postings"), sizes=tables("lengths")), retrieval.graph_facts(edges, direct, routed, as_of, semantic, over, typed),

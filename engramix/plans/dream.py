@@ -198,11 +198,14 @@ def _cycle(store: MemoryStore, llm: LLM, as_of: str, embedder: Embedder | None,
     again, append = indexed(kept, table("postings"), table("lengths"))
     replace |= again
     if embedder is not None:
-        vectors = table("chunk_vectors")
+        # vectors of this model in another dimension than it gives now are made anew
+        dim = len(embedder.embed(["dimension"])[0])
+        fits = (F.col("model") != embedder.model) | (F.col("dim") == dim)
+        vectors = table("chunk_vectors").filter(fits)
         new = embed(extraction.pending_embeddings(kept.select("chunk_id", "text"), vectors, "chunk_id", embedder.model), embedder, "text")
         replace["chunk_vectors"] = cut(held(vectors).unionByName(new))
         wanted = edges.filter("status = 'active'").select(F.concat_ws(" ", *KEY).alias("edge_text")).distinct()
-        have = table("edge_vectors").filter(F.col("model") == embedder.model).join(wanted, "edge_text", "left_semi")
+        have = table("edge_vectors").filter((F.col("model") == embedder.model) & fits).join(wanted, "edge_text", "left_semi")
         fresh = embed(wanted.join(have.select("edge_text"), "edge_text", "left_anti").withColumn("text", F.col("edge_text")), embedder, "text")
         replace["edge_vectors"] = cut(have.unionByName(fresh))
     counts = {

@@ -90,6 +90,16 @@ def test_failed_embeddings_cost_their_batch_only(spark):
     assert {r["id"] for r in embed(rows, Picky(), "text", at_a_time=2).collect()} == {0, 1, 4, 5, 6, 7}
 
 
+def test_vectors_are_made_anew_for_another_dimension(spark, tmp_path):
+    m = Memory(spark, str(tmp_path), StubLLM({"lasting facts": json.dumps([{"subject": "a", "predicate": "uses", "object": "b"}])}), StubEmbedder(16))
+    m.log(spark.createDataFrame([("s", 0, "user", "We use uv for all python tooling now.")], "session_id string, pos int, role string, content string"), NOW)
+    for dim in (16, 8):
+        m.embedder = StubEmbedder(dim)
+        m.dream(NOW)
+        for name in ("chunk_vectors", "edge_vectors"):
+            assert [(r["dim"], len(r["v"])) for r in m.store.table(name).collect()] == [(dim, dim)]
+
+
 def test_tools_over_lines(spark, tmp_path):
     llm = StubLLM({"lasting facts": json.dumps([{"subject": "local_dev", "predicate": "uses", "object": "uv"}])})
     m = Memory(spark, str(tmp_path / "s"), llm, notes=str(tmp_path))
