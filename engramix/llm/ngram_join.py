@@ -50,10 +50,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
+    """Hashes of words; a few MB of the usual ones, as a missing one costs little."""
+
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        h = xxhash.xxh3_64_intdigest(w)
+        if len(w) <= 40:
+            if len(self) > 200_000:
+                self.clear()
+            self[w] = h
         return h
 
 
