@@ -1,6 +1,6 @@
 """Queries and oracles of the training-data operators, by name."""
 
-from . import chat_format, decontamination, html_extraction, mixing, ngram_join, quality, secrets_crf, sharding, token_counts, toxicity
+from . import chat_format, decontamination, html_extraction, mixing, ngram_join, quality, secrets_crf, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets_crf.op1_secret_scan,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_sharding": sharding.op10_sharding,
+    "op12_url_filters": url_filter.op12_url_filters,
 }
 
 ORACLES = {
     "op4_chat_formatting": chat_format.ORACLE_SQL,
     "op8_benchmark_decontamination": decontamination.ORACLE_SQL,
+    "op12_url_filters": url_filter.ORACLE_SQL,
 }
