@@ -1,6 +1,6 @@
 """Queries and oracles of the training-data operators, by name."""
 
-from . import chat_format, decontamination, html_extraction, mixing, ngram_join, quality, secrets_crf, sharding, token_counts, toxicity, url_filter
+from . import chat_format, decontamination, html_extraction, mixing, ngram_join, prefix_trie, quality, secrets_crf, sharding, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets_crf.op1_secret_scan,
@@ -13,11 +13,13 @@ QUERIES = {
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_sharding": sharding.op10_sharding,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_url_filters": url_filter.op12_url_filters,
 }
 
 ORACLES = {
     "op4_chat_formatting": chat_format.ORACLE_SQL,
     "op8_benchmark_decontamination": decontamination.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
     "op12_url_filters": url_filter.ORACLE_SQL,
 }
