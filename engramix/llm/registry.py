@@ -1,6 +1,6 @@
 """Queries and oracles of the training-data operators, by name."""
 
-from . import chat_format, decontamination, html_extraction, mixing, ngram_join, prefix_trie, quality, secrets_crf, sharding, token_counts, toxicity, url_filter
+from . import chat_format, decontamination, html_extraction, mixing, ngram_join, prefix_trie, quality, secrets_crf, sharding, token_counts, toxicity, turn_repair, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets_crf.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_url_filters": url_filter.op12_url_filters,
+    "op13_structure_repair": turn_repair.op13_structure_repair,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op8_benchmark_decontamination": decontamination.ORACLE_SQL,
     "op11_prefix_trie": prefix_trie.ORACLE_SQL,
     "op12_url_filters": url_filter.ORACLE_SQL,
+    "op13_structure_repair": turn_repair.ORACLE_SQL,
 }
