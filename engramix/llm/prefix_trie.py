@@ -62,32 +62,57 @@ def regrafted(keys: DataFrame) -> DataFrame:
 
 
 # ---- classes of equal conversations
-def _digests(batches):
-    """cls, n, least and ends of each class, from ids sorted by class and id."""
-    cls, n, least, sha = None, 0, None, None
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array([cls], pa.binary()), pa.array([n], pa.int64()), pa.array([least], pa.int64()), pa.array([sha.hexdigest()])], ["cls", "n", "least", "ends"])
-
+def _pieces(batches, most: int = 1 << 18):
+    """cls, n, least and data (ids in decimal, a comma before each) of runs of one class, from ids sorted by class and id."""
+    cls, n, least, data, size, out = None, 0, None, [], 0, []
     for b in batches:
-        done = []
         for c, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if c != cls:
-                if cls is not None:
-                    done.append(out())
-                cls, n, least, sha = c, 0, i, hashlib.sha256()
-            sha.update((b"," if n else b"") + str(i).encode())
+            if n and (c != cls or size > most):
+                out.append((cls, n, least, b"".join(data)))
+                n, data, size = 0, [], 0
+            if not n:
+                cls, least = c, i
+            data.append(b",%d" % i)
+            size += len(data[-1])
             n += 1
-        if done:
-            yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
-    if cls is not None:
-        yield out()
+        if len(out) > 1000:
+            yield _piece_batch(out)
+            out = []
+    if n:
+        out.append((cls, n, least, b"".join(data)))
+    if out:
+        yield _piece_batch(out)
+
+
+def _piece_batch(rows):
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["cls", "n", "least", "data"])
+
+
+def _digests(batches):
+    """cls, n, least and ends of each class, from its pieces in order."""
+    cls, n, least, sha, out = None, 0, None, None, []
+    for b in batches:
+        for c, m, first, data in zip(*[x.to_pylist() for x in b.columns], strict=True):
+            if n and c != cls:
+                out.append({"cls": cls, "n": n, "least": least, "ends": sha.hexdigest()})
+                n = 0
+            if not n:
+                cls, least, sha, data = c, first, hashlib.sha256(), data[1:]
+            sha.update(data)
+            n += m
+        if out:
+            yield pa.RecordBatch.from_pylist(out)
+            out = []
+    if n:
+        yield pa.RecordBatch.from_pylist([{"cls": cls, "n": n, "least": least, "ends": sha.hexdigest()}])
 
 
 def classes(conversations: DataFrame) -> DataFrame:
     """key, n, least and ends of each distinct sequence of turns among conversations (conv_id, turns)."""
     rows = cut(conversations.select("conv_id", F.unhex(F.array_join(F.transform("turns", F.hex), "")).alias("key")).withColumn("cls", F.unhex(F.md5("key"))))
-    ids = rows.select("cls", "conv_id").repartition("cls").sortWithinPartitions("cls", "conv_id").mapInArrow(_digests, "cls binary, n bigint, least bigint, ends string")
+    # a class of any size is sorted by many tasks; the one that hashes it reads its ids in pieces
+    pieces = rows.select("cls", "conv_id").repartitionByRange("cls", "conv_id").sortWithinPartitions("cls", "conv_id").mapInArrow(_pieces, "cls binary, n bigint, least bigint, data binary")
+    ids = pieces.repartition("cls").sortWithinPartitions("cls", "least").mapInArrow(_digests, "cls binary, n bigint, least bigint, ends string")
     return rows.groupBy("cls").agg(F.first("key").alias("key")).join(ids, "cls").select("key", "n", "least", "ends")
 
 
