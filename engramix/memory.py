@@ -14,7 +14,7 @@ from engramix.clients import LLM, Embedder
 from engramix.operators import chunking, consolidation, graph, ingest
 from engramix.plans import augment as answers
 from engramix.plans import dream as cycles
-from engramix.sources.store import MemoryStore
+from engramix.sources.store import KEYS, Conflict, MemoryStore
 from engramix.streaming.sessions import dream_stream
 
 log = logging.getLogger(__name__)
@@ -28,22 +28,36 @@ class Memory:
         """notes: a local folder for USER.md and MEMORY.md; without one the two files are not kept."""
         self.spark, self.store, self.llm, self.embedder, self.notes = spark, MemoryStore(spark, root), llm, embedder, notes
 
+    def _change(self, make: Callable[[int], object]):
+        """Run make(version), which reads that version and commits on it; once more where others changed meanwhile what it read."""
+        for _ in range(9):
+            try:
+                return make(self.store.manifest()["version"])
+            except Conflict:
+                continue
+        return make(self.store.manifest()["version"])
+
     # ---- in
     def open_session(self, session: str, as_of: str) -> None:
         ids = self.spark.createDataFrame([(session,)], "session_id string")
-        self.store.commit(append={"sessions": ingest.open_sessions(self.store.table("sessions"), ids, as_of)})
+        self._change(lambda v: self.store.commit(put={"sessions": ingest.open_sessions(self.store.table("sessions", v), ids, as_of)}, base=v))
 
     def close_session(self, session: str, as_of: str) -> None:
         ids = self.spark.createDataFrame([(session,)], "session_id string")
-        self.store.commit(replace={"sessions": ingest.close_sessions(self.store.table("sessions"), ids, as_of)})
+        self._change(lambda v: self.store.commit(put={"sessions": ingest.close_sessions(self.store.table("sessions", v).join(ids, "session_id", "left_semi"), ids, as_of)}, base=v))
 
     def log(self, turns: DataFrame, as_of: str, batch: tuple[str, int] | None = None) -> int:
         """Append turns (session_id, pos, role, content) in one commit, opening sessions as needed; returns how many."""
         if batch and batch[1] <= self.store.done(batch[0]):
             return 0
-        rows = ingest.append_messages(self.store.table("messages"), turns, as_of)
-        self.store.commit(append={"sessions": ingest.open_sessions(self.store.table("sessions"), turns, as_of), "messages": rows}, batch=batch)
-        return rows.count()
+
+        def add(v: int) -> int:
+            rows = ingest.append_messages(self.store.table("messages", v), turns, as_of)
+            new = ingest.open_sessions(self.store.table("sessions", v), turns, as_of)
+            self.store.commit(put={"sessions": new}, append={"messages": rows}, batch=batch, base=v, unchanged=["messages"])  # as ids go on from the last
+            return rows.count()
+
+        return self._change(add)
 
     def follow(self, turns: DataFrame, name: str, checkpoint: str, as_of: Callable[[], str], cooldown: str | None = "60 seconds") -> StreamingQuery:
         """Log a stream of turns and dream after each micro-batch, at most once per cooldown (None: once over what is there).
@@ -68,7 +82,7 @@ class Memory:
         return self.log(turns, as_of), [r["error"] for r in errors.limit(100).collect()]
 
     def register_peers(self, new: DataFrame, as_of: str) -> None:
-        self.store.commit(replace={"peers": ingest.register_peers(self.store.table("peers"), new, as_of)})
+        self._change(lambda v: self.store.commit(put={"peers": cycles.changes(self.store.table("peers", v), ingest.register_peers(self.store.table("peers", v), new, as_of), KEYS["peers"])[0]}, base=v, unchanged=["peers"]))
 
     def add_messages(self, turns: DataFrame, workspace: str, as_of: str) -> int:
         """As log, with the role of each turn's peer_id."""
@@ -129,42 +143,57 @@ class Memory:
     # ---- correct
     def add_alias(self, surface: str, canonical: str) -> None:
         new = self.spark.createDataFrame([(surface, canonical)], "a string, c string").select(graph.normalize(F.col("a")).alias("alias"), graph.normalize(F.col("c")).alias("canonical"))
-        self.store.commit(replace={"aliases": cycles.put(self.store.table("aliases"), new, "alias")})
+        self.store.commit(put={"aliases": new})
 
     def merge(self, keep: str, drop: str) -> None:
         """Rename a canonical in every table that holds one; what collides adds up."""
-        t = self.store.table
         name = lambda c: F.when(F.col(c) == drop, keep).otherwise(F.col(c))
         old_name = self.spark.createDataFrame([(drop, keep)], "alias string, canonical string")
-        key = ["s", "p", "o", "chunk_id", "polarity"]
-        self.store.commit(replace={
-            "edges": graph.merge_canonical(t("edges"), keep, drop), "evidence": t("evidence").withColumn("s", name("s")).withColumn("o", name("o")).dropDuplicates(key),
-            "aliases": cycles.put(t("aliases").withColumn("canonical", name("canonical")), old_name, "alias"), "mentions": t("mentions").withColumn("entity", name("entity")).distinct(),
-            "types": t("types").withColumn("entity", name("entity")).dropDuplicates(["entity", "type"]),
-        })
+
+        def rename(v: int) -> None:
+            t = lambda n: self.store.table(n, v)
+            self._rewrite(v, {
+                "edges": graph.merge_canonical(t("edges"), keep, drop), "evidence": t("evidence").withColumn("s", name("s")).withColumn("o", name("o")).dropDuplicates(KEYS["evidence"]),
+                "aliases": t("aliases").filter(F.col("alias") != drop).withColumn("canonical", name("canonical")).unionByName(old_name), "mentions": t("mentions").withColumn("entity", name("entity")).distinct(),
+                "types": t("types").withColumn("entity", name("entity")).dropDuplicates(["entity", "type"]),
+            })
+
+        self._change(rename)
+
+    def _rewrite(self, version: int, tables: dict[str, DataFrame]) -> None:
+        """Commit the difference between tables as they were and as they are to be; none of them may have changed meanwhile."""
+        moved = {n: cycles.changes(self.store.table(n, version), df, KEYS[n]) for n, df in tables.items()}
+        self.store.commit(put={n: x[0] for n, x in moved.items()}, delete={n: x[1] for n, x in moved.items()}, base=version, unchanged=list(tables))
 
     def retract(self, subject: str, predicate: str, obj: str, as_of: str) -> bool:
         """Retract an active edge given by surface names, keeping its latest supporting texts as feedback; False if there is none."""
         names = self.spark.createDataFrame([(subject, obj)], "a string, b string")
-        aliases = self.store.table("aliases")
+        return self._change(lambda v: self._retract(v, names, subject, predicate, obj, as_of))
+
+    def _retract(self, version: int, names: DataFrame, subject: str, predicate: str, obj: str, as_of: str) -> bool:
+        t = lambda n: self.store.table(n, version)
+        aliases = t("aliases")
         r = ingest.resolve(ingest.resolve(names, "a", aliases, "s"), "b", aliases, "o").first()
-        s, o, edges = r["s"], r["o"], self.store.table("edges")
+        s, o, edges = r["s"], r["o"], t("edges")
         this = (F.col("s") == s) & (F.col("p") == predicate) & (F.col("o") == o)
         if edges.filter(this & (F.col("status") == "active")).isEmpty():
             return False
-        latest = self.store.table("evidence").filter(this & (F.col("polarity") == 1)).orderBy(F.col("ts").desc(), "chunk_id").limit(5).select("chunk_id")
-        told = latest.join(self.store.table("chunks"), "chunk_id").select("chunk_id", F.left("text", F.lit(600)).alias("snippet"), F.lit(subject).alias("s"), F.lit(predicate).alias("p"), F.lit(obj).alias("o"), F.lit("manual_retract").alias("kind"), ingest.at(as_of).alias("created_at"))
-        self.store.commit(replace={"edges": graph.manual_retract(edges, s, predicate, o, as_of)}, append={"feedback": told})
+        latest = t("evidence").filter(this & (F.col("polarity") == 1)).orderBy(F.col("ts").desc(), "chunk_id").limit(5).select("chunk_id")
+        told = latest.join(t("chunks"), "chunk_id").select("chunk_id", F.left("text", F.lit(600)).alias("snippet"), F.lit(subject).alias("s"), F.lit(predicate).alias("p"), F.lit(obj).alias("o"), F.lit("manual_retract").alias("kind"), ingest.at(as_of).alias("created_at"))
+        self.store.commit(put={"edges": graph.manual_retract(edges, s, predicate, o, as_of).filter(this)}, append={"feedback": told}, base=version, unchanged=["edges"])
         return True
 
     def repair_drift(self) -> DataFrame:
         """Put every stored name into its normal form; returns what drifted (place, v, normal) as it was."""
-        t, version = self.store.table, self.store.manifest()["version"]
-        drifted = graph.canonical_drift(*(t(n, version) for n in ("edges", "aliases", "types")))
         norm = lambda c: graph.normalize(F.col(c))
-        self.store.commit(replace={
-            "edges": graph.repair_drift(t("edges")), "evidence": t("evidence").withColumn("s", norm("s")).withColumn("o", norm("o")).dropDuplicates(["s", "p", "o", "chunk_id", "polarity"]),
-            "aliases": t("aliases").select(norm("alias").alias("alias"), norm("canonical").alias("canonical")).groupBy("alias").agg(F.min("canonical").alias("canonical")),
-            "mentions": t("mentions").withColumn("entity", norm("entity")).distinct(), "types": t("types").withColumn("entity", norm("entity")).dropDuplicates(["entity", "type"]),
-        })
-        return drifted
+
+        def repair(v: int) -> DataFrame:
+            t = lambda n: self.store.table(n, v)
+            self._rewrite(v, {
+                "edges": graph.repair_drift(t("edges")), "evidence": t("evidence").withColumn("s", norm("s")).withColumn("o", norm("o")).dropDuplicates(KEYS["evidence"]),
+                "aliases": t("aliases").select(norm("alias").alias("alias"), norm("canonical").alias("canonical")).groupBy("alias").agg(F.min("canonical").alias("canonical")),
+                "mentions": t("mentions").withColumn("entity", norm("entity")).distinct(), "types": t("types").withColumn("entity", norm("entity")).dropDuplicates(["entity", "type"]),
+            })
+            return graph.canonical_drift(t("edges"), t("aliases"), t("types"))
+
+        return self._change(repair)

@@ -6,6 +6,7 @@ them twice. What fails is left out of the ledger and so comes again in the next
 
 from __future__ import annotations
 
+import contextlib
 import threading
 import uuid
 from dataclasses import dataclass, field
@@ -77,9 +78,13 @@ def merged_evidence(old: DataFrame, triples: DataFrame) -> DataFrame:
     return old.unionByName(fresh.select(*old.columns))
 
 
-def put(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old with the rows of new in place of those of the same key."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def changes(old: DataFrame, new: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What makes new of old, both with one row a key: the rows that came or differ, and the keys that went."""
+    cols = [f for f in old.schema if f.name not in key]
+    was = old.select(*key, F.struct(*[f.name for f in cols]).alias("_old"))
+    now = new.select(*key, F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in cols]).alias("_new"))
+    both = cut(was.join(now, key, "full_outer").filter(~F.col("_old").eqNullSafe(F.col("_new"))))
+    return both.filter("_new IS NOT NULL").select(*key, "_new.*"), both.filter("_new IS NULL").select(*key)
 
 
 def dream(store: MemoryStore, llm: LLM, as_of: str, embedder: Embedder | None = None, sessions: list[str] | None = None, config: Config = Config()) -> Report:
@@ -103,8 +108,12 @@ def dream(store: MemoryStore, llm: LLM, as_of: str, embedder: Embedder | None =
 
     threading.Thread(target=renew, daemon=True).start()
     try:
-        counts, replace, append = _cycle(store, llm, as_of, embedder, sessions, config)
-        store.commit(replace=replace, append=append | {"dream_runs": record(**counts)})
+        version = store.manifest()["version"]
+        counts, put, delete, append = _cycle(store, version, llm, as_of, embedder, sessions, config)
+        # what others wrote since is kept: see MemoryStore.commit
+        store.commit(put=put, delete=delete, append=append | {"dream_runs": record(**counts)}, base=version, holder=run_id)
+        with contextlib.suppress(Conflict):  # another process compacts
+            store.tidy()
         return Report(run_id, counts=counts)
     except Conflict:
         raise
@@ -121,44 +130,46 @@ def mention_backfill(mentions: DataFrame, chunks: DataFrame, aliases: DataFrame,
     return mentions if not mentions.isEmpty() else ingest.mention_index(chunks, aliases, edges)
 
 
-def indexed(chunks: DataFrame, posted: DataFrame, sizes: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """What to replace and to append so that the text index holds exactly chunks (chunk_id, text). Texts that it holds are not read again."""
+def index_changes(chunks: DataFrame, posted: DataFrame, sizes: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """What to put into the text index and to delete from it, so that it holds exactly chunks (chunk_id, text). Texts that it holds are not read again."""
     new = cut(chunks.select("chunk_id", "text").join(sizes.select("chunk_id"), "chunk_id", "left_anti"))
-    fresh = {"postings": index.postings(new, "chunk_id"), "lengths": index.lengths(new, "chunk_id")}
-    held = lambda df: df.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-    if sizes.join(chunks.select("chunk_id"), "chunk_id", "left_anti").isEmpty():
-        return {}, fresh
-    return {k: held(old).unionByName(fresh[k]) for k, old in (("postings", posted), ("lengths", sizes))}, {}
+    gone = cut(sizes.select("chunk_id").join(chunks.select("chunk_id"), "chunk_id", "left_anti"))
+    put = {"postings": index.postings(new, "chunk_id"), "lengths": index.lengths(new, "chunk_id")}
+    return put, {} if gone.isEmpty() else {"postings": posted.join(gone, "chunk_id", "left_semi"), "lengths": gone}
 
 
-def _cycle(store: MemoryStore, llm: LLM, as_of: str, embedder: Embedder | None, ids: list[str] | None, config: Config):
-    t, version = store.table, store.manifest()["version"]
-    table = lambda name: t(name, version)  # noqa: E731  every read of a cycle sees one version
-    sessions, messages, aliases, edges = table("sessions"), table("messages"), table("aliases"), table("edges")
+def _cycle(store: MemoryStore, version: int, llm: LLM, as_of: str, embedder: Embedder | None, ids: list[str] | None, config: Config):
+    """Counts, and what to put, delete and append. All of it is new or changed rows: a cycle writes no more of the store than it brings."""
+    table = lambda name: store.table(name, version)  # noqa: E731  every read of a cycle sees one version
+    sessions, messages, aliases, old_edges = table("sessions"), table("messages"), table("aliases"), table("edges")
     if ids is not None:
         sessions = sessions.filter(F.col("session_id").isin(ids))
     mine = messages.join(sessions.select("session_id"), "session_id", "left_semi")
+    without = lambda df, other, *key: df.join(other.select(*key), list(key), "left_anti")
 
     # phase 1: chunks, then facts and markers of those that are due
-    salient = cut(chunking.salient_chunks(mine, config.min_chars))
-    chunks = cut(chunking.persist_chunks(table("chunks"), salient))
-    done = table("processed")
+    salient, done = chunking.salient_chunks(mine, config.min_chars), table("processed")
+    new_chunks = cut(without(salient, table("chunks"), "chunk_id").select(table("chunks").columns))
+    chunks = table("chunks").unionByName(new_chunks)
     # the baseline picks of a session are among these, as both ask for the same length of a turn
     due = cut(chunking.budgeted_chunks(salient, done, sessions, config.prompt_version, config.budget).select(salient.columns))
     feedback = table("feedback")
     warned = prompts.triples_with(negative_examples(feedback, config.negatives))
     answers = cut(ask(due.select("chunk_id", "text"), llm, {"triples": (warned, True), "markers": (prompts.MARKERS, True)}))
     good = answers.filter("failed IS NULL")
-    processed = done.unionByName(good.select("chunk_id", F.lit(config.prompt_version).alias("prompt_version")))
+    processed = good.select("chunk_id", F.lit(config.prompt_version).alias("prompt_version"))
     triples = cut(canonical_triples(extraction.validate_triples(good.select("chunk_id", "triples"), "triples"), aliases, as_of))
     hints = extraction.entity_type_hints(good.select("chunk_id", "triples"), "triples")
-    aliases = cut(new_aliases(aliases, triples))
-    types = new_types(table("types"), hints, aliases)
-    evidence = cut(merged_evidence(table("evidence"), triples))
-    edges = cut(graph.upsert(edges, triples))
-    found = ingest.mention_index(salient, aliases, edges).unionByName(triples.select("chunk_id", F.explode(F.array("s", "o")).alias("entity")))
-    before = mention_backfill(table("mentions"), chunks, aliases, edges)
-    mentions = cut(before.unionByName(found).distinct())
+    named = cut(new_aliases(aliases, triples))
+    types = changes(table("types"), new_types(table("types"), hints, named), ["entity", "type"])
+    new_evidence = cut(without(merged_evidence(table("evidence"), triples), table("evidence"), *KEY, "chunk_id", "polarity"))
+    evidence = table("evidence").unionByName(new_evidence)
+    edges = cut(graph.upsert(old_edges, triples))
+    found = ingest.mention_index(salient, named, edges).unionByName(triples.select("chunk_id", F.explode(F.array("s", "o")).alias("entity")))
+    if table("mentions").isEmpty():
+        found = found.unionByName(mention_backfill(table("mentions"), chunks, named, edges))
+    new_mentions = cut(without(found.distinct(), table("mentions"), "chunk_id", "entity"))
+    mentions = table("mentions").unionByName(new_mentions)
     raw_markers = cut(extraction.validate_markers(good.select("chunk_id", "markers"), "markers").select(F.concat_ws("#", "chunk_id", F.lpad(F.col("n").cast("string"), 6, "0")).alias("id"), "kind", "statement", "chunk_id", ingest.at(as_of).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("consolidated_at")))
 
     # sessions with chunks of this cycle: episodes and summary, then procedures from the episodes
@@ -170,14 +181,12 @@ def _cycle(store: MemoryStore, llm: LLM, as_of: str, embedder: Embedder | None,
     joined = new_episodes.groupBy("session_id").agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("episode_id", "title", "summary"))), lambda x: F.concat(x["title"], F.lit(": "), x["summary"])), "\n---\n"), F.lit(12000)).alias("text"))
     how = cut(ask(joined, llm, {"procedures": (prompts.PROCEDURES, True)}))
     new_procedures = narrative.validate_procedures(how.filter("failed IS NULL").select("session_id", F.col("procedures").alias("raw"))).withColumn("created_at", ingest.at(as_of))
-    summaries = ok.select("session_id", narrative.clean_summary(F.col("summary")).alias("_summary"))
-    all_sessions = table("sessions").join(summaries, "session_id", "left").withColumn("summary", F.coalesce("_summary", "summary")).drop("_summary")
+    summaries = ok.select("session_id", narrative.clean_summary(F.col("summary")).alias("_summary")).filter("_summary IS NOT NULL")
+    told_sessions = table("sessions").join(summaries, "session_id").withColumn("summary", F.col("_summary")).drop("_summary")
 
     # phase 2: the profile
-    markers = table("markers").unionByName(raw_markers)
-    pending = markers.filter("consolidated_at IS NULL")
-    profile = table("profile") if pending.isEmpty() else consolidation.consolidate_profile(table("profile"), pending, as_of)
-    markers = markers.withColumn("consolidated_at", F.coalesce("consolidated_at", ingest.at(as_of)))
+    pending = cut(table("markers").filter("consolidated_at IS NULL").unionByName(raw_markers))
+    profile = (table("profile").limit(0), table("profile").limit(0)) if pending.isEmpty() else changes(table("profile"), consolidation.consolidate_profile(table("profile"), pending, as_of), ["text"])
 
     # phase 3: the graph ages
     edges = cut(graph.reinforce(edges, mentions, chunks, evidence, as_of, config.window_days))
@@ -187,29 +196,33 @@ def _cycle(store: MemoryStore, llm: LLM, as_of: str, embedder: Embedder | None,
     edges = graph.auto_retract(edges)
     edges = cut(graph.inferred_edges(edges, config.retract_below).withColumns({c: F.coalesce(c, ingest.at(as_of)) for c in ("first_seen", "last_seen", "last_reinforced")}))
     retracted = before.filter("status = 'active' AND NOT derived").filter(graph.is_spent()).count()
-    kept = cut(consolidation.prune_chunks(chunks, evidence, edges, as_of, config.max_chunks, config.retention_days))
-    held = lambda df: df.join(kept.select("chunk_id"), "chunk_id", "left_semi")
-
-    replace = {
-        "sessions": all_sessions, "chunks": kept, "processed": held(processed), "mentions": held(mentions), "evidence": held(evidence), "aliases": aliases, "types": types, "edges": edges,
-        "markers": markers, "profile": profile, "episodes": put(table("episodes"), new_episodes, "episode_id"), "procedures": put(table("procedures"), new_procedures, "procedure_id"),
-        "feedback": feedback.unionByName(wrong),
+    moved = changes(old_edges, edges, KEY)
+    gone = cut(consolidation.retired_chunks(chunks, evidence, edges, as_of, config.max_chunks, config.retention_days))
+    kept = without(chunks, gone, "chunk_id")
+    of_gone = lambda df: df.join(gone, "chunk_id", "left_semi")
+
+    texts_put, texts_gone = index_changes(kept, table("postings"), table("lengths"))
+    put = {
+        "sessions": told_sessions, "chunks": without(new_chunks, gone, "chunk_id"), "processed": without(processed, gone, "chunk_id"), "mentions": without(new_mentions, gone, "chunk_id"),
+        "evidence": without(new_evidence, gone, "chunk_id"), "aliases": without(named, aliases, "alias"), "types": types[0], "edges": moved[0], "markers": pending.withColumn("consolidated_at", ingest.at(as_of)),
+        "profile": profile[0], "episodes": new_episodes, "procedures": new_procedures, **texts_put,
     }
-    again, append = indexed(kept, table("postings"), table("lengths"))
-    replace |= again
+    delete = {"edges": moved[1], "profile": profile[1], **texts_gone}
+    if not gone.isEmpty():
+        delete |= {"chunks": gone, **{n: of_gone(table(n)) for n in ("processed", "mentions", "evidence", "chunk_vectors")}}
     if embedder is not None:
         # vectors of this model in another dimension than it gives now are made anew
         dim = len(embedder.embed(["dimension"])[0])
         fits = (F.col("model") != embedder.model) | (F.col("dim") == dim)
         vectors = table("chunk_vectors").filter(fits)
-        new = embed(extraction.pending_embeddings(kept.select("chunk_id", "text"), vectors, "chunk_id", embedder.model), embedder, "text")
-        replace["chunk_vectors"] = cut(held(vectors).unionByName(new))
+        put["chunk_vectors"] = cut(embed(extraction.pending_embeddings(kept.select("chunk_id", "text"), vectors, "chunk_id", embedder.model), embedder, "text"))
         wanted = edges.filter("status = 'active'").select(F.concat_ws(" ", *KEY).alias("edge_text")).distinct()
-        have = table("edge_vectors").filter((F.col("model") == embedder.model) & fits).join(wanted, "edge_text", "left_semi")
-        fresh = embed(wanted.join(have.select("edge_text"), "edge_text", "left_anti").withColumn("text", F.col("edge_text")), embedder, "text")
-        replace["edge_vectors"] = cut(have.unionByName(fresh))
+        have = table("edge_vectors").filter((F.col("model") == embedder.model) & fits)
+        put["edge_vectors"] = cut(embed(without(wanted, have, "edge_text").withColumn("text", F.col("edge_text")), embedder, "text"))
+        delete["edge_vectors"] = without(table("edge_vectors"), wanted, "edge_text")
+    put, delete = ({n: df for n, df in side.items() if not df.isEmpty()} for side in (put, delete))
     counts = {
         "chunks_seen": salient.count(), "chunks_processed": good.count(), "triples": triples.count(), "markers": raw_markers.count(), "retracted": retracted,
-        "edges": edges.filter("NOT derived").count(), "derived": edges.filter("derived").count(), "profile_entries": profile.count(),
+        "edges": edges.filter("NOT derived").count(), "derived": edges.filter("derived").count(), "profile_entries": table("profile").join(profile[1], "text", "left_anti").select("text").unionByName(profile[0].select("text")).distinct().count(),
     }
-    return counts, replace, append
+    return counts, put, delete, {} if wrong.isEmpty() else {"feedback": wrong}
