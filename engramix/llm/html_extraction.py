@@ -21,17 +21,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"""[>"']""")
 ATTR = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page. Without an end tag after it, a start tag of these is passed over alone.
+#: Elements whose content is no text of the page. Without an end tag after it, a start tag of these is passed over alone, but for CODE.
 RAW = frozenset("script style textarea title noscript template iframe svg object audio video canvas select datalist xmp noembed noframes".split())
 BLOCKS = (
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre "
     "figure figcaption nav header footer aside form fieldset legend button label address details summary center dialog menu hgroup"
 ).split()
 BLOCK = frozenset(BLOCKS)
+#: Without an end tag, their content runs to the next tag of a block outside the code's strings and comments, or to the end.
+CODE = frozenset("script style".split())
+CODE_END = re.compile(r"""(?:"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?|`(?:[^`\\]|\\.)*+`?|//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?)|(</?(?:""" + "|".join(sorted(BLOCK, key=lambda t: (-len(t), t))) + r""")(?=[\s/>]))""", re.S | re.I)
 #: An open element of the value is closed by a start of the key.
 _P_CLOSERS = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 _IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"), "thead": ("caption",), "option": ("option",)}
@@ -70,6 +74,66 @@ class Node:
         self.label = None
 
 
+class Markup:
+    """The pieces of markup of a page, one after the other, in time that grows with its length.
+
+    What could be sought in vain from every `<` again is found once: the last `>`, the last end of a
+    CDATA section, the last quote of each kind, and where an attribute's quote leads to.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last_end, self.last_cdata = html.rfind(">"), html.rfind("]]>")
+        self.last_quote = {q: html.rfind(q) for q in "\"'"}
+        self.leads: dict[int, int] = {}  # an opening quote -> the `>` that ends its tag, or -1
+
+    def _tag_end(self, pos: int) -> int:
+        """The first `>` from pos on outside quotes; -1 if there is none, as a quote stays open."""
+        path, end = [], -1
+        while pos <= self.last_end:
+            m = QUOTE_OR_END.search(self.html, pos)
+            at, q = m.start(), m[0]
+            if q == ">":
+                end = at
+                break
+            if at in self.leads:
+                end = self.leads[at]
+                break
+            path.append(at)
+            if at == self.last_quote[q]:
+                break
+            pos = self.html.index(q, at + 1) + 1
+        for at in path:
+            self.leads[at] = end
+        return end
+
+    def next(self, pos: int) -> tuple[int, int, str | None, str, str, str] | None:
+        """Start and end of the next piece, then its text (CDATA; else None), a slash if it is an end tag, name and attributes (empty for what is no tag)."""
+        html = self.html
+        while (i := html.find("<", pos)) >= 0:
+            pos = i + 1
+            if html.startswith("<!--", i):
+                j = html.find("-->", i + 4)
+                return i, j + 3 if j >= 0 else len(html), None, "", "", ""
+            if html.startswith("<![CDATA[", i) and i + 9 <= self.last_cdata:
+                j = html.index("]]>", i + 9)
+                return i, j + 3, html[i + 9 : j], "", "", ""
+            if i > self.last_end:
+                continue
+            if html.startswith(("<!", "<?"), i):
+                if i + 2 > self.last_end:
+                    continue
+                return i, html.index(">", i + 2) + 1, None, "", "", ""
+            m = NAME.match(html, i)
+            if m is None or m.end() > self.last_end:
+                continue
+            j = self._tag_end(m.end())
+            if j < 0:
+                j = html.index(">", m.end())
+            return i, j + 1, None, m[1], m[2], html[m.end() : j]
+        return None
+
+
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     """Block nodes in page order (parents first) and the stream of (node index, text), None marking a block's edge.
 
@@ -83,7 +147,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     places: dict[str, list[int]] = {}  # where elements of a name stand on the stack
     links = 0
     pos, end = 0, len(html)
-    it = TAG.search
+    markup = Markup(html)
     ends: dict[str, int] = {}  # raw element -> where its next end tag begins, or -1 if none follows
 
     def top(names) -> int:
@@ -126,18 +190,18 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
                 links -= 1
 
     while pos < end:
-        m = it(html, pos)
-        if m is None:
+        piece = markup.next(pos)
+        if piece is None:
             text(html[pos:])
             break
-        if m.start() > pos:
-            text(html[pos : m.start()])
-        pos = m.end()
-        if m[1] is not None:
-            text(m[1])
+        start, stop, inside, shut, name, attrs = piece
+        if start > pos:
+            text(html[pos:start])
+        pos = stop
+        if inside is not None:
+            text(inside)
             continue
-        shut, name, attrs = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
-        if name is None:
+        if not name:
             continue
         name = name.lower()
         if shut:
@@ -154,6 +218,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
                     ends[name], ends["/" + name] = (found.start() + 1, found.end()) if found else (-1, 0)
                 if ends[name] >= 0:
                     pos = ends["/" + name]
+                elif name in CODE:
+                    pos = next((m.start() for m in CODE_END.finditer(html, pos) if m[1]), end)
             continue
         if name == "br":
             text(" ")

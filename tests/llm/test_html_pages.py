@@ -1,5 +1,7 @@
 """Operator 3 on hand-written pages of other make than its generator's, on broken markup, and on deep and wide pages."""
 
+import random
+import re
 import time
 
 import pytest
@@ -31,6 +33,44 @@ def test_pieces_swallow_nothing(piece):
     assert all(x in got for x in ("New bridge", P1, P2, P3)) and "var a" not in got
 
 
+CODES = ["<script>var x=1; function f(){return x<2 && '<p>no</p>'}", "<style>p{color:red} .a>b{margin:0}", "<script>// don't\nlet a=`<div>${b}</div>`; /* <p>old</p> */ go()", "<script type=x>if(a<b){}"]
+
+
+@pytest.mark.parametrize("code", CODES)
+def test_code_without_an_end_tag_is_no_text(code):
+    cut_short = f"<html><body><article><h1>New bridge</h1><p>{P1}</p><p>{P2}</p><p>{P3}</p></article>{code}"
+    within = f"<html><body><article><h1>New bridge</h1>{code}<p>{P1}</p><p>{P2} {code}</p><p>{P3}</p></article></body></html>"
+    head = f"<html><head>{code}<body><article><h1>New bridge</h1><p>{P1}</p><p>{P2}</p><p>{P3}</p></article></body></html>"
+    for page in (cut_short, within, head):
+        assert h.extract([page], h.train())[0] == WANT, page
+
+
+def test_markup_equals_a_plain_reading():
+    """Against one regular expression for each kind of piece, over random pages."""
+    plain = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>""", re.S)
+    r = random.Random(3)
+    pieces = ["<", ">", "<a ", "</b", '"', "'", "x", " ", "/", "<!--", "-->", "<![CDATA[", "]]>", "<!d", "<?x", "<p>", "=", "</ >", "<1>"]
+    for _ in range(3000):
+        page = "".join(r.choice(pieces) for _ in range(r.randint(0, 25)))
+        markup, pos = h.Markup(page), 0
+        while True:
+            got, m = markup.next(pos), plain.search(page, pos)
+            assert (got is None) == (m is None), page
+            if m is None:
+                break
+            want = (m.start(), m.end(), m[1], m[2] or m[5] or "", m[3] or m[6] or "", m[4] if m[3] else m[7] or "")
+            assert got == want, (page, pos)
+            pos = m.end()
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<![CDATA[", '<a ">"', "<a '\"", "<!", "<", "</script ", "<script>", "<script>'", "<style>/*", "<script>\\'", "<b c='"])
+@pytest.mark.parametrize("tail", ["", ">", "'>"])
+def test_broken_markup_takes_linear_time(piece, tail):
+    began = time.process_time()
+    h.parse(piece * 100_000 + tail)
+    assert time.process_time() - began < 4
+
+
 def test_optional_end_tags_and_entities():
     page = f"<html><body><article><h1>A&amp;B &lt;x&gt; &#233;&nbsp;&euro;</h1><p>{P1}<p>{P2}<ul><li>{P3}<li>{P1}</ul><dl><dt>Term<dd>{P2}</dl><table><tr><td>{P3}<td>{P1}<tr><td>{P2}</table></article></body></html>"
     assert h.extract([page], h.train())[0].split("\n\n") == ["A&B <x> é €", P1, P2, P3, P1, "Term", P2, P3, P1, P2]
