@@ -12,6 +12,7 @@ from engramix import prompts
 from engramix.clients import LLM, Embedder, Request
 from engramix.functions import text as T
 from engramix.operators import index, narrative, retrieval
+from engramix.operators import vectors as inverted
 from engramix.vocabulary import DEFAULTS
 
 
@@ -45,10 +46,10 @@ def _rated(query: str, hits: list, llm: LLM) -> list[tuple[str, int]]:
     return list(out.items())
 
 
-def passages(chunks: DataFrame, vectors: DataFrame, message: str, embedder: Embedder | None, llm: LLM | None, top_k: int = DEFAULTS["fts_top_k"], posted: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def passages(chunks: DataFrame, vectors: DataFrame, message: str, embedder: Embedder | None, llm: LLM | None, top_k: int = DEFAULTS["fts_top_k"], posted: DataFrame | None = None, sizes: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """The best chunks: BM25 alone, or fused with the nearest vectors and, where both lists disagree closely, rated by the model.
 
-    posted and sizes are the text index; without one all texts are scanned.
+    posted and sizes are the text index, cells that of the vectors; without one all texts or vectors are scanned.
     """
     spark = chunks.sparkSession
     if posted is None or sizes is None or sizes.isEmpty():
@@ -58,8 +59,10 @@ def passages(chunks: DataFrame, vectors: DataFrame, message: str, embedder: Embe
     kind = "bm25"
     if embedder is not None:
         q = embedder.embed([message])[0]
-        mine = vectors.filter(F.col("model") == embedder.model).select(F.col("chunk_id").alias("id"), "v")
-        near = retrieval.knn(mine, q, top_k)
+        mine = vectors.filter(F.col("model") == embedder.model)
+        near = None if cells is None else inverted.nearest_kept(mine, cells.filter(F.col("model") == embedder.model), q, top_k)
+        if near is None:
+            near = retrieval.knn(mine.select(F.col("chunk_id").alias("id"), "v"), q, top_k)
         first, second = [r["id"] for r in hits.collect()], [r["id"] for r in near.collect()]  # top_k rows each
         ranks = lambda ids: spark.createDataFrame([(x, i + 1) for i, x in enumerate(ids)], "id string, rank int")
         hits, kind = retrieval.rrf(ranks(first), ranks(second), top_k).select("id", "score"), "rrf"
@@ -103,7 +106,7 @@ def augment(tables, message: str, as_of: str, embedder: Embedder | None = None,
         semantic = semantic_edges(edges, tables("edge_vectors").filter((F.col("model") == embedder.model) & (F.col("dim") == len(q))), q)
         semantic = None if semantic.isEmpty() else semantic
     return Context(
-        passages(tables("chunks"), tables("chunk_vectors"), message, embedder, llm, posted=tables("postings"), sizes=tables("lengths")), retrieval.graph_facts(edges, direct, routed, as_of, semantic, over, typed),
+        passages(tables("chunks"), tables("chunk_vectors"), message, embedder, llm, posted=tables("postings"), sizes=tables("lengths"), cells=tables("cells")), retrieval.graph_facts(edges, direct, routed, as_of, semantic, over, typed),
         narrative.episode_search(tables("episodes"), message, DEFAULTS["fts_top_k"]), narrative.procedure_search(tables("procedures"), message, DEFAULTS["fts_top_k"]),
         names.groupBy("entity").agg(F.min(F.array_position(F.array(F.lit("matched"), F.lit("type"), F.lit("overlap")), F.col("how"))).alias("k")).select("entity", F.element_at(F.array(F.lit("matched"), F.lit("type"), F.lit("overlap")), F.col("k").cast("int")).alias("via")), routed, user_md, memory_md,
     )

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from engramix.functions import text as T
-from engramix.operators import chunking, extraction, graph, index, ingest, narrative, retrieval
+from engramix.operators import chunking, extraction, graph, index, ingest, narrative, retrieval, vectors
 from engramix.plans import augment, dream, service
 from engramix.plans.catalog import AGE, AS_OF, COMPETING, ORACLES, QUERIES, DECAYED, FACT, KG, MSG, OLD, OPPOSED, R6, RECENT, SAL, DAY, _old, query
 from engramix.sources import fixtures as fx
+from engramix.sources.checkpoint import cut
 from engramix.sources.store import SCHEMAS
 
 
@@ -292,3 +294,35 @@ def service_peer_context(spark, d):
 def service_message_page(spark, d):
     rows, total, _ = service.message_page(fx.messages(spark, d), "6", 1, 3)
     return rows.select("id", "token_count", F.lit(total).cast("long").alias("total"))
+
+
+# ------------------------------------------------------------------ nearest vectors by inverted lists
+def _indexed(spark, d):
+    v = fx.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    quantiser = vectors.fit(v, len(v.first()["v"]))
+    return quantiser, cut(vectors.index(v, quantiser)), v.filter(F.col("id") % 100 == 0).select(F.col("id").alias("qid"), "v")
+
+
+def _others(found, k):
+    """Without the query itself, k each."""
+    w = Window.partitionBy("qid").orderBy("rank")
+    return found.filter("qid <> id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+@query("vector_index_exact", """WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT qid, vec_id AS id, sqrt(list_sum([(embedding[i]::DOUBLE - q[i]::DOUBLE) ** 2 FOR i IN generate_series(1, len(q))])) AS distance FROM q, embeddings WHERE vec_id <> qid)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INT AS rank, id, round(distance, 5) AS distance FROM d QUALIFY rank <= 10""")
+def vector_index_exact(spark, d):
+    """All rows whose id is divisible by 100, against all rows: two cells each, then every cell that may hold something nearer."""
+    quantiser, indexed, asked = _indexed(spark, d)
+    return _others(vectors.search(indexed, asked, quantiser, 11, probes=2, exact=True), 10).select("qid", "rank", "id", F.round("distance", 5).alias("distance"))
+
+
+@query("vector_index_recall", "SELECT count(*) AS n_queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark, d):
+    """Whether a search of as many cells as a sample of queries needs finds at least 0.9 of the ten nearest of all rows."""
+    quantiser, indexed, asked = _indexed(spark, d)
+    probes = vectors.probes_for(indexed, indexed.filter("id % 97 = 3").select(F.col("id").alias("qid"), "v"), quantiser, 11)
+    true = _others(vectors.search(indexed, asked, quantiser, 11, probes=2, exact=True), 10)
+    found = _others(vectors.search(indexed, asked, quantiser, 11, probes=probes), 10)
+    hits = true.join(found, ["qid", "id"], "left_semi").count()
+    return asked.agg(F.count(F.lit(1)).alias("n_queries")).withColumn("reached", F.lit(hits >= 0.9 * true.count()))

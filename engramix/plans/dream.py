@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from engramix import prompts
 from engramix.clients import LLM, Embedder, ask, embed
 from engramix.operators import chunking, consolidation, extraction, graph, index, ingest, narrative
+from engramix.operators import vectors as nearest
 from engramix.sources.checkpoint import cut
 from engramix.sources.store import STALE_SECONDS, Conflict, MemoryStore
 from engramix.vocabulary import DEFAULTS
@@ -34,6 +35,7 @@ class Config:
     window_days: int = DEFAULTS["decay_window"]
     retract_below: float = DEFAULTS["retract_threshold"]
     negatives: int = 10
+    index_from: int = 10_000  # vectors, before they are put into cells
     prompt_version: str = VERSION
 
 
@@ -215,14 +217,17 @@ def _cycle(store: MemoryStore, version: int, llm: LLM, as_of: str, embedder: Emb
         dim = len(embedder.embed(["dimension"])[0])
         fits = (F.col("model") != embedder.model) | (F.col("dim") == dim)
         vectors = table("chunk_vectors").filter(fits)
-        put["chunk_vectors"] = cut(embed(extraction.pending_embeddings(kept.select("chunk_id", "text"), vectors, "chunk_id", embedder.model), embedder, "text"))
+        new_vectors = cut(embed(extraction.pending_embeddings(kept.select("chunk_id", "text"), vectors, "chunk_id", embedder.model), embedder, "text"))
+        held = without(vectors.filter(F.col("model") == embedder.model), gone, "chunk_id")
+        put["chunk_vectors"], cells = nearest.kept_index(held, new_vectors, table("cells"), embedder.model, dim, config.index_from)
+        if cells is not None:
+            put["cells"], delete["cells"] = cells, without(table("cells").filter(F.col("model") == embedder.model), cells, "model", "cell")
         wanted = edges.filter("status = 'active'").select(F.concat_ws(" ", *KEY).alias("edge_text")).distinct()
         have = table("edge_vectors").filter((F.col("model") == embedder.model) & fits)
         put["edge_vectors"] = cut(embed(without(wanted, have, "edge_text").withColumn("text", F.col("edge_text")), embedder, "text"))
         delete["edge_vectors"] = without(table("edge_vectors"), wanted, "edge_text")
-    put, delete = ({n: df for n, df in side.items() if not df.isEmpty()} for side in (put, delete))
     counts = {
         "chunks_seen": salient.count(), "chunks_processed": good.count(), "triples": triples.count(), "markers": raw_markers.count(), "retracted": retracted,
         "edges": edges.filter("NOT derived").count(), "derived": edges.filter("derived").count(), "profile_entries": table("profile").join(profile[1], "text", "left_anti").select("text").unionByName(profile[0].select("text")).distinct().count(),
     }
-    return counts, put, delete, {} if wrong.isEmpty() else {"feedback": wrong}
+    return counts, put, delete, {"feedback": wrong}
