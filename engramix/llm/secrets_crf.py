@@ -12,6 +12,7 @@ import math
 import random
 import re
 import string
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +28,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so a shorter run is one
 KINDS = ("assign", "access", "hex", "crf")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 O, B, I = 0, 1, 2
+LEAST = 4  # characters of a span that the CRF adds; shorter strings stand in every text, and as secrets (a PIN has four) are not in use
 
 #: Words that tell about the token after or before them.
 HINTS = (
@@ -71,6 +73,8 @@ _NLOGN = [0.0, *(k * math.log2(k) for k in range(1, 201))]
 
 def _entropy(v: str) -> float:
     n = len(v)
+    if n > 200:
+        return math.log2(n) - sum(c * math.log2(c) for c in Counter(v).values()) / n
     return math.log2(n) - sum([_NLOGN[v.count(x)] for x in set(v)]) / n if n else 0.0
 
 
@@ -81,11 +85,11 @@ def token_features(token: str) -> list[str]:
     low, up, dig = sum(map(str.islower, v)), sum(map(str.isupper, v)), sum(map(str.isdigit, v))
     sym = n - low - up - dig
     kinds = (low > 0) + (up > 0) + (dig > 0)
-    turns = sum(1 for a, b in zip(v, v[1:]) if a.isdigit() != b.isdigit()) if n < 400 else 50
+    turns = sum(1 for a, b in zip(v, v[1:]) if a.isdigit() != b.isdigit())
     f = [
         "bias",
         f"len{min(9, n // 5)}",
-        f"ent{int(min(5.9, _entropy(v[:200])) * 2)}",
+        f"ent{int(min(5.9, _entropy(v)) * 2)}",
         f"kinds{kinds}{'s' if sym else ''}",
         f"dig{int(4 * dig / n) if n else 0}",
         f"turns{min(6, turns)}",
@@ -487,8 +491,20 @@ def crf_spans(text: str, crf: Crf, base: list[tuple[int, int, int]]) -> list[tup
         v = _value(first) if not first.startswith("-----") else first
         s = at[run[0]][0] + (first.rindex(v) if v else 0)
         e = at[run[-1]][0] + len(last.rstrip("\"'`,;()[]{}<>.!?"))
-        if e - s >= 8 and not any(x < e and s < y for x, y, _ in base):
+        if e - s >= LEAST:
             out.append((s, e, 3))
+    return apart(out, base)
+
+
+def apart(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans, in order of their starts, that touch none of base: one sweep over both."""
+    taken, reach, at, out = sorted(base), -1, 0, []
+    for s, e, k in spans:
+        while at < len(taken) and taken[at][0] < e:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= s:
+            out.append((s, e, k))
     return out
 
 
