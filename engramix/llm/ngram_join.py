@@ -3,10 +3,11 @@
 1. Each text becomes its set of distinct 4-word shingles (64-bit hashes); equal sets are one class.
 2. Routing: a set is split by hash into parts, and each part's content is a signature. Two sets that
    link differ in at most D elements, so among D+1 non-empty parts one is equal in both: linked sets
-   share a signature. Very small sets use pairs of their least hashes instead; large sets stop at
-   MOST parts of about 6 elements, of which two linked sets share none with a chance of about 1e-8
-   at a similarity of exactly 0.85 and under 1e-14 from 0.9 on (the hash, not the data, decides).
-   most=None sets no such stop: then all D+1 parts are used, at more signatures for large sets.
+   share a signature, unless hashing leaves one fewer filled parts than that (a chance under 1e-8 for
+   the smallest sets, less for others). Very small sets use pairs of their least hashes instead.
+   most=MOST is a cheaper way for large sets: they stop at MOST parts of about 6 elements,
+   of which two linked sets share none with a chance of about 1e-8 at a similarity of exactly 0.85
+   and under 1e-14 from 0.9 on (the hash, not the data, decides).
 3. Classes connected through shared signatures form a candidate group; others can't be linked.
 4. Within a group a signature tree joins the sets: nodes hold OR-combined token bitmaps and size
    ranges, and a dual traversal prunes node pairs by their largest possible overlap. What is left is
@@ -32,7 +33,7 @@ WIDTH = 4  # words in a shingle
 NUM, DEN = 85, 100  # link when DEN * intersection >= NUM * union
 SMALL = 24  # below this size: pairs of prefix shingles
 RATIO = 1.25  # of the size classes of part signatures; over 1 / 0.85, so that linked sets are in one class or in neighbours
-MOST = 64  # part signatures of a set in one class
+MOST = 64  # part signatures of a set in one class, where asked for
 BITS = 2048  # of a set's bitmap in the trees
 LEAF, FANOUT = 16, 8
 BLOCK = 32 << 20  # bytes of a candidate group's sets in one task, at most twice; a set counts 6 bytes a shingle and EACH
@@ -100,7 +101,7 @@ def _parts(h: np.ndarray, c: int, need: int, most: int | None) -> np.ndarray:
     return _mix(sums + _mix(at[first].astype(_U) + (_U(c + 1) << _U(44))))[: need if most is None else min(need, most)]
 
 
-def signatures(h: np.ndarray, most: int | None = MOST) -> np.ndarray:
+def signatures(h: np.ndarray, most: int | None = None) -> np.ndarray:
     """Routing signatures of a set: two sets that link and differ share at least one.
 
     With t = 85/100, sets of sizes a and b that link differ in at most (1-t)/(1+t)*(a+b) elements,
@@ -125,8 +126,8 @@ def _digest(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
-def sketch(docs: DataFrame, most: int | None = MOST) -> DataFrame:
-    """id, n_shingles, cid (digest of the set; null if empty) and sigs for docs (id, text).
+def sketch(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """id, n_shingles, cid (digest of the set; null if empty), th (hash of the text) and sigs for docs (id, text).
 
     Of the rows of one set that a task meets, the first alone carries the signatures.
     """
@@ -146,13 +147,13 @@ def sketch(docs: DataFrame, most: int | None = MOST) -> DataFrame:
                 sigs.append(g.view(np.int64))
                 sizes.append(sizes[-1] + len(g))
             flat = pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], ["id", "n_shingles", "cid", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), b.column(2), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], ["id", "n_shingles", "cid", "th", "sigs"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n_shingles bigint, cid binary, sigs array<bigint>")
+    return docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"id {kind}, n_shingles bigint, cid binary, th bigint, sigs array<bigint>")
 
 
 def _bloom(ids: DataFrame, least: int = 1 << 20, most: int = 1 << 27) -> tuple[np.ndarray, int]:
-    """A bitmap of the hashes of ids (column h), of at most `most` bits however many there are; a full one lets everything pass."""
+    """A bitmap of the hashes in column h, of at most `most` bits however many there are; a full one lets everything pass."""
     n = ids.count()
     bits = min(most, max(least, 1 << (16 * max(1, n)).bit_length()))
     at = F.pmod("h", F.lit(bits))
@@ -163,20 +164,27 @@ def _bloom(ids: DataFrame, least: int = 1 << 20, most: int = 1 << 27) -> tuple[n
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid and set (packed hashes) of the rows of docs (id, text) whose ids are among wanted (id), and a few more."""
-    words_, bits = _bloom(wanted.select(F.xxhash64("id").alias("h")))
+    """cid and set (packed hashes), one row a class, of the rows of docs (text) whose texts' hashes are among wanted (th), and of a few more."""
+    words_, bits = _bloom(wanted.select(F.col("th").alias("h")))
     shared = docs.sparkSession.sparkContext.broadcast(words_)
 
     def run(batches):
-        words, bloom = _Words(), shared.value
+        words, met, bloom = _Words(), set(), shared.value
         for b in batches:
-            at = (b.column(0).to_numpy() % bits).astype(np.int64)
-            hit = (bloom[at >> 6] >> (at & 63).astype(_U)) & _U(1)
-            found = [shingles(t.as_py(), words) for t in b.column(1).filter(pa.array(hit.astype(bool)))]
+            th = b.column(0).to_numpy()
+            at = np.mod(th, bits)
+            hit = ((bloom[at >> 6] >> (at & 63).astype(_U)) & _U(1)).astype(bool)
+            keep = []
+            for i in np.flatnonzero(hit).tolist():
+                if th[i] not in met:  # a copy of a text that this task has read
+                    met.add(th[i])
+                    keep.append(i)
+            found = [shingles(t.as_py(), words) for t in b.column(1).take(pa.array(keep, pa.int64()))]
             found = [h for h in found if len(h)]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(h) for h in found], pa.binary()), pa.array([_pack(h) for h in found], pa.binary())], ["cid", "set"])
 
-    return docs.filter("id is not null").select(F.xxhash64("id").alias("h"), "text").mapInArrow(run, "cid binary, set binary")
+    rows = docs.select(F.xxhash64("text").alias("th"), "text").mapInArrow(run, "cid binary, set binary")
+    return rows.groupBy("cid").agg(F.first("set").alias("set"))
 
 
 class _Node:
@@ -368,7 +376,7 @@ def _placed(classes: DataFrame, block: int) -> DataFrame:
     )
 
 
-def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int | None = MOST, block: int = BLOCK) -> DataFrame:
+def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs.
 
     Null, empty and blank texts have no shingles and link with nothing; equal sets always link; the
@@ -380,9 +388,9 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     """
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     rows = cut(sketch(src, most))
-    reps = rows.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"))
+    reps = rows.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("th").alias("th"), F.max("n_shingles").alias("n"))
     groups = cut(components(_candidates(rows)).select(F.col("node").alias("c"), F.col("root").alias("grp")))
-    wanted = cut(reps.filter("id is not null").withColumn("c", _short("cid")).join(groups, "c").select("id", "cid", "grp", "n"))
+    wanted = cut(reps.withColumn("c", _short("cid")).join(groups, "c").select("th", "cid", "grp", "n"))
     pairs = _sets(src, wanted).join(_placed(wanted.select("cid", "grp", "n"), block), "cid")
     links = pairs.groupBy("grp", "bi", "bj").applyInArrow(_join_block, "a binary, b binary")
     found = components(links)

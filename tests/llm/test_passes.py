@@ -2,7 +2,9 @@
 
 import random
 
-from engramix.llm import decontamination, sharding
+from pyspark.sql import functions as F
+
+from engramix.llm import decontamination, ngram_join, secrets_crf, sharding
 
 from test_operators import DOC, docs, prose
 
@@ -112,3 +114,29 @@ def test_hot_signatures_and_units_of_a_large_group(spark, monkeypatch):
         for b in range(a, min(4000, int((20 + a) / 0.85) - 19)):
             key = tuple(sorted((own[a], own[b])))
             assert a in met[key] and b in met[key]
+
+
+def test_sets_come_once_a_class_and_null_ids_link(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [*words[:199], "other"]
+    rows = [(i, " ".join(words), "c") for i in range(50)] + [(77, " ".join(near), "c")]
+    df = spark.createDataFrame(rows, "id long, text string, TH string").repartition(6)
+    wanted = df.select(F.xxhash64("text").alias("th")).distinct()
+    assert ngram_join._sets(df, wanted).count() == 2
+    mixed = spark.createDataFrame([(None, " ".join(near), 1), (3, " ".join(words), 1), (2, " ".join(words), 1), (2, " ".join(words), 2), (None, "lone text with five words", 1), (None, None, 1)], "doc_id long, text string, cid int")
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in ngram_join.ngram_components(mixed).collect())
+    assert got == sorted([("None", "2"), ("3", "2"), ("2", "2"), ("2", "2"), ("None", "None"), ("None", "None")])
+
+
+def test_secrets_of_any_length_by_whole_tokens():
+    crf = secrets_crf.train()
+    long = "ghp_" + "aB3x9Q" * 200
+    for text in (f"token is {long} here", f"see {long}"):
+        spans = secrets_crf.crf_spans(text, crf, [])
+        assert [text[s:e] for s, e, _ in spans] == [long]
+    r = random.Random(4)
+    for _ in range(200):
+        cuts = sorted(r.sample(range(80), 2 * r.randint(0, 9)))
+        spans = [(a, b, 3) for a, b in zip(cuts[::2], cuts[1::2])]  # of one reading, so apart from each other
+        base = sorted((s, s + r.randint(1, 9), 0) for s in r.sample(range(80), r.randint(0, 9)))
+        assert secrets_crf.apart(spans, base) == [x for x in spans if not any(a < x[1] and x[0] < b for a, b, _ in base)]
