@@ -79,7 +79,7 @@ class Model:
         ws = _text_words(text)
         if not ws:
             return float(1 / (1 + np.exp(-self.scale * self.bias)))
-        if len(self.words) > 500_000:  # a cache only, of words of at most LONG characters; between texts, as places are in use within one
+        if len(self.words) > 200_000:  # a cache only, of words of at most LONG characters; between texts, as places are in use within one
             self.words = _Words(self.weight)
         at = np.fromiter(map(self.words.__getitem__, ws), np.int64, len(ws))
         s, c = self.words.sums[at], self.words.counts[at]
