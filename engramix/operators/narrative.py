@@ -43,13 +43,21 @@ def clean_summary(raw):
     return F.when(F.char_length(x) >= 10, F.left(x, F.lit(500)))
 
 
-def episode_search(episodes: DataFrame, query: str, top_k: int, stemmed: bool = True) -> DataFrame:
-    """The episodes whose title and summary fit best; summary cut for display."""
-    hits = bm25(episodes.select(F.col("episode_id").alias("id"), F.concat_ws("\n", "title", "summary").alias("text")), query, top_k, stemmed=stemmed)
+def episode_texts(episodes: DataFrame) -> DataFrame:
+    return episodes.select(F.col("episode_id").alias("id"), F.concat_ws("\n", "title", "summary").alias("text"))
+
+
+def procedure_texts(procedures: DataFrame) -> DataFrame:
+    return procedures.select(F.col("procedure_id").alias("id"), F.concat_ws("\n", "name", "description", F.to_json("steps")).alias("text"))
+
+
+def episode_search(episodes: DataFrame, query: str, top_k: int, stemmed: bool = True, hits: DataFrame | None = None) -> DataFrame:
+    """The episodes whose title and summary fit best; summary cut for display. hits: id and score where an index found them."""
+    hits = bm25(episode_texts(episodes), query, top_k, stemmed=stemmed) if hits is None else hits
     return hits.join(episodes, hits["id"] == episodes["episode_id"]).select("episode_id", "session_id", "title", F.left("summary", F.lit(300)).alias("summary"), "outcome", "score").orderBy("score", "episode_id")
 
 
-def procedure_search(procedures: DataFrame, query: str, top_k: int, stemmed: bool = True) -> DataFrame:
+def procedure_search(procedures: DataFrame, query: str, top_k: int, stemmed: bool = True, hits: DataFrame | None = None) -> DataFrame:
     """The procedures whose name, description and steps (as JSON) fit best."""
-    hits = bm25(procedures.select(F.col("procedure_id").alias("id"), F.concat_ws("\n", "name", "description", F.to_json("steps")).alias("text")), query, top_k, stemmed=stemmed)
+    hits = bm25(procedure_texts(procedures), query, top_k, stemmed=stemmed) if hits is None else hits
     return hits.join(procedures, hits["id"] == procedures["procedure_id"]).select("procedure_id", "session_id", "name", "description", "steps", "score").orderBy("score", "procedure_id")

@@ -105,8 +105,9 @@ def augment(tables, message: str, as_of: str, embedder: Embedder | None = None,
         q = embedder.embed([message])[0]
         semantic = semantic_edges(edges, tables("edge_vectors").filter((F.col("model") == embedder.model) & (F.col("dim") == len(q))), q)
         semantic = None if semantic.isEmpty() else semantic
+    noted = lambda kind: index.search_notes(kind, tables("note_postings"), tables("note_blocks"), tables("note_lengths"), " ".join(T.search_words(message)), DEFAULTS["fts_top_k"])
     return Context(
         passages(tables("chunks"), tables("chunk_vectors"), message, embedder, llm, posted=tables("postings"), sizes=tables("lengths"), cells=tables("cells")), retrieval.graph_facts(edges, direct, routed, as_of, semantic, over, typed),
-        narrative.episode_search(tables("episodes"), message, DEFAULTS["fts_top_k"]), narrative.procedure_search(tables("procedures"), message, DEFAULTS["fts_top_k"]),
+        narrative.episode_search(tables("episodes"), message, DEFAULTS["fts_top_k"], hits=noted("episode")), narrative.procedure_search(tables("procedures"), message, DEFAULTS["fts_top_k"], hits=noted("procedure")),
         names.groupBy("entity").agg(F.min(F.array_position(F.array(F.lit("matched"), F.lit("type"), F.lit("overlap")), F.col("how"))).alias("k")).select("entity", F.element_at(F.array(F.lit("matched"), F.lit("type"), F.lit("overlap")), F.col("k").cast("int")).alias("via")), routed, user_md, memory_md,
     )

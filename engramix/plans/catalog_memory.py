@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from engramix.functions import text as T
 from engramix.operators import chunking, extraction, graph, index, ingest, narrative, retrieval, vectors
 from engramix.plans import augment, dream, service
-from engramix.plans.catalog import AGE, AS_OF, COMPETING, ORACLES, QUERIES, DECAYED, FACT, KG, MSG, OLD, OPPOSED, R6, RECENT, SAL, DAY, _old, query
+from engramix.plans.catalog import AGE, AS_OF, BM, COMPETING, ORACLES, QUERIES, DECAYED, FACT, KG, MSG, OLD, OPPOSED, R6, RECENT, SAL, DAY, TERMS, _old, query
 from engramix.sources import fixtures as fx
 from engramix.sources.checkpoint import cut
 from engramix.sources.store import SCHEMAS
@@ -326,3 +326,14 @@ def vector_index_recall(spark, d):
     found = _others(vectors.search(indexed, asked, quantiser, 11, probes=probes), 10)
     hits = true.join(found, ["qid", "id"], "left_semi").count()
     return asked.agg(F.count(F.lit(1)).alias("n_queries")).withColumn("reached", F.lit(hits >= 0.9 * true.count()))
+
+
+# ------------------------------------------------------------------ search by block maxima
+@query("bm25_block_max", f"WITH {BM} SELECT id, round(score, 6) AS score FROM bm ORDER BY round(bm.score, 9), id LIMIT 5")
+def bm25_block_max(spark, d):
+    """The same five as bm25_top5, from postings of which only the blocks that may matter are read."""
+    words = fx.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), lambda w: F.char_length(w) >= 2).alias("w"))
+    sizes = cut(words.select("id", F.size("w").alias("dl")))
+    posted = words.select("id", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    at = cut(index.placed(posted, sizes, "id"))
+    return index.pruned(at, cut(index.blocks(at)), sizes, "id", TERMS, 5)[0].select("id", R6("score").alias("score"))

@@ -182,7 +182,7 @@ def _cycle(store: MemoryStore, version: int, llm: LLM, as_of: str, embedder: Emb
     new_episodes = cut(narrative.validate_episodes(ok.select("session_id", F.col("episodes").alias("raw"))).withColumn("created_at", ingest.at(as_of)))
     joined = new_episodes.groupBy("session_id").agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("episode_id", "title", "summary"))), lambda x: F.concat(x["title"], F.lit(": "), x["summary"])), "\n---\n"), F.lit(12000)).alias("text"))
     how = cut(ask(joined, llm, {"procedures": (prompts.PROCEDURES, True)}))
-    new_procedures = narrative.validate_procedures(how.filter("failed IS NULL").select("session_id", F.col("procedures").alias("raw"))).withColumn("created_at", ingest.at(as_of))
+    new_procedures = cut(narrative.validate_procedures(how.filter("failed IS NULL").select("session_id", F.col("procedures").alias("raw"))).withColumn("created_at", ingest.at(as_of)))
     summaries = ok.select("session_id", narrative.clean_summary(F.col("summary")).alias("_summary")).filter("_summary IS NOT NULL")
     told_sessions = table("sessions").join(summaries, "session_id").withColumn("summary", F.col("_summary")).drop("_summary")
 
@@ -210,6 +210,10 @@ def _cycle(store: MemoryStore, version: int, llm: LLM, as_of: str, embedder: Emb
         "profile": profile[0], "episodes": new_episodes, "procedures": new_procedures, **texts_put,
     }
     delete = {"edges": moved[1], "profile": profile[1], **texts_gone}
+    for kind, notes in (("episode", narrative.episode_texts(new_episodes)), ("procedure", narrative.procedure_texts(new_procedures))):
+        for side, more in zip((put, delete), index.note_changes(kind, notes, table("note_postings"), table("note_blocks")), strict=True):
+            for n, df in more.items():
+                side[n] = side[n].unionByName(df) if n in side else df
     if not gone.isEmpty():
         delete |= {"chunks": gone, **{n: of_gone(table(n)) for n in ("processed", "mentions", "evidence", "chunk_vectors")}}
     if embedder is not None:
