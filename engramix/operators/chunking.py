@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from engramix.functions.ranking import nth
+
 from engramix.functions import text as T
 
 
@@ -39,9 +41,29 @@ def budgeted_chunks(chunks: DataFrame, processed: DataFrame, sessions: DataFrame
 
 
 def page(messages: DataFrame, session: str, number: int, size: int) -> DataFrame:
+    """A page of a session's messages by id.
+
+    Its first and last id are found by counting ids, of which no row is sorted or moved; then only
+    what lies between them is read, which file statistics of ids and sessions tell apart.
+    """
     if size < 1 or number < 1:
         raise ValueError("size and page start at 1")
-    return messages.filter(F.col("session_id") == session).orderBy("id").offset((number - 1) * size).limit(size)
+    mine = messages.filter(F.col("session_id") == session)
+    ids = mine.select("id")
+    total, before = ids.count(), (number - 1) * size
+    if before >= total:
+        return mine.limit(0)
+    low = nth(ids, before + 1, "id")[0][0] if before else None
+    high = nth(ids, before + size, "id")[0][0] if before + size < total else None
+    for bound in ([F.col("id") >= low] if low is not None else []) + ([F.col("id") <= high] if high is not None else []):
+        mine = mine.filter(bound)
+    return mine.orderBy("id").limit(size)
+
+
+def page_after(messages: DataFrame, session: str, after: int | None, size: int) -> DataFrame:
+    """The next `size` messages of a session behind an id (None: from its first), for readers that go on from page to page."""
+    mine = messages.filter(F.col("session_id") == session)
+    return (mine if after is None else mine.filter(F.col("id") > after)).orderBy("id").limit(size)
 
 
 def recent(messages: DataFrame, session: str, n: int = 20) -> DataFrame:

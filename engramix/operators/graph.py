@@ -47,14 +47,22 @@ def evidence_rows(triples: DataFrame) -> DataFrame:
     return triples.select(*KEY, "chunk_id", "polarity").distinct()
 
 
-def competing_objects(edges: DataFrame) -> DataFrame:
-    """Pairs of objects of one subject and exclusive predicate."""
+def competing_objects(edges: DataFrame, piece: int = 1000) -> DataFrame:
+    """Pairs of objects of one subject and exclusive predicate.
+
+    The objects of a pair (s, p) of many are dealt to pieces of about `piece`, and any two pieces meet
+    once: so no join key makes more than piece * piece pairs, however many objects a subject has.
+    """
     e = edges.filter(_base() & F.col("p").isin(*EXCLUSIVE)).select("s", "p", "o", "pos", "neg")
-    b = e.select("s", "p", F.col("o").alias("o2"), F.col("pos").alias("pos2"), F.col("neg").alias("neg2"))
-    return e.join(b, ["s", "p"]).filter("o < o2").select(
-        F.lit("competing_object").alias("kind"), "s", F.col("p").alias("p1"), F.col("o").alias("o1"), F.col("p").alias("p2"), "o2",
-        confidence(F.col("pos"), F.col("neg")).alias("conf1"), confidence(F.col("pos2"), F.col("neg2")).alias("conf2"),
-    )
+    some = e.groupBy("s", "p").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("s", "p", F.ceil(F.col("n") / piece).cast("int").alias("k"))
+    dealt = e.join(some, ["s", "p"]).withColumn("at", F.pmod(F.xxhash64("o"), F.col("k")).cast("int")).withColumn("conf", confidence(F.col("pos"), F.col("neg")))
+    one = F.struct("o", "conf")
+    a = dealt.select("s", "p", F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("k") - 1)).alias("j"), one.alias("a"))
+    b = dealt.select("s", "p", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), one.alias("b"))
+    pairs = a.join(b, ["s", "p", "i", "j"]).filter("i < j AND a.o <> b.o OR a.o < b.o")
+    first = F.col("a.o") < F.col("b.o")
+    of = lambda c, low: F.when(first == F.lit(low), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}"))
+    return pairs.select(F.lit("competing_object").alias("kind"), "s", F.col("p").alias("p1"), of("o", True).alias("o1"), F.col("p").alias("p2"), of("o", False).alias("o2"), of("conf", True).alias("conf1"), of("conf", False).alias("conf2"))
 
 
 def opposing_predicates(edges: DataFrame) -> DataFrame:

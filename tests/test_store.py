@@ -9,7 +9,8 @@ import pytest
 
 from engramix import clients
 from engramix.memory import Memory
-from engramix.operators import consolidation
+from engramix.functions.ranking import first_rows
+from engramix.operators import chunking, consolidation, graph
 from engramix.sources import store as stores
 from engramix.sources.store import Conflict, MemoryStore
 
@@ -181,7 +182,7 @@ def test_first_rows_equal_a_sort(spark):
         df = spark.createDataFrame(rows, f"at string, id {kind}").selectExpr("cast(at as timestamp_ntz) AS at", "id").repartition(5)
         order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or "", x[1] is not None, x[1] if x[1] is not None else 0))
         for n in (0, 1, 7, 60, 150, 299, 300, 400):
-            got = sorted(map(str, ((str(x["at"]) if x["at"] else None, x["id"]) for x in consolidation.first_rows(df, n, "at", "id").collect())))
+            got = sorted(map(str, ((str(x["at"]) if x["at"] else None, x["id"]) for x in first_rows(df, n, "at", "id").collect())))
             assert got == sorted(map(str, order[:n])), (kind, n)
 
 
@@ -189,3 +190,27 @@ def test_only_local_folders_and_hdfs(spark, monkeypatch):
     with pytest.raises(Exception):
         MemoryStore(spark, "viewfs://nowhere/x")
     assert stores.KEYS.keys() | {"feedback", "dream_runs"} == stores.SCHEMAS.keys()
+
+
+def test_pages_of_a_session(spark):
+    r = random.Random(4)
+    rows = [(i * 7, r.choice("ab"), f"m{i}") for i in range(97)]
+    df = spark.createDataFrame(rows, "id long, session_id string, content string").repartition(3)
+    mine = sorted(x for x in rows if x[1] == "a")
+    got, after = [], None
+    for n in range(1, len(mine) // 10 + 3):
+        page = [tuple(x) for x in chunking.page(df, "a", n, 10).collect()]
+        assert page == mine[10 * n - 10 : 10 * n] == [tuple(x) for x in chunking.page_after(df, "a", after, 10).collect()]
+        got += page
+        after = page[-1][0] if page else after
+    assert got == mine and chunking.page(df, "nobody", 1, 10).count() == 0
+
+
+def test_competing_objects_of_a_hot_subject_meet_once(spark):
+    r = random.Random(5)
+    rows = [("hot", "runs_on", f"o{i}", r.randint(0, 3), 1, "active", False) for i in range(150)] + [("s", "runs_on", "x", 1, 0, "active", False), ("s", "runs_on", "y", 1, 0, "active", False), ("lone", "runs_on", "x", 1, 0, "active", False), ("s", "runs_on", "old", 1, 0, "retracted", False)]
+    df = spark.createDataFrame(rows, "s string, p string, o string, pos long, neg long, status string, derived boolean")
+    one = {tuple(x) for x in graph.competing_objects(df).collect()}
+    many = [tuple(x) for x in graph.competing_objects(df, piece=20).collect()]
+    assert len(many) == len(set(many)) == 150 * 149 // 2 + 1 and set(many) == one
+    assert all(x[3] < x[5] for x in many)
