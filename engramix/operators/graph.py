@@ -192,22 +192,60 @@ def manual_retract(edges: DataFrame, s: str, p: str, o: str, as_of: str) -> Data
     }).drop("_hit")
 
 
+def hops(base: DataFrame, threshold: float) -> DataFrame:
+    """(s, o, conf): the most confident edge of each pair of base (s, o, pos, neg), where it reaches the threshold."""
+    return base.groupBy("s", "o").agg(F.max(confidence(F.col("pos"), F.col("neg"))).alias("conf")).filter(F.col("conf") >= threshold)
+
+
+def _grown(best: DataFrame, better: DataFrame, threshold: float, max_rounds: int) -> DataFrame:
+    """The closure from best (s, o, conf), which holds `better`, its pairs that improved last.
+
+    Semi-naive: each round joins only what improved in the last one with all there is, on either
+    side, so paths' reach doubles and nothing is joined twice; it ends when no pair improves.
+    """
+    ahead = lambda df: df.select(F.col("s").alias("o"), F.col("o").alias("t"), F.col("conf").alias("c"))
+    longer = lambda a, b: a.join(ahead(b), "o").select("s", F.col("t").alias("o"), (F.col("conf") * F.col("c")).alias("conf"))
+    for _ in range(max_rounds):
+        found = longer(better, best).unionByName(longer(best, better)).filter(F.col("conf") >= threshold).groupBy("s", "o").agg(F.max("conf").alias("new"))
+        # products of one path in another order differ in their last bits: that is no improvement
+        both = cut(best.join(found, ["s", "o"], "full_outer").select("s", "o", F.greatest("conf", "new").alias("conf"), (F.col("new").isNotNull() & (F.col("conf").isNull() | (F.col("new") > F.col("conf") * (1 + 1e-12)))).alias("up")))
+        best, better = both.select("s", "o", "conf"), both.filter("up").select("s", "o", "conf")
+        if better.isEmpty():
+            return best
+    raise RuntimeError(f"the closure did not settle in {max_rounds} rounds")
+
+
 def transitive(base: DataFrame, threshold: float = 0.15, max_rounds: int = 60) -> DataFrame:
     """Best path confidence of every pair, (s, o, conf), with conf >= threshold; base has s, o, pos, neg.
 
-    A factor of a path is below 1, so pruning inside the loop loses nothing. Each round doubles
-    the paths' reach and only keeps a pair's best; it ends when no pair improves.
+    A factor of a path is below 1, so pruning inside the loop loses nothing.
     """
-    hop = cut(base.groupBy("s", "o").agg(F.max(confidence(F.col("pos"), F.col("neg"))).alias("conf")).filter(F.col("conf") >= threshold))
-    best, size = hop, None
-    for _ in range(max_rounds):
-        longer = best.join(best.select(F.col("s").alias("o"), F.col("o").alias("t"), F.col("conf").alias("c")), "o").select("s", F.col("t").alias("o"), (F.col("conf") * F.col("c")).alias("conf")).filter(F.col("conf") >= threshold)
-        best = cut(best.unionByName(longer).groupBy("s", "o").agg(F.max("conf").alias("conf")))
-        now = best.agg(F.count(F.lit(1)), F.round(F.sum("conf"), 9)).first()
-        if now == size:
-            break
-        size = now
-    return best
+    first = cut(hops(base, threshold))
+    return first if first.isEmpty() else _grown(first, first, threshold, max_rounds)
+
+
+def updated_closure(best: DataFrame, before: DataFrame, after: DataFrame, threshold: float = 0.15, max_rounds: int = 60) -> DataFrame:
+    """transitive(after) from best = transitive(before), deriving anew only what depends on the edges that differ.
+
+    Pairs whose best path may lead over an edge that went or weakened are taken back; they get what
+    their new first edges and the pairs that stand give them, and from these and the edges that came or
+    grew the closure goes on as always.
+    """
+    old, new = hops(before, threshold), hops(after, threshold)
+    moved = cut(old.withColumnRenamed("conf", "was").join(new.withColumnRenamed("conf", "now"), ["s", "o"], "full_outer").filter("NOT was <=> now"))
+    weaker = moved.filter("was IS NOT NULL AND (now IS NULL OR now < was)").select(F.col("s").alias("x"), F.col("o").alias("y"), "was")
+    up, down = best.select("s", F.col("o").alias("x"), F.col("conf").alias("a")), best.select(F.col("s").alias("y"), "o", F.col("conf").alias("b"))
+    one = F.lit(1.0)
+    into = weaker.select(F.col("x").alias("s"), "x", "y", "was", one.alias("a")).unionByName(weaker.join(up, "x").select("s", "x", "y", "was", "a"))
+    over = into.select("s", F.col("y").alias("o"), (F.col("a") * F.col("was")).alias("via")).unionByName(into.join(down, "y").select("s", "o", (F.col("a") * F.col("was") * F.col("b")).alias("via")))
+    lost = cut(best.join(over.groupBy("s", "o").agg(F.max("via").alias("via")), ["s", "o"]).filter(F.col("via") >= F.col("conf") * (1 - 1e-9)).select("s", "o"))
+    stays = cut(best.join(lost, ["s", "o"], "left_anti"))
+    again = new.join(lost, ["s", "o"], "left_semi").unionByName(new.withColumnRenamed("o", "z").join(lost, "s").join(stays.select(F.col("s").alias("z"), "o", F.col("conf").alias("c")), ["z", "o"]).select("s", "o", (F.col("conf") * F.col("c")).alias("conf")))
+    came = moved.filter("now IS NOT NULL AND (was IS NULL OR now > was)").select("s", "o", F.col("now").alias("conf"))
+    seeds = again.unionByName(came).filter(F.col("conf") >= threshold).groupBy("s", "o").agg(F.max("conf").alias("new"))
+    both = cut(stays.join(seeds, ["s", "o"], "full_outer").select("s", "o", F.greatest("conf", "new").alias("conf"), (F.col("new").isNotNull() & (F.col("conf").isNull() | (F.col("new") > F.col("conf")))).alias("up")))
+    start, better = both.select("s", "o", "conf"), both.filter("up").select("s", "o", "conf")
+    return start if better.isEmpty() else _grown(start, better, threshold, max_rounds)
 
 
 def inferred_edges(edges: DataFrame, threshold: float = 0.15) -> DataFrame:

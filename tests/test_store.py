@@ -214,3 +214,17 @@ def test_competing_objects_of_a_hot_subject_meet_once(spark):
     many = [tuple(x) for x in graph.competing_objects(df, piece=20).collect()]
     assert len(many) == len(set(many)) == 150 * 149 // 2 + 1 and set(many) == one
     assert all(x[3] < x[5] for x in many)
+
+
+def test_updated_closure_equals_the_full_one(spark):
+    r = random.Random(6)
+    nodes = "abcdefgh"
+    draw = lambda: {(x, y): (r.randint(1, 9), r.randint(0, 3)) for x in nodes for y in nodes if x != y and r.random() < 0.2}
+    for _ in range(4):
+        old = draw()
+        new = {k: v for k, v in old.items() if r.random() < 0.8} | dict(list(draw().items())[:3])
+        df = lambda e: spark.createDataFrame([(*k, *v) for k, v in e.items()], "s string, o string, pos long, neg long")
+        got = graph.updated_closure(graph.transitive(df(old)), df(old), df(new))
+        rows = lambda x: sorted((a, b, round(c, 9)) for a, b, c in x.select("s", "o", "conf").collect())
+        assert rows(got) == rows(graph.transitive(df(new)))
+    assert rows(graph.updated_closure(graph.transitive(df(old)), df(old), df(old))) == rows(graph.transitive(df(old)))
