@@ -224,14 +224,13 @@ def transitive(base: DataFrame, threshold: float = 0.15, max_rounds: int = 60) -
     return first if first.isEmpty() else _grown(first, first, threshold, max_rounds)
 
 
-def updated_closure(best: DataFrame, before: DataFrame, after: DataFrame, threshold: float = 0.15, max_rounds: int = 60) -> DataFrame:
-    """transitive(after) from best = transitive(before), deriving anew only what depends on the edges that differ.
+def updated_closure(best: DataFrame, old: DataFrame, new: DataFrame, threshold: float = 0.15, max_rounds: int = 60) -> DataFrame:
+    """The closure of the hops `new` from best, that of the hops `old`, deriving anew only what depends on the hops that differ.
 
     Pairs whose best path may lead over an edge that went or weakened are taken back; they get what
     their new first edges and the pairs that stand give them, and from these and the edges that came or
     grew the closure goes on as always.
     """
-    old, new = hops(before, threshold), hops(after, threshold)
     moved = cut(old.withColumnRenamed("conf", "was").join(new.withColumnRenamed("conf", "now"), ["s", "o"], "full_outer").filter("NOT was <=> now"))
     weaker = moved.filter("was IS NOT NULL AND (now IS NULL OR now < was)").select(F.col("s").alias("x"), F.col("o").alias("y"), "was")
     up, down = best.select("s", F.col("o").alias("x"), F.col("conf").alias("a")), best.select(F.col("s").alias("y"), "o", F.col("conf").alias("b"))
@@ -248,10 +247,15 @@ def updated_closure(best: DataFrame, before: DataFrame, after: DataFrame, thresh
     return start if better.isEmpty() else _grown(start, better, threshold, max_rounds)
 
 
-def inferred_edges(edges: DataFrame, threshold: float = 0.15) -> DataFrame:
-    """Edges with fresh derived depends_on edges: old ones go, pairs held by any base row are skipped."""
+def dependencies(edges: DataFrame) -> DataFrame:
+    """The active base edges that inference goes along."""
+    return edges.filter(_base() & (F.col("p") == "depends_on")).select("s", "o", "pos", "neg")
+
+
+def inferred_edges(edges: DataFrame, threshold: float = 0.15, best: DataFrame | None = None) -> DataFrame:
+    """Edges with fresh derived depends_on edges: old ones go, pairs held by any base row are skipped. best: the closure, where it is known."""
     base = edges.filter(~F.col("derived"))
-    active = base.filter((F.col("status") == "active") & (F.col("p") == "depends_on"))
+    best = transitive(dependencies(edges), threshold) if best is None else best
     held = base.filter(F.col("p") == "depends_on").select("s", "o")
-    new = transitive(active.select("s", "o", "pos", "neg"), threshold).join(held, ["s", "o"], "left_anti").select("s", F.lit("depends_on").alias("p"), "o", F.lit(1).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"), F.lit("active").alias("status"), F.lit(True).alias("derived"))
+    new = best.join(held, ["s", "o"], "left_anti").select("s", F.lit("depends_on").alias("p"), "o", F.lit(1).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"), F.lit("active").alias("status"), F.lit(True).alias("derived"))
     return base.unionByName(new, allowMissingColumns=True)

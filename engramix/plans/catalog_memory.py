@@ -351,4 +351,4 @@ def closure_updated(spark, d):
     before = fx.hierarchy(spark, d)
     key = fx.read(spark, d, "nation").select(F.col("n_name").alias("s"), (F.col("n_nationkey") % 5).alias("k"))
     after = before.join(key, "s", "left").filter("k IS NULL OR k <> 0").withColumn("o", F.when(F.col("k") == 1, "world").otherwise(F.col("o"))).drop("k")
-    return graph.updated_closure(graph.transitive(before), before, after).select("s", "o", R6("conf").alias("conf"))
+    return graph.updated_closure(graph.transitive(before), graph.hops(before, 0.15), graph.hops(after, 0.15)).select("s", "o", R6("conf").alias("conf"))

@@ -196,7 +196,13 @@ def _cycle(store: MemoryStore, version: int, llm: LLM, as_of: str, embedder: Emb
     wrong = graph.retraction_feedback(edges, evidence).join(chunks.select("chunk_id", "text"), "chunk_id", "left").select("chunk_id", F.left("text", F.lit(600)).alias("snippet"), *KEY, F.lit("auto_retract").alias("kind"), ingest.at(as_of).alias("created_at"))
     before = edges
     edges = graph.auto_retract(edges)
-    edges = cut(graph.inferred_edges(edges, config.retract_below).withColumns({c: F.coalesce(c, ingest.at(as_of)) for c in ("first_seen", "last_seen", "last_reinforced")}))
+    # the closure at the usual threshold is kept, with the hops that it was made from, as edges may change between cycles
+    closure, derived = None, {}
+    if config.retract_below == DEFAULTS["retract_threshold"]:
+        hops = cut(graph.hops(graph.dependencies(edges), config.retract_below))
+        closure = graph.updated_closure(table("closure"), table("closure_hops"), hops, config.retract_below)
+        derived = {"closure": changes(table("closure"), closure, ["s", "o"]), "closure_hops": changes(table("closure_hops"), hops, ["s", "o"])}
+    edges = cut(graph.inferred_edges(edges, config.retract_below, closure).withColumns({c: F.coalesce(c, ingest.at(as_of)) for c in ("first_seen", "last_seen", "last_reinforced")}))
     retracted = before.filter("status = 'active' AND NOT derived").filter(graph.is_spent()).count()
     moved = changes(old_edges, edges, KEY)
     gone = cut(consolidation.retired_chunks(chunks, evidence, edges, as_of, config.max_chunks, config.retention_days))
@@ -207,9 +213,9 @@ def _cycle(store: MemoryStore, version: int, llm: LLM, as_of: str, embedder: Emb
     put = {
         "sessions": told_sessions, "chunks": without(new_chunks, gone, "chunk_id"), "processed": without(processed, gone, "chunk_id"), "mentions": without(new_mentions, gone, "chunk_id"),
         "evidence": without(new_evidence, gone, "chunk_id"), "aliases": without(named, aliases, "alias"), "types": types[0], "edges": moved[0], "markers": pending.withColumn("consolidated_at", ingest.at(as_of)),
-        "profile": profile[0], "episodes": new_episodes, "procedures": new_procedures, **texts_put,
+        "profile": profile[0], "episodes": new_episodes, "procedures": new_procedures, **texts_put, **{n: x[0] for n, x in derived.items()},
     }
-    delete = {"edges": moved[1], "profile": profile[1], **texts_gone}
+    delete = {"edges": moved[1], "profile": profile[1], **texts_gone, **{n: x[1] for n, x in derived.items()}}
     for kind, notes in (("episode", narrative.episode_texts(new_episodes)), ("procedure", narrative.procedure_texts(new_procedures))):
         for side, more in zip((put, delete), index.note_changes(kind, notes, table("note_postings"), table("note_blocks")), strict=True):
             for n, df in more.items():
