@@ -3,7 +3,11 @@
 import numpy as np
 import pytest
 
+from engramix import clients
+from engramix.memory import Memory
+from engramix.operators import retrieval
 from engramix.operators import vectors as V
+from engramix.plans.dream import Config
 
 
 def frame(spark, x, extra=()):
@@ -54,23 +58,28 @@ def test_odd_vectors(spark):
     assert V.search(V.index(df.limit(0), none), asked, none, 3, exact=True).collect() == []
 
 
-def test_a_store_keeps_its_vectors_in_cells(spark, tmp_path):
-    from engramix import clients
-    from engramix.memory import Memory
-    from engramix.operators import retrieval
-    from engramix.plans.dream import Config
+def test_cells_are_fitted_anew_as_vectors_double(spark):
+    r = np.random.default_rng(3)
+    kind = "chunk_id string, v array<double>, model string, dim int, cell int, r double"
+    held, cells, fitted = spark.createDataFrame([], kind), spark.createDataFrame([], "model string, cell int, centre array<double>, fitted_on long"), []
+    for name, n in (("a", 5), ("b", 7), ("c", 5), ("d", 12)):
+        new = spark.createDataFrame([(f"{name}{i}", r.normal(0, 1, 4).tolist(), "m", 4) for i in range(n)], "chunk_id string, v array<double>, model string, dim int")
+        put, made = V.kept_index(held, new, cells, "m", 4, index_from=10)
+        rows = held.join(put.select("chunk_id"), "chunk_id", "left_anti").unionByName(put.select(*[c for c in held.columns if c in put.columns]), allowMissingColumns=True).collect()
+        held = spark.createDataFrame(rows, kind)
+        cells = cells if made is None else spark.createDataFrame(made.collect(), cells.schema)
+        fitted.append(cells.agg({"fitted_on": "max"}).first()[0])
+        assert held.filter("cell IS NULL OR r IS NULL").count() == (5 if name == "a" else 0)
+    assert fitted == [None, 12, 12, 29] and held.count() == 29
+    q = r.normal(0, 1, 4).tolist()
+    found = lambda df: [(x["id"], round(x["score"], 9)) for x in df.collect()]
+    assert found(V.nearest_kept(held, cells, q, 6)) == found(retrieval.knn(held.selectExpr("chunk_id AS id", "v"), q, 6))
+    assert V.nearest_kept(held, cells, [1.0], 6) is None
+
 
+def test_a_store_keeps_its_vectors_in_cells(spark, tmp_path):
     m = Memory(spark, str(tmp_path), clients.StubLLM(), clients.StubEmbedder(8))
-    turns = lambda name, n: m.log(spark.createDataFrame([(f"{name}{i}", 0, "user", f"I prefer number {i} of {name} over all others") for i in range(n)], "session_id string, pos int, role string, content string"), "2024-05-01 00:00:00")
-    fitted = []
-    for name, n in (("a", 12), ("b", 5), ("c", 12)):
-        turns(name, n)
-        m.dream("2024-05-02 00:00:00", config=Config(index_from=10))
-        t = m.store.table
-        fitted.append(t("cells").first()["fitted_on"])
-        assert t("chunk_vectors").filter("cell IS NULL OR r IS NULL").count() == 0
-    assert fitted == [12, 12, 29] and t("chunk_vectors").count() == 29
-    q = m.embedder.embed(["number 3 of a"])[0]
-    rows = lambda df: [(r["id"], round(r["score"], 9)) for r in df.collect()]
-    assert rows(V.nearest_kept(t("chunk_vectors"), t("cells"), q, 6)) == rows(retrieval.knn(t("chunk_vectors").selectExpr("chunk_id AS id", "v"), q, 6))
-    assert m.augment("number 3 of a", "2024-05-02 00:00:00").passages.count() == 5
+    m.log(spark.createDataFrame([(f"a{i}", 0, "user", f"I prefer number {i} over all others") for i in range(12)], "session_id string, pos int, role string, content string"), "2024-05-01 00:00:00")
+    m.dream("2024-05-02 00:00:00", config=Config(index_from=10))
+    assert m.store.table("cells").first()["fitted_on"] == 12 and m.store.table("chunk_vectors").filter("cell IS NOT NULL").count() == 12
+    assert m.augment("number 3", "2024-05-02 00:00:00").passages.count() == 5
