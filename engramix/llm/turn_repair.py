@@ -384,9 +384,8 @@ def _sorted(turns: DataFrame, blocks: int) -> DataFrame:
     return placed.select(F.spark_partition_id().alias("blk"), "conv", "turn", "role", "text", "flags")
 
 
-def _run(turns: DataFrame, blocks: int | None, gather: int, wanted: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    if "gone" not in turns.columns:
-        turns = turns.select("conv_id", "turn", "role", "text", F.lit(False).alias("gone"))
+def _run(turns: DataFrame, gone: str | None, blocks: int | None, gather: int, wanted: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    turns = turns.select("conv_id", "turn", "role", "text", (F.lit(False) if gone is None else F.col(gone)).alias("gone"))
     blocks = blocks or int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cut(_sorted(turns, blocks).mapInArrow(_pass(wanted), from_arrow_schema(_FOUND)))
     within = found.filter("blk is null")
@@ -394,30 +393,30 @@ def _run(turns: DataFrame, blocks: int | None, gather: int, wanted: bool) -> tup
     return within, spanning, pieces
 
 
-def repair_report(turns: DataFrame, blocks: int | None = None, gather: int = GATHER) -> DataFrame:
+def repair_report(turns: DataFrame, gone: str | None = None, blocks: int | None = None, gather: int = GATHER) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit and repaired_sha256 of each conversation of turns (conv_id, turn, role, text).
 
     Rows are ordered by turn (null first), then role, then the text's MD5. Null roles and texts are
     empty; a null conv_id is a conversation like any other; repeated rows are duplicates; a role of
-    another initial than s, u and a can't be kept. Rows marked by a column `gone` (as by damage())
+    another initial than s, u and a can't be kept. Rows marked true in the column `gone` (as damage() does)
     don't count, but a conversation of only such rows has its row, with zeros. An empty table gives no
     rows; other columns are ignored. A conversation's audit, a character or so for each turn, must
     fit a row; its texts need not.
     """
-    within, spanning, _ = _run(turns, blocks, gather, False)
+    within, spanning, _ = _run(turns, gone, blocks, gather, False)
     cols = [F.expr("try_cast(conv as bigint)").alias("conv_id"), *_REPORT]
     return within.select(*cols).unionByName(spanning.select(*cols))
 
 
-def repaired_turns(turns: DataFrame, blocks: int | None = None, gather: int = GATHER) -> DataFrame:
+def repaired_turns(turns: DataFrame, gone: str | None = None, blocks: int | None = None, gather: int = GATHER) -> DataFrame:
     """The turns of the repaired conversations in order: conv_id, place (blk, seq, n), edit (K, R or I), role and text."""
-    within, _, pieces = _run(turns, blocks, gather, True)
+    within, _, pieces = _run(turns, gone, blocks, gather, True)
     both = within.select("conv", F.lit(0).alias("blk"), F.lit(0).cast("long").alias("seq"), "repaired").unionByName(pieces.select("conv", "blk", "seq", "repaired"))
     return both.select(F.expr("try_cast(conv as bigint)").alias("conv_id"), "blk", "seq", F.posexplode("repaired").alias("n", "x")).select("conv_id", F.struct("blk", "seq", "n").alias("place"), "x.edit", "x.role", "x.text")
 
 
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair_report(damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    return repair_report(damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), "gone")
 
 
 #: DuckDB equivalent: the same damage, then the cheapest audit of each state turn by turn; `key` holds cost and audit in one string that sorts as they do.

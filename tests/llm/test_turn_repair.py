@@ -123,7 +123,7 @@ def test_spark_equals_plain_over_any_blocks(spark, blocks, gather):
     r = random.Random(14)
     rows = some_rows(r, 40, 9) + [(500, t, r.choice(["user", "assistant", "tool"]), r.choice([f"m {t}.", "again.", "open"])) for t in range(300)]  # a long one
     df = spark.createDataFrame(rows, SCHEMA)
-    assert reports(tr.repair_report(tr.damage(df), blocks, gather)) == plain(rows)
+    assert reports(tr.repair_report(tr.damage(df), "gone", blocks, gather)) == plain(rows)
 
 
 def test_repaired_turns_are_the_audits(spark):
@@ -131,7 +131,7 @@ def test_repaired_turns_are_the_audits(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     want = plain(rows, damaged=False)
     got = defaultdict(list)
-    for x in tr.repaired_turns(df, 5, 2).collect():
+    for x in tr.repaired_turns(df, None, 5, 2).collect():
         got[x["conv_id"]].append((x["place"], x["edit"], x["role"], x["text"]))
     for c, w in want.items():
         made = sorted(got[c])
@@ -141,11 +141,11 @@ def test_repaired_turns_are_the_audits(spark):
 
 def test_nulls_repeats_long_texts_and_empty_tables(spark):
     rows = [(None, None, None, None), (None, 1, "user", "a."), (1, 1, "user", "x." * 100_000), (1, 2, "assistant", "y"), (1, 2, "assistant", "y"), (1, 2, "assistant", "y"), (2, None, "u", "q?"), (3, 5, "", ""), (4, 1, "system", "only."), (0, 5, "user", "b.")]
-    wide = spark.createDataFrame([(*x, "z", 1, "k") for x in rows], SCHEMA + ", CONV string, blk int, flags string")
-    assert reports(tr.repair_report(tr.damage(wide), 3)) == plain(rows)
-    assert reports(tr.repair_report(wide, 4)) == plain(rows, damaged=False)
+    wide = spark.createDataFrame([(*x, "z", 1, "k") for x in rows], SCHEMA + ", GONE string, blk int, flags string")
+    assert reports(tr.repair_report(tr.damage(wide), "gone", 3)) == plain(rows)
+    assert reports(tr.repair_report(wide, None, 4)) == plain(rows, damaged=False)
     empty = wide.limit(0)
-    assert tr.repair_report(tr.damage(empty)).collect() == [] and tr.repaired_turns(empty).collect() == []
+    assert tr.repair_report(tr.damage(empty), "gone").collect() == [] and tr.repaired_turns(empty).collect() == []
     gone = [(c, 0, "user", "a.") for c in range(400) if zlib.crc32(f"{c}:0".encode()) % 20 == 0]
-    got = reports(tr.repair_report(tr.damage(spark.createDataFrame(gone, SCHEMA)), 3))
+    got = reports(tr.repair_report(tr.damage(spark.createDataFrame(gone, SCHEMA)), "gone", 3))
     assert gone and got == {c: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest()) for c, *_ in gone}
