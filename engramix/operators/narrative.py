@@ -37,6 +37,11 @@ def validate_procedures(answers: DataFrame, raw: str = "raw") -> DataFrame:
     return out.select(F.concat(F.col("session_id"), F.lit("@proc"), k.cast("string")).alias("procedure_id"), "session_id", "name", "description", "steps", "triggers", "entities")
 
 
+def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old with the rows of new in place of those of the same key; columns that one side lacks are null there."""
+    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
 def clean_summary(raw):
     """A summary without blanks and quotes around it, at most 500 characters; null under 10."""
     x = F.regexp_replace(F.trim(raw), r"""^["'\s]+|["'\s]+$""", "")
