@@ -16,8 +16,8 @@ def session_text(messages: DataFrame, most: int) -> DataFrame:
     line = F.concat("role", F.lit(": "), "content")
     w = Window.partitionBy("session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.char_length(line) + 1).over(w), F.lit(0))
-    # lines that begin beyond the cut never reach the group's buffer
-    kept = messages.select("session_id", "id", line.alias("line"), before.alias("before")).filter(F.col("before") < most)
+    # lines that begin beyond the cut never reach the group's buffer; one that begins just there still brings its line break
+    kept = messages.select("session_id", "id", line.alias("line"), before.alias("before")).filter(F.col("before") <= most)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n")
     return kept.groupBy("session_id").agg(F.left(text, F.lit(most)).alias("text"))
 
