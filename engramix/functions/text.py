@@ -53,9 +53,10 @@ def is_trigger(content: Column) -> Column:
     return content.rlike("(?iU)" + CORRECTION) | content.rlike("(?iU)" + PREFERENCE)
 
 
-def salience_reason(content: Column, min_chars: int = 30) -> Column:
-    """Why a user turn is worth a chunk; null if it is not."""
-    return F.when(is_trigger(content), "correction_or_preference_trigger").when(F.char_length(content) >= min_chars, "long_user_turn")
+def salience_reason(content: Column, min_chars: int = 30, triggers: bool = True) -> Column:
+    """Why a user turn is worth a chunk; null if it is not. Without triggers only its length counts."""
+    long = F.char_length(content) >= min_chars
+    return F.when(is_trigger(content), "correction_or_preference_trigger").when(long, "long_user_turn") if triggers else F.when(long, "long_user_turn")
 
 
 def query_tokens(query: Column) -> Column:

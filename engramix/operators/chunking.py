@@ -10,11 +10,14 @@ from engramix.functions.ranking import nth
 from engramix.functions import text as T
 
 
-def salient_chunks(messages: DataFrame, min_chars: int = 30) -> DataFrame:
-    """One chunk per user turn worth extraction, together with the last assistant turn before it in the session."""
+def salient_chunks(messages: DataFrame, min_chars: int = 30, triggers: bool = True) -> DataFrame:
+    """One chunk per user turn worth extraction, together with the last assistant turn before it in the session.
+
+    Without triggers a turn counts by its length alone, whatever it says.
+    """
     w = Window.partitionBy("session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     spoken = F.last(F.when(F.col("role") == "assistant", F.struct("id", "content")), ignorenulls=True).over(w)
-    rows = messages.withColumn("said", spoken).filter(F.col("role") == "user").withColumn("salience_reason", T.salience_reason(F.col("content"), min_chars)).filter("salience_reason is not null")
+    rows = messages.withColumn("said", spoken).filter(F.col("role") == "user").withColumn("salience_reason", T.salience_reason(F.col("content"), min_chars, triggers)).filter("salience_reason is not null")
     start = F.coalesce(F.col("said.id"), F.col("id"))
     return rows.select(
         T.chunk_id(F.col("session_id"), start, F.col("id")).alias("chunk_id"), "session_id", start.alias("start_message_id"), F.col("id").alias("end_message_id"), "salience_reason",
