@@ -14,6 +14,8 @@ from engramix.sources.checkpoint import cut
 from engramix.vocabulary import DEFAULTS, EXCLUSIVE, OPPOSING
 
 KEY = ["s", "p", "o"]
+PAIRED = 32  # mentions of a chunk, at most, of which all pairs are formed
+NAMES = 500_000  # names mentioned in the window, at most, whose counts go to all executors
 
 
 def _base() -> Column:
@@ -123,29 +125,75 @@ def _own(evidence: DataFrame, recent: DataFrame) -> DataFrame:
     return evidence.join(recent, "chunk_id", "left_semi").select(*KEY, "chunk_id").distinct()
 
 
-def co_mentioned(edges: DataFrame, mentions: DataFrame, chunks: DataFrame, evidence: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    """Keys of active base edges whose two ends share a chunk of the window that is not their evidence.
+def _mentioned(mentions: DataFrame, recent: DataFrame) -> DataFrame:
+    return cut(mentions.join(recent, "chunk_id", "left_semi").select("chunk_id", "entity").distinct())
+
+
+def _named(m: DataFrame, entity: str, n: str) -> DataFrame:
+    return m.groupBy(F.col("entity").alias(entity)).agg(F.count(F.lit(1)).alias(n))
+
+
+def _pairs(m: DataFrame, edges: DataFrame) -> DataFrame:
+    """s, o and n: in how many chunks both are mentioned, for all pairs that an edge may join.
 
-    Each edge looks up the chunks of its rarer end, then the other end in those; pairs of names that
-    no edge joins are never formed.
+    A chunk of few mentions gives all its pairs, which takes no look at the edges. In one of more than
+    PAIRED each edge looks up the chunks of its rarer end, then the other end in those.
     """
-    recent = _window(chunks, as_of, days)
-    m = cut(mentions.join(recent, "chunk_id", "left_semi").select("chunk_id", "entity").distinct())
-    count = m.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    sized = m.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    of = m.join(sized.filter(F.col("n") <= PAIRED), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.collect_list("entity").alias("e"))
+    found = of.select("e", F.explode("e").alias("s")).select("s", F.explode("e").alias("o")).groupBy("s", "o").agg(F.count(F.lit(1)).alias("n"))
+    many = sized.filter(F.col("n") > PAIRED)
+    if many.isEmpty():
+        return found
+    big = cut(m.join(many, "chunk_id", "left_semi"))
     ends = (
-        edges.filter(_base()).select(*KEY)
-        .join(count.select(F.col("entity").alias("s"), F.col("n").alias("ns")), "s")
-        .join(count.select(F.col("entity").alias("o"), F.col("n").alias("no")), "o")
-        .select(*KEY, F.when(F.col("ns") <= F.col("no"), F.col("s")).otherwise(F.col("o")).alias("rare"), F.when(F.col("ns") <= F.col("no"), F.col("o")).otherwise(F.col("s")).alias("other"))
+        edges.filter(_base()).select("s", "o").distinct().join(_named(big, "s", "ns"), "s").join(_named(big, "o", "no"), "o")
+        .select("s", "o", F.when(F.col("ns") <= F.col("no"), F.col("s")).otherwise(F.col("o")).alias("rare"), F.when(F.col("ns") <= F.col("no"), F.col("o")).otherwise(F.col("s")).alias("other"))
     )
-    found = ends.join(m.withColumnRenamed("entity", "rare"), "rare").join(m.withColumnRenamed("entity", "other"), ["chunk_id", "other"], "left_semi")
-    return found.select(*KEY, "chunk_id").join(_own(evidence, recent), [*KEY, "chunk_id"], "left_anti").select(*KEY).distinct()
+    more = ends.join(big.withColumnRenamed("entity", "rare"), "rare").join(big.withColumnRenamed("entity", "other"), ["chunk_id", "other"], "left_semi")
+    return found.unionByName(more.groupBy("s", "o").agg(F.count(F.lit(1)).alias("n"))).groupBy("s", "o").agg(F.sum("n").alias("n"))
+
+
+def _own_mentions(m: DataFrame, evidence: DataFrame, recent: DataFrame) -> DataFrame:
+    """Keys of edges with how many of their evidence chunks in the window mention the subject (own_s), the object (own_o), both."""
+    end = lambda c: m.select("chunk_id", F.col("entity").alias(c), F.lit(True).alias(f"has_{c}"))
+    each = _own(evidence, recent).join(end("s"), ["chunk_id", "s"], "left").join(end("o"), ["chunk_id", "o"], "left")
+    return each.groupBy(*KEY).agg(F.count("has_s").alias("own_s"), F.count("has_o").alias("own_o"), F.count_if(F.col("has_s") & F.col("has_o")).alias("both"))
+
+
+def _more(n: str, own: str) -> Column:
+    return F.coalesce(n, F.lit(0)) > F.coalesce(own, F.lit(0))
+
+
+def _with_co_mentioned(edges: DataFrame, mentions: DataFrame, chunks: DataFrame, evidence: DataFrame, as_of: str, days: int) -> DataFrame:
+    """edges with `hit`. What is counted lies in the window; the edges themselves are read once and listed per chunk nowhere."""
+    recent = _window(chunks, as_of, days)
+    m = _mentioned(mentions, recent)
+    counted = edges.join(_own_mentions(m, evidence, recent).select(*KEY, "both"), KEY, "left").join(_pairs(m, edges), ["s", "o"], "left")
+    return counted.withColumn("hit", _base() & _more("n", "both")).select(*edges.columns, "hit")
+
+
+def co_mentioned(edges: DataFrame, mentions: DataFrame, chunks: DataFrame, evidence: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """Keys of active base edges whose two ends share a chunk of the window that is not their evidence: more chunks mention both than evidence chunks of the edge do."""
+    return _with_co_mentioned(edges, mentions, chunks, evidence, as_of, days).filter("hit").select(*KEY).distinct()
 
 
 def reinforce(edges: DataFrame, mentions: DataFrame, chunks: DataFrame, evidence: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    hit = co_mentioned(edges, mentions, chunks, evidence, as_of, days).withColumn("hit", F.lit(True))
     at = F.expr(f"timestamp_ntz'{as_of}'")
-    return edges.join(hit, KEY, "left").withColumn("pos", F.col("pos") + F.when(F.col("hit"), 1).otherwise(0)).withColumn("last_reinforced", F.when(F.col("hit"), at).otherwise(F.col("last_reinforced"))).drop("hit")
+    seen = _with_co_mentioned(edges, mentions, chunks, evidence, as_of, days)
+    return seen.withColumn("pos", F.col("pos") + F.when(F.col("hit"), 1).otherwise(0)).withColumn("last_reinforced", F.when(F.col("hit"), at).otherwise(F.col("last_reinforced"))).drop("hit")
+
+
+def _with_re_mentioned(edges: DataFrame, mentions: DataFrame, chunks: DataFrame, evidence: DataFrame, as_of: str, days: int) -> DataFrame:
+    """edges with `hit`; they are read once. The counts of up to NAMES names go to all executors, those of more are shuffled."""
+    recent = _window(chunks, as_of, days)
+    m = _mentioned(mentions, recent)
+    count = cut(_named(m, "entity", "n"))
+    sent = F.broadcast if count.count() <= NAMES else lambda df: df
+    of = lambda c, n: sent(count.select(F.col("entity").alias(c), F.col("n").alias(n)))
+    stale = F.col("last_reinforced").isNull() | (F.col("last_reinforced") < F.expr(f"timestamp_ntz'{as_of}' - make_dt_interval({days})"))
+    counted = edges.join(_own_mentions(m, evidence, recent), KEY, "left").join(of("s", "ns"), "s", "left").join(of("o", "no"), "o", "left")
+    return counted.withColumn("hit", _base() & stale & (_more("ns", "own_s") | _more("no", "own_o"))).select(*edges.columns, "hit")
 
 
 def re_mentioned(edges: DataFrame, mentions: DataFrame, chunks: DataFrame, evidence: DataFrame, as_of: str, days: int = 30) -> DataFrame:
@@ -154,19 +202,12 @@ def re_mentioned(edges: DataFrame, mentions: DataFrame, chunks: DataFrame, evide
     Counted instead of listed: an end with more chunks that mention it than evidence chunks of the
     edge that do. Evidence chunks need not mention both ends, or either.
     """
-    recent = _window(chunks, as_of, days)
-    m = cut(mentions.join(recent, "chunk_id", "left_semi").select("chunk_id", "entity").distinct())
-    count = m.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    stale = edges.filter(_base()).filter(F.col("last_reinforced").isNull() | (F.col("last_reinforced") < F.expr(f"timestamp_ntz'{as_of}' - make_dt_interval({days})")))
-    by_end = lambda df, *more: df.select(*KEY, *more, F.explode(F.array_distinct(F.array("s", "o"))).alias("entity"))
-    own = by_end(_own(evidence, recent), "chunk_id").join(m, ["chunk_id", "entity"], "left_semi").groupBy(*KEY, "entity").agg(F.count(F.lit(1)).alias("own"))
-    counted = by_end(stale).join(count, "entity").join(own, [*KEY, "entity"], "left")
-    return counted.filter(F.col("n") > F.coalesce("own", F.lit(0))).select(*KEY).distinct()
+    return _with_re_mentioned(edges, mentions, chunks, evidence, as_of, days).filter("hit").select(*KEY).distinct()
 
 
 def decay(edges: DataFrame, mentions: DataFrame, chunks: DataFrame, evidence: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    hit = re_mentioned(edges, mentions, chunks, evidence, as_of, days).withColumn("hit", F.lit(True))
-    return edges.join(hit, KEY, "left").withColumn("neg", F.col("neg") + F.when(F.col("hit"), 1).otherwise(0)).drop("hit")
+    seen = _with_re_mentioned(edges, mentions, chunks, evidence, as_of, days)
+    return seen.withColumn("neg", F.col("neg") + F.when(F.col("hit"), 1).otherwise(0)).drop("hit")
 
 
 def is_spent(threshold: float = DEFAULTS["retract_threshold"], zombie: int = DEFAULTS["zombie_neg"]) -> Column:
