@@ -31,15 +31,20 @@ _LONG = "[" + "".join(c for c, _ in _MANY) + "]"
 
 
 def ascii_fold(col: Column) -> Column:
-    """NFKD without what is not ASCII. Characters that fold to several are replaced only in texts that hold one."""
+    """NFKD without what is not ASCII. A text of ASCII stays as it is; characters that fold to several are replaced only in texts that hold one."""
     table = F.create_map(*[F.lit(x) for c, to in _MANY for x in (c, to)])
     spelled = F.array_join(F.transform(F.split(col, ""), lambda c: F.coalesce(table[c], c)), "")
     out = F.when(col.rlike(_LONG), spelled).otherwise(col)
-    return F.regexp_replace(F.translate(out, _SRC, _DST), r"[^\x00-\x7F]", "")
+    folded = F.regexp_replace(F.translate(out, _SRC, _DST), r"[^\x00-\x7F]", "")
+    return F.when(F.octet_length(col) == F.char_length(col), col).otherwise(folded)
 
 
 def normalize(surface: Column) -> Column:
     """The canonical name of an entity: folded, camel case split, lower case, no trailing parenthesis or leading article, words joined by `_`."""
+    return F.when(surface.rlike("^[a-z0-9]+(?:_[a-z0-9]+)*\\z"), surface).otherwise(_normalized(surface))  # most names are canonical already
+
+
+def _normalized(surface: Column) -> Column:
     x = ascii_fold(surface)
     x = F.regexp_replace(x, "([A-Z]+)([A-Z][a-z])", "$1 $2")
     x = F.regexp_replace(x, "([a-z])([A-Z])", "$1 $2")

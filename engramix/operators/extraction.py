@@ -65,7 +65,9 @@ def pending_embeddings(texts: DataFrame, vectors: DataFrame, key: str, model: st
 
 def stub_embedding(text: Column, dim: int = 16) -> Column:
     """Deterministic unit vector from the text's SHA-256: bytes / 255 - 0.5, normalised."""
-    h = F.sha2(text.cast("binary"), 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 - 0.5)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+    # each step is bound to a name of its own, as a lambda's argument: else every element would hash and norm anew
+    bound = lambda value, then: F.transform(F.array(value), then)[0]
+    bytes_of = lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 - 0.5)
+    norm = lambda raw: F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    scaled = lambda raw: bound(norm(raw), lambda n: F.transform(raw, lambda x: x / F.when(n == 0, 1.0).otherwise(n)))
+    return bound(F.sha2(text.cast("binary"), 256), lambda h: bound(bytes_of(h), scaled))
