@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000  # vectors that the quantiser is fitted on, at most
 CELLS = 4096  # at most
 PIECE = 20_000  # vectors, and queries, of a cell that meet in one task
+ROOM = 65_536  # distances of vectors to centres that a task holds at once
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,14 @@ def _rows(column, dim: int) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten(), np.float64).reshape(-1, dim)
 
 
+def _slices(batches, cells: int):
+    """Batches of so few rows that their distances to all cells, and the rows' copies for them, stay within ROOM."""
+    n = max(1, ROOM // max(1, cells))
+    for b in batches:
+        for i in range(0, len(b), n):
+            yield b.slice(i, n)
+
+
 def usable(vectors: DataFrame, dim: int, cosine: bool = False) -> DataFrame:
     """vectors (id, v) as id, v (array<double>): those of the dimension; for cosines scaled to length 1, without zero vectors."""
     v = F.transform("v", lambda x: x.cast("double"))
@@ -72,7 +81,7 @@ def index(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches, len(quantiser.centres)):
             d = quantiser.distances(_rows(b.column(1), quantiser.dim))
             cell = d.argmin(1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], ["id", "v", "cell", "r"])
@@ -151,7 +160,7 @@ def search(indexed: DataFrame, queries: DataFrame, quantiser: Quantiser, k: int,
 
     def cells(further: bool):
         def run(batches):
-            for b in batches:
+            for b in _slices(batches, len(quantiser.centres)):
                 x = _rows(b.column(1), quantiser.dim)
                 d = quantiser.distances(x)
                 order = np.argsort(d, axis=1, kind="stable")
