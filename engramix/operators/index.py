@@ -23,7 +23,8 @@ def _stem(words: pd.Series) -> pd.Series:
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """term, key and tf of texts; each distinct word is stemmed once, whatever the texts it stands in."""
     words = docs.select(key, F.explode(F.regexp_extract_all(S.folded(F.col(text)), F.lit(S.WORD), 0)).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
-    stems = words.select("w").distinct().withColumn("term", _stem("w"))
+    # asking for a count too lets both sides read the texts' words once
+    stems = words.groupBy("w").agg(F.max("n").alias("most")).filter("most > 0").select("w", _stem("w").alias("term"))
     return words.join(stems, "w").groupBy("term", key).agg(F.sum("n").cast("int").alias("tf"))
 
 
@@ -38,7 +39,7 @@ def bm25_indexed(posted: DataFrame, sizes: DataFrame, key: str, query: str, top_
     if not terms:
         return sizes.select(F.col(key).alias("id"), F.lit(0.0).alias("score")).limit(0)
     stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    mine = posted.filter(F.col("term").isin(terms))
+    mine = cut(posted.filter(F.col("term").isin(terms)))
     seen = {r["term"]: r["d"] for r in mine.groupBy("term").agg(F.count(F.lit(1)).alias("d")).collect()}  # one row per query term
     if not seen:
         return sizes.select(F.col(key).alias("id"), F.lit(0.0).alias("score")).limit(0)
@@ -54,8 +55,8 @@ BUCKETS = 4096  # of the ids; a block is a term's postings in one
 
 
 def placed(posted: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    """Postings with the length of their text and the bucket of its id."""
-    return posted.join(sizes, key).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    """Postings with the length of their text (unless they have it) and the bucket of its id."""
+    return (posted if "dl" in posted.columns else posted.join(sizes, key)).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
 
 
 def blocks(of: DataFrame, *more: str) -> DataFrame:
